@@ -145,7 +145,7 @@ def in_tolerance(left: Column, right: Column, tolerance: float) -> Column:
     upper, lower = F.greatest(F.abs(a), F.abs(b)), F.least(F.abs(a), F.abs(b))
     near = (upper * F.lit(1.0 - tolerance) <= lower) | (lower * F.lit(1.0 + tolerance) >= upper)
     return F.coalesce(
-        F.when(F.isnan(a) | F.isnan(b), False)
+        F.when(a.isNull() | b.isNull() | F.isnan(a) | F.isnan(b), False)
         .when((a == 0) | (b == 0), a == b)
         .when((a < 0) != (b < 0), False)
         .otherwise(near),

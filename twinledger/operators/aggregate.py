@@ -43,6 +43,21 @@ class Measure:
     absent: tuple[Any, str] = (None, "ok")  # value and state of a category cell without rows
 
 
+class Inputs:
+    """Row-level expressions the aggregates read, each computed once per row in one projection."""
+
+    def __init__(self) -> None:
+        self._known: dict[tuple, tuple[str, Column]] = {}
+
+    def put(self, label: tuple, expression: Column) -> Column:
+        """Register an expression under a label that tells it from others; returns its column."""
+        name, _ = self._known.setdefault(label, (f"i{len(self._known)}", expression))
+        return F.col(name)
+
+    def columns(self) -> list[Column]:
+        return [expression.alias(name) for name, expression in self._known.values()]
+
+
 def _text_of(c: Column, dtype: T.DataType, strip: bool, null_text: str | None) -> Column:
     """Cell as text, trimmed on request; NULL is blank unless a text for it is given."""
     text = cells.render(c, dtype)
@@ -51,20 +66,27 @@ def _text_of(c: Column, dtype: T.DataType, strip: bool, null_text: str | None) -
     return F.coalesce(text, F.lit("" if null_text is None else null_text))
 
 
-def _numbers(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_text: str | None) -> Measure:
+def _numbers(kind: str, spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure:
+    c, o = names.col(spec.agg_col), spec.agg_options
     if cells.is_text(dtype):
         text = cells.strip(c) if o.get("strip") else c
         text = text if null_text is None else F.coalesce(text, F.lit(null_text))
-        number = cells.number_from_text(text)
+        number = inputs.put(("number", spec.agg_col, o.get("strip", False)), cells.number_from_text(text))
         blank = text.isNull() | (text == "")
     elif cells.is_number(dtype):
         number = c.cast("int") if isinstance(dtype, T.BooleanType) else c
+        number = inputs.put(("number", spec.agg_col), number)
         blank = c.isNull()
     else:
-        number, blank = F.lit(None).cast("double"), c.isNull()
-    bad = number.isNull() & ~blank if o["ignore_empty"] else number.isNull()
+        number, blank = inputs.put(("number", spec.agg_col), F.lit(None).cast("double")), c.isNull()
     if o["ignore_non_numbers"]:
         bad = F.lit(False)
+    elif not o["ignore_empty"]:
+        bad = number.isNull()
+    elif cells.is_number(dtype):
+        bad = F.lit(False)
+    else:
+        bad = number.isNull() & ~inputs.put(("blank", spec.agg_col, o.get("strip", False)), blank)
     function = {"sum": F.sum, "min": F.min, "max": F.max, "average": F.avg}[kind]
     if kind == "average":
         out: T.DataType = T.DoubleType()
@@ -84,14 +106,17 @@ def _numbers(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_te
     )
 
 
-def _booleans(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_text: str | None) -> Measure:
+def _booleans(kind: str, spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure:
+    c, o = names.col(spec.agg_col), spec.agg_options
     if o.get("strip") and not isinstance(dtype, T.BooleanType):
         # Trimmed cells are judged as text, so the number 1 becomes the word '1'.
         c, dtype = _text_of(c, dtype, True, null_text), T.StringType()
     word = cells.as_boolean(c, dtype, allow_yn=o["allow_yn"], allow_01=o["allow_01"], allow_tf=o["allow_tf"])
+    label = (spec.agg_col, o["allow_yn"], o["allow_01"], o["allow_tf"], o.get("strip", False))
+    word = inputs.put(("word", *label), word)
     bad = word.isNull()
     if o["ignore_blanks"]:
-        bad = bad & ~cells.is_blank(c, dtype)
+        bad = bad & ~inputs.put(("blank word", *label), cells.is_blank(c, dtype))
     function = F.bool_and if kind == "and" else F.bool_or
     return Measure(
         {"v": function(word), "bad": F.count_if(bad)},
@@ -103,21 +128,31 @@ def _booleans(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_t
     )
 
 
-def _counts(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_text: str | None) -> Measure:
+def _plain_value(spec: AggSpec, dtype: T.DataType, inputs: Inputs, strip: bool) -> Column:
+    """The cell itself, trimmed if it is text and that is asked for."""
+    c = names.col(spec.agg_col)
+    strip = strip and cells.is_text(dtype)
+    return inputs.put(("value", spec.agg_col, strip), cells.strip(c) if strip else c)
+
+
+def _counts(kind: str, spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure:
+    strip = spec.agg_options.get("strip", False)
     if kind == "count_all":
         aggregates = {"v": F.count(F.lit(1))}
     elif kind == "count_nonempty":
-        aggregates = {"v": F.count_if(_text_of(c, dtype, o["strip"], null_text) != "")}
+        text = _text_of(names.col(spec.agg_col), dtype, strip, null_text)
+        aggregates = {"v": F.count_if(inputs.put(("nonempty", spec.agg_col, strip), text != ""))}
     else:
-        text = c if not cells.is_text(dtype) else cells.strip(c) if o["strip"] else c
+        value = _plain_value(spec, dtype, inputs, strip)
         # NULL counts as one value of its own.
-        aggregates = {"v": F.count_distinct(text), "null": F.max(F.when(c.isNull(), 1).otherwise(0))}
+        aggregates = {"v": F.count_distinct(value), "null": F.max(F.when(value.isNull(), 1).otherwise(0))}
         return Measure(aggregates, lambda get: get("v") + get("null"), T.LongType(), absent=(0, "ok"))
     return Measure(aggregates, lambda get: get("v"), T.LongType(), absent=(0, "ok"))
 
 
-def _are_same(c: Column, dtype: T.DataType, o: dict[str, Any], null_text: str | None) -> Measure:
-    value = cells.strip(c) if o["strip"] and cells.is_text(dtype) else c
+def _are_same(spec: AggSpec, dtype: T.DataType, inputs: Inputs) -> Measure:
+    o = spec.agg_options
+    value = _plain_value(spec, dtype, inputs, o["strip"])
     return Measure(
         {"lo": F.min(value), "hi": F.max(value), "n": F.count(value), "null": F.count_if(value.isNull())},
         # One distinct value, NULL being a value too; smallest = largest needs no distinct pass.
@@ -128,11 +163,13 @@ def _are_same(c: Column, dtype: T.DataType, o: dict[str, Any], null_text: str |
     )
 
 
-def _text_lengths(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_text: str | None) -> Measure:
+def _text_lengths(kind: str, spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure:
+    c, o = names.col(spec.agg_col), spec.agg_options
     length = F.length(_text_of(c, dtype, o["strip"], null_text)).cast("bigint")
+    length = inputs.put(("length", spec.agg_col, o["strip"]), length)
     bad = F.lit(False)
     if not o["strip"]:
-        bad = c.isNull() if cells.is_text(dtype) else F.lit(True)
+        bad = inputs.put(("null", spec.agg_col), c.isNull()) if cells.is_text(dtype) else F.lit(True)
     function = {"min": F.min, "max": F.max, "avg": F.avg}[kind[:3]]
     return Measure(
         {"v": function(length), "bad": F.count_if(bad)},
@@ -144,8 +181,10 @@ def _text_lengths(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], nu
     )
 
 
-def _filled(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_text: str | None) -> Measure:
+def _filled(kind: str, spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure:
+    c, o = names.col(spec.agg_col), spec.agg_options
     filled = _text_of(c, dtype, True, null_text) != "" if o["strip"] else cells.is_filled(c, dtype)
+    filled = inputs.put(("filled", spec.agg_col, o["strip"]), filled)
     aggregate = {
         "all_filled": F.bool_and(filled),
         "some_filled": F.bool_or(filled),
@@ -154,8 +193,9 @@ def _filled(kind: str, c: Column, dtype: T.DataType, o: dict[str, Any], null_tex
     return Measure({"v": aggregate}, lambda get: get("v"), T.BooleanType(), absent=(kind == "none_filled", "ok"))
 
 
-def _single(c: Column, dtype: T.DataType, o: dict[str, Any]) -> Measure:
+def _single(spec: AggSpec, dtype: T.DataType, inputs: Inputs) -> Measure:
     """The one value of a (key, category); NULLs do not count as entries."""
+    c, o = _plain_value(spec, dtype, inputs, False), spec.agg_options
     if o["allow_duplicates_if_equal"]:
         aggregates = {"v": F.min(c), "hi": F.max(c), "n": F.count(c)}
 
@@ -175,9 +215,11 @@ def _single(c: Column, dtype: T.DataType, o: dict[str, Any]) -> Measure:
     )
 
 
-def _category_sum(c: Column, dtype: T.DataType, o: dict[str, Any]) -> Measure:
-    kind = cells.cell_type(c, dtype)
-    number = F.when(kind != "BLANK", F.coalesce(cells.as_double(c, dtype), F.lit(0.0)))
+def _category_sum(spec: AggSpec, dtype: T.DataType, inputs: Inputs) -> Measure:
+    c, o = names.col(spec.agg_col), spec.agg_options
+    kind = inputs.put(("cell type", spec.agg_col), cells.cell_type(c, dtype))
+    number = inputs.put(("number or zero", spec.agg_col), F.coalesce(cells.as_double(c, dtype), F.lit(0.0)))
+    number = F.when(kind != "BLANK", number)
     bad = F.lit(False) if o["ignore_non_numbers"] else kind.isin("DATE", "TEXT")
     return Measure(
         {"v": F.sum(number), "bad": F.count_if(bad)},
@@ -189,25 +231,25 @@ def _category_sum(c: Column, dtype: T.DataType, o: dict[str, Any]) -> Measure:
     )
 
 
-def _measure(spec: AggSpec, dtype: T.DataType, null_text: str | None) -> Measure | None:
+def _measure(spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure | None:
     """Aggregates of a spec; None for concatenation, which is planned on its own."""
-    c, o, kind = names.col(spec.agg_col), spec.agg_options, spec.kind
+    kind = spec.kind
     if kind in ("sum", "min", "max", "average"):
-        return _numbers(kind, c, dtype, o, null_text)
+        return _numbers(kind, spec, dtype, null_text, inputs)
     if kind in ("and", "or"):
-        return _booleans(kind, c, dtype, o, null_text)
+        return _booleans(kind, spec, dtype, null_text, inputs)
     if kind in ("count_all", "count_nonempty", "count_unique"):
-        return _counts(kind, c, dtype, o, null_text)
+        return _counts(kind, spec, dtype, null_text, inputs)
     if kind == "are_same":
-        return _are_same(c, dtype, o, null_text)
+        return _are_same(spec, dtype, inputs)
     if kind.endswith("_text_length"):
-        return _text_lengths(kind, c, dtype, o, null_text)
+        return _text_lengths(kind, spec, dtype, null_text, inputs)
     if kind.endswith("_filled"):
-        return _filled(kind, c, dtype, o, null_text)
+        return _filled(kind, spec, dtype, null_text, inputs)
     if kind == "single":
-        return _single(c, dtype, o)
+        return _single(spec, dtype, inputs)
     if kind == "category_sum":
-        return _category_sum(c, dtype, o)
+        return _category_sum(spec, dtype, inputs)
     return None
 
 
@@ -363,12 +405,13 @@ def aggregate(
     parts: list[DataFrame] = []  # further tables with one row per key
 
     # Plain aggregates: one groupBy.
+    inputs = Inputs()
     plain = [(n, s, m) for n, s in enumerate(plan) if not s.by_category
-             and (m := _measure(s, df.schema[s.agg_col].dataType, null_text))]
+             and (m := _measure(s, df.schema[s.agg_col].dataType, null_text, inputs))]
     raw = {f"m{n}_{k}": a for n, _, m in plain for k, a in m.aggregates.items()}
     columns: dict[int, list[str]] = {n: [] for n in range(len(plan))}
-    grouped = df.groupBy(key_col.alias(KEY))
-    base = grouped.agg(*[a.alias(n) for n, a in raw.items()]) if raw else df.select(key_col.alias(KEY)).distinct()
+    prepared = df.select(key_col.alias(KEY), *inputs.columns())
+    base = prepared.groupBy(KEY).agg(*[a.alias(n) for n, a in raw.items()]) if raw else prepared.distinct()
     outputs = []
     for n, s, m in plain:
         get = lambda k, n=n: F.col(f"m{n}_{k}")
@@ -431,9 +474,11 @@ def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs:
     """Aggregate by (key, category) and turn categories into columns ``s<spec>_<i>``."""
     cat_col = names.col(cat)
     group = {KEY: key_col, CATEGORY: cat_col}
-    measures = {n: _measure(s, df.schema[s.agg_col].dataType, null_text) for n, s in specs}
+    inputs = Inputs()
+    measures = {n: _measure(s, df.schema[s.agg_col].dataType, null_text, inputs) for n, s in specs}
     raw = {f"m{n}_{k}": a for n, m in measures.items() if m for k, a in m.aggregates.items()}
-    cellwise = df.groupBy(*[c.alias(n) for n, c in group.items()]).agg(
+    prepared = df.select(*[c.alias(n) for n, c in group.items()], *inputs.columns())
+    cellwise = prepared.groupBy(KEY, CATEGORY).agg(
         F.count(F.lit(1)).alias("__rows"), *[a.alias(n) for n, a in raw.items()]
     )
     outputs = []
