@@ -31,21 +31,27 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def resolve(df: DataFrame, column: str | int) -> str:
-    """Name of a column given by name or by zero-based position."""
+def position(df: DataFrame, column: str | int) -> int:
+    """Zero-based position of a column given by name or by position; a name must occur once."""
     names = df.columns
     if isinstance(column, bool) or not isinstance(column, (str, int)):
         raise TypeError(f"column must be a name or a position, not {column!r}")
     if isinstance(column, int):
         if not 0 <= column < len(names):
             raise IndexError(f"column position {column} is out of range (table has {len(names)} columns)")
-        column = names[column]
+        return column
     hits = names.count(column)
-    if hits == 0:
-        raise KeyError(f"column {column!r} not found; table has {names}")
-    if hits > 1:
-        raise KeyError(f"column {column!r} is not unique in the table")
-    return column
+    if hits != 1:
+        state = "not found" if not hits else "not unique"
+        raise KeyError(f"column {column!r} {state} in table with columns {names}")
+    return names.index(column)
+
+
+def resolve(df: DataFrame, column: str | int) -> str:
+    """Name of a column given by name or by position; the name must occur once."""
+    name = df.columns[position(df, column)]
+    position(df, name)
+    return name
 
 
 def unique_names(names: list[str], reserved: tuple[str, ...] = ()) -> list[str]:

@@ -224,13 +224,16 @@ def compare_many(df: DataFrame, specs: list[Check | dict[str, Any]], on_error: s
             skipped.append(f"{spec}: {exc}")
 
     # first_col_conv is SQL over {x}; the number it reads becomes a column for one projection.
+    # Columns go by position inside, so repeated names do no harm.
     staged: dict[int, str] = {}
-    wide = df
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    types = [f.dataType for f in df.schema.fields]
+    wide = df.toDF(*plain)
     for n, check in enumerate(checks):
         if check.compare_type == "numerical" and check.first_col_conv and not _spec_errors(df, check):
-            name = names.resolve(df, check.first_col)
-            dtype = df.schema[name].dataType
-            (x, _), _ = _numbers(check, names.col(name), dtype, names.col(name), dtype)
+            first = names.position(df, check.first_col)
+            source_col, dtype = F.col(plain[first]), types[first]
+            (x, _), _ = _numbers(check, source_col, dtype, source_col, dtype)
             try:
                 source = wide.withColumn(f"{_CONVERTED}_in_{n}", x)
                 expression = str(check.first_col_conv).format(x=f"`{_CONVERTED}_in_{n}`")
@@ -250,9 +253,8 @@ def compare_many(df: DataFrame, specs: list[Check | dict[str, Any]], on_error: s
         if errors:
             value = F.lit("\n".join(errors))
         else:
-            first, second = names.resolve(df, check.first_col), names.resolve(df, check.second_col)
-            a, b = names.col(first), names.col(second)
-            atype, btype = df.schema[first].dataType, df.schema[second].dataType
+            first, second = names.position(df, check.first_col), names.position(df, check.second_col)
+            a, b, atype, btype = F.col(plain[first]), F.col(plain[second]), types[first], types[second]
             if check.compare_type == "text":
                 value = _text(check, a, atype, b, btype)
             elif check.compare_type == "date":
@@ -262,11 +264,9 @@ def compare_many(df: DataFrame, specs: list[Check | dict[str, Any]], on_error: s
                 value = _numerical(check, a, atype, b, btype, converted)
         name = names.unique_names([check.result_name], reserved + tuple(added))[0]
         added.append(name)
-        results.append(value.alias(name))
-    keep = [wide[i] for i in range(len(df.columns))] if len(set(df.columns)) < len(df.columns) else [
-        names.col(c) for c in df.columns
-    ]
-    return Checked(wide.select(*keep, *results), added, skipped)
+        results.append(value)
+    checked = [value.alias(f"r{i}") for i, value in enumerate(results)]
+    return Checked(wide.select(*plain, *checked).toDF(*df.columns, *added), added, skipped)
 
 
 def compare_columns(df: DataFrame, first_col: str | int, second_col: str | int, compare_type: str = "text",

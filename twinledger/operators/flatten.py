@@ -112,6 +112,7 @@ class _Walk:
         self.truncated: list[str] = []
         self.indexed: dict[str, Column] = {}
         self.explodes = 0
+        self.context: set[str] = set()
 
     def path(self, base: str, name: str) -> str:
         prefix, colon, local = name.partition(":")
@@ -134,6 +135,7 @@ class _Walk:
             context = [f for f in children if mark in f.name and not isinstance(f.dataType, (T.StructType, T.ArrayType))]
             children = [f for f in children if f not in context]
             self.leaves += [(f.name, cells.render(value(f.name), f.dataType)) for f in context]
+            self.context = {f.name for f in context}
         if self.o.include_attributes:
             for f in attributes:
                 if f.name.startswith(f"{self.o.attribute_prefix}xmlns"):
@@ -241,7 +243,7 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
     if o.column_order == "alpha":
         leaves = sorted(leaves, key=lambda leaf: leaf[0])
     elif o.column_order == "discovery" and o.discovery:
-        place = {p: i for i, p in enumerate(o.discovery)}
+        place = {p: i for i, p in enumerate(o.discovery)} | {p: -1 for p in found.context}
         leaves = sorted(leaves, key=lambda leaf: place.get(leaf[0], len(place)))
     if o.max_columns is not None and len(leaves) > o.max_columns:
         warnings.append(f"max_columns={o.max_columns} exceeded; extra columns dropped")

@@ -42,8 +42,10 @@ def parse_envelopes(df: DataFrame, column: str | int) -> DataFrame:
     def part(i: int) -> Column:
         return F.when(ours, F.get(parts, F.lit(i)))
 
+    added = ("is_foreign", "session", "seq", "total", "encoding", "filename", "payload")
+    kept = [c for c in df.columns if c.lower() not in added]
     return df.select(
-        "*",
+        *[names.col(c) for c in kept],
         (~ours).alias("is_foreign"),
         part(1).alias("session"),
         F.when(ours, seq).alias("seq"),
@@ -134,8 +136,11 @@ def reassemble(df: DataFrame, column: str | int, arrival: str | int, max_cell_ch
     fit a cell are told apart by their size and come back with ``content`` NULL and ``too_long``
     set, their chunks stay available from :func:`parse_envelopes`.
     """
-    parsed = parse_envelopes(df, column).where(~F.col("is_foreign"))
-    order = names.col(names.resolve(df, arrival))
+    arrived = df.select(
+        names.col(names.resolve(df, column)).alias("__text"), names.col(names.resolve(df, arrival)).alias("__arrival")
+    )
+    parsed = parse_envelopes(arrived, "__text").where(~F.col("is_foreign"))
+    order = F.col("__arrival")
     chunks = parsed.groupBy("session", "seq").agg(
         F.max_by(F.struct("payload", "filename", "encoding"), order).alias("last"),
         F.min_by(F.struct(order.alias("at"), "total"), order).alias("first"),
@@ -180,5 +185,5 @@ def reassemble(df: DataFrame, column: str | int, arrival: str | int, max_cell_ch
 def foreign_texts(df: DataFrame, column: str | int) -> DataFrame:
     """Texts that are no envelopes, kept as they are with an empty file name."""
     name = names.resolve(df, column)
-    foreign = parse_envelopes(df, name).where(F.col("is_foreign"))
-    return foreign.select(names.col(name).alias("content"), F.lit("").alias("filename"))
+    foreign = parse_envelopes(df.select(names.col(name).alias("content")), "content").where(F.col("is_foreign"))
+    return foreign.select("content", F.lit("").alias("filename"))

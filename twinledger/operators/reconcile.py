@@ -286,12 +286,12 @@ def reconcile(
         if key == -1 and not isinstance(key, bool):
             if not order:
                 raise ValueError("a row-number key needs order_by for its side")
-            wanted = [f"c{df.columns.index(names.resolve(df, o))}" for o in order]
+            wanted = [f"c{names.position(df, o)}" for o in order]
             position = f"c{len(head)}"
             plain = durable.with_row_number(plain, wanted, position)
             head = head + [autogen_key_name]
         else:
-            position = f"c{df.columns.index(names.resolve(df, key))}"
+            position = f"c{names.position(df, key)}"
         plain = plain.select(*[
             (cells.strip(F.col(f.name)).alias(f.name) if strip and cells.is_text(f.dataType) else F.col(f.name))
             for f in plain.schema.fields

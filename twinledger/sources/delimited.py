@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,8 @@ def read_csv(
             df = reader.schema(text).option("header", True).csv(path)
         else:
             df = reader.option("header", False).csv(path)
+    if schema is None:  # a cell without content is empty text, also where a line ends early
+        df = df.select(*[F.coalesce(names.col(c), F.lit("")).alias(c) for c in df.columns])
     if quoting == "QUOTE_NONNUMERIC" or convert_numbers or convert_dates:
         df = convert_types(df, convert_numbers or quoting == "QUOTE_NONNUMERIC", convert_dates, date_format)
     return df
@@ -249,38 +253,48 @@ def write_csv(
 ) -> None:
     """Write a directory of delimited files, one per partition, each with the header."""
     _check_quoting(quoting)
-    text = [c.alias(n) for c, n in zip(_formatted(df, date_format if convert_dates else None, None), df.columns)]
-    writer_quote = quote_mark
-    if quoting == "QUOTE_NONNUMERIC":
-        # Quote text cells here and write without quoting, since Spark quotes either all or by need.
-        mark = F.lit(quote_mark)
-
-        def quoted(c: Column) -> Column:
-            doubled = F.replace(F.coalesce(c, F.lit("")), mark, F.lit(quote_mark * 2))
-            return F.concat(mark, doubled, mark)
-
-        text = [
-            (c if cells.is_number(f.dataType) else quoted(c)).alias(
-                quote_mark + f.name.replace(quote_mark, quote_mark * 2) + quote_mark
-            )
-            for c, f in zip(_formatted(df, date_format if convert_dates else None, None), df.schema.fields)
-        ]
-        writer_quote = ""
-    elif quoting == "QUOTE_NONE":
-        writer_quote = ""
-    writer = df.select(*text).write.mode(mode).options(
-        sep=delim, quote=writer_quote, escape=writer_quote or "\\", header=header, lineSep=line_terminator,
+    texts = _formatted(df, date_format if convert_dates else None, None)
+    if quoting in ("QUOTE_NONNUMERIC", "QUOTE_NONE"):
+        # Spark quotes either all cells or those that need it, so these two are composed here.
+        blank_filled = [F.coalesce(c, F.lit("")) for c in texts]
+        mark = quote_mark
+        if quoting == "QUOTE_NONNUMERIC":
+
+            def quoted(c: Column) -> Column:
+                return F.concat(F.lit(mark), F.replace(c, F.lit(mark), F.lit(mark * 2)), F.lit(mark))
+
+            out = [c if cells.is_number(f.dataType) else quoted(c) for c, f in zip(blank_filled, df.schema.fields)]
+            titles = [mark + n.replace(mark, mark * 2) + mark for n in df.columns]
+        else:
+            special = [delim, mark, "\r", "\n"]
+            error = F.raise_error(F.lit("a cell needs quoting, but quoting is off"))
+            out = [
+                F.when(reduce(or_, [c.contains(ch) for ch in special]), error.cast("string")).otherwise(c)
+                for c in blank_filled
+            ]
+            titles = list(df.columns)
+        _write_lines(df, out, titles if header else None, path, delim, line_terminator, encoding, mode)
+        return
+    df.select(*[c.alias(n) for c, n in zip(texts, df.columns)]).write.mode(mode).options(
+        sep=delim, quote=quote_mark, escape=quote_mark, header=header, lineSep=line_terminator,
         encoding=charset(encoding), nullValue="", emptyValue="", quoteAll=quoting == "QUOTE_ALL",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    writer.csv(path)
+    ).csv(path)
+
+
+def _write_lines(df: DataFrame, texts: list[Column], titles: list[str] | None, path: str, delim: str,
+                 line_terminator: str, encoding: str, mode: str) -> None:
+    """Write rows as joined lines; the first row of each partition brings the header with it."""
+    if charset(encoding) != "UTF-8":
+        raise ValueError("lines without quoting rules can only be written as UTF-8")
+    line = F.concat_ws(delim, *texts)
+    if titles is not None:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        line = F.when(first, F.concat(F.lit(delim.join(titles) + line_terminator), line)).otherwise(line)
+    df.select(line.alias("value")).write.mode(mode).option("lineSep", line_terminator).text(path)
 
 
 def write_text(df: DataFrame, path: str, *, encoding: str = "utf-8", header: bool = True,
                mode: str = "errorifexists") -> None:
     """Write tab-delimited text without quoting; NULL appears as ``None``."""
-    text = [c.alias(n) for c, n in zip(_formatted(df, None, "None"), df.columns)]
-    df.select(*text).write.mode(mode).options(
-        sep="\t", quote="", escape="\\", header=header, lineSep="\n", encoding=charset(encoding), emptyValue="",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).csv(path)
+    _write_lines(df, _formatted(df, None, "None"), list(df.columns) if header else None, path, "\t", "\n", encoding, mode)
