@@ -56,13 +56,16 @@ def _shown(c: Column, dtype: T.DataType) -> Column:
     return cells.render(c, dtype, "None")
 
 
-def _error(check: Check, label: str, a: Column, atype: T.DataType, b: Column, btype: T.DataType) -> Column:
+def _described(c: Column, dtype: T.DataType) -> Column:
+    """Cell with its type, as error details show it."""
+    return F.concat(_shown(c, dtype), F.lit(" ("), _type_text(c, dtype), F.lit(")"))
+
+
+def _error(check: Check, label: str, a: Column, b: Column) -> Column:
+    """Error text; ``a`` and ``b`` are the described cells."""
     if not check.fail_detail:
         return F.lit(check.error_text)
-    return F.concat(
-        F.lit(f"{check.error_text}: {label} "), _shown(a, atype), F.lit(" ("), _type_text(a, atype), F.lit(") -> "),
-        _shown(b, btype), F.lit(" ("), _type_text(b, btype), F.lit(")"),
-    )
+    return F.concat(F.lit(f"{check.error_text}: {label} "), a, F.lit(" -> "), b)
 
 
 def _change(check: Check, text: str, a: Column, b: Column) -> Column:
@@ -85,7 +88,7 @@ def _text(check: Check, a: Column, atype: T.DataType, b: Column, btype: T.DataTy
         same = F.when(x.isNull() | (x == ""), F.lit(check.fail_text_blank)).otherwise(same)
     none = F.lit("None")
     return (
-        F.when(wrong(a, atype) | wrong(b, btype), _error(check, "Non-string data:", a, atype, b, btype))
+        F.when(wrong(a, atype) | wrong(b, btype), _error(check, "Non-string data:", _described(a, atype), _described(b, btype)))
         .when(x.eqNullSafe(y), same)
         .otherwise(_change(check, check.fail_text, F.coalesce(x, none), F.coalesce(y, none)))
     )
@@ -107,7 +110,7 @@ def _date(check: Check, a: Column, atype: T.DataType, b: Column, btype: T.DataTy
         return F.concat_ws("-", F.year(d), F.month(d), F.day(d))
 
     return (
-        F.when(x.isNull() | y.isNull(), _error(check, label, a, atype, b, btype))
+        F.when(x.isNull() | y.isNull(), _error(check, label, _described(a, atype), _described(b, btype)))
         .when(x == y, F.lit(check.pass_text))
         .otherwise(_change(check, check.fail_text, unpadded(x), unpadded(y)))
     )
@@ -131,7 +134,13 @@ def _numerical(check: Check, a: Column, atype: T.DataType, b: Column, btype: T.D
     (x, xtype), (y, ytype) = _numbers(check, a, atype, b, btype)
     bad = x.isNull() | y.isNull()
     label = "(numerical compare conversion fail)" if check.conv_text_to_num else "(numerical compare fail)"
-    result = F.when(bad, _error(check, label, a, atype, b, btype))
+
+    def seen(c: Column, dtype: T.DataType, number: Column) -> Column:
+        if check.conv_text_to_num and cells.is_text(dtype):  # shows the number where conversion went well
+            return F.when(number.isNotNull(), _described(number, T.DoubleType())).otherwise(_described(c, dtype))
+        return _described(c, dtype)
+
+    result = F.when(bad, _error(check, label, seen(a, atype, x), seen(b, btype, y)))
     if converted is not None:
         x, xtype = converted
         failure = F.lit(check.error_text)

@@ -269,24 +269,30 @@ def read_xml_tables(spark: SparkSession, path: str, record_path: str | None = No
 # ---------------------------------------------------------------------------------------------
 
 
-def archive_members(spark: SparkSession, path: str, suffix: str | None = ".xml") -> DataFrame:
-    """Files inside tar archives (any tar compression): ``archive, member, text``.
+def members_of(archives: DataFrame, suffix: str | None = ".xml", name: str = "archive",
+               content: str = "content") -> DataFrame:
+    """Files inside tar archives held in a binary column: ``archive, member, text``.
 
     One task reads one archive and gives out its members one by one. Other members are skipped.
     """
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+            for archive, data in zip(batch["archive"], batch["content"]):
+                with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tar:
                     for info in tar:
                         if not info.isfile() or (suffix and not info.name.lower().endswith(suffix)):
                             continue
                         text = tar.extractfile(info).read().decode("utf-8-sig", errors="replace")
                         yield pd.DataFrame({"archive": [archive], "member": [info.name], "text": [text]})
 
-    return archives.mapInPandas(members, "archive string, member string, text string")
+    columns = archives.select(names.col(name).alias("archive"), names.col(content).alias("content"))
+    return columns.mapInPandas(members, "archive string, member string, text string")
+
+
+def archive_members(spark: SparkSession, path: str, suffix: str | None = ".xml") -> DataFrame:
+    """Files inside tar archives (any tar compression) on disk: ``archive, member, text``."""
+    return members_of(spark.read.format("binaryFile").load(path), suffix, "path")
 
 
 def parse_documents(df: DataFrame, column: str, *, options: X.FlattenOptions = X.FlattenOptions(),
