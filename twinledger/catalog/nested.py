@@ -63,7 +63,7 @@ def flatten_residual(spark, sf):
 
 
 def flatten_overrides(spark, sf):
-    return flatten(_nested_orders(spark, sf), list_strategy_overrides={"Tags.Tag": "residual"}, residual_format="json",
+    return flatten(_nested_orders(spark, sf), list_strategy_overrides={"Tags/Tag": "residual"}, residual_format="json",
                    path_separator="/", column_order="alpha").table
 
 
@@ -170,7 +170,7 @@ SQL = {
     "flatten_aggregate": f"""WITH {t.ORDERS}, p AS ({_PARTS})
         SELECT "@id", status, {_TAGS} AS "Tags.Tag", {_AMOUNTS} AS "Amounts.Amount" FROM p""",
     "flatten_delimited": """SELECT CAST(doc_id AS VARCHAR) AS "@id", lang AS "origin.@lang", source AS "origin.source",
-        array_to_string(list_transform(string_split(text, chr(10)), x -> trim(x, '{ws}')), '#') AS "body.line" FROM documents""",
+        array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{ws}')), '#') AS "body.line" FROM documents""",
     "flatten_indexed": f"""WITH {t.ORDERS}, p AS ({_PARTS})
         SELECT "@id", status, split_part(o_orderpriority, '-', 1) AS "Tags.Tag.0", split_part(o_orderpriority, '-', 2) AS "Tags.Tag.1",
                'net' AS "Amounts.Amount.0.@kind", CAST(cents AS VARCHAR) AS "Amounts.Amount.0.Value",

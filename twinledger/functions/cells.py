@@ -6,6 +6,8 @@ the schema and what depends on its value is a JVM-side expression.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,16 @@ BOOLEAN_WORDS = {
     "allow_tf": (["t", "true", "T", "True", "TRUE"], ["f", "false", "F", "False", "FALSE"]),
 }
 
+# What float() accepts: with plain digits and ASCII white space (which the cast skips too), and in full.
+_SPACE = r"[\t-\r\x1c-\x20]*"
+_SPECIAL = "(?i:inf|infinity|nan)"
+_PLAIN_FLOAT = rf"^{_SPACE}[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|{_SPECIAL}){_SPACE}$"
+_DIGITS = "[0-9](?:_?[0-9])*"
+_ANY_FLOAT = rf"^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|{_SPECIAL})$"
+
+# Numbers DECIMAL(38, 18) holds exactly.
+_EXACT_SHAPE = r"^[+-]?(?:[0-9]{1,20}(?:\.[0-9]{0,18})?|\.[0-9]{1,18})$"
+
 _DATE_SHAPE = r"(?s)/.*/|\\.*\\|-.*-|\..*\.|(?iu:" + "|".join(MONTH_TOKENS) + ")"
 
 
@@ -72,12 +84,26 @@ def is_filled(c: Column, dtype: T.DataType) -> Column:
 def number_from_text(c: Column) -> Column:
     """Text to DOUBLE the way ``float()`` reads it; NULL where it is no number.
 
-    The SQL cast also takes a trailing d/f and hexadecimal literals, which ``float()`` does not.
+    The shape is matched first: the SQL cast also takes a trailing d/f and hexadecimal literals, which
+    ``float()`` does not, and it throws (and catches) an exception for every cell it cannot read.
     """
-    t = F.lower(strip(c))
-    suffixed = F.right(t, F.lit(1)).isin("d", "f") & ~t.isin("inf", "+inf", "-inf")
-    plain = F.when(t.contains("_"), F.regexp_replace(t, r"(?<=\d)_(?=\d)", "")).otherwise(t)
-    return F.when(suffixed | t.contains("x"), F.lit(None)).otherwise(plain.try_cast("double"))
+    unusual = c.contains("_") | (F.octet_length(c) > F.length(c))
+    bare = strip(c)
+    return F.when(c.rlike(_PLAIN_FLOAT), c.try_cast("double")).when(
+        unusual & bare.rlike(_ANY_FLOAT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double")
+    )
+
+
+def whole_number(c: Column, number: Column) -> Column:
+    """BIGINT of a text whose DOUBLE is ``number``; exact also where a DOUBLE is not."""
+    return F.when(F.abs(number) < 2.0**53, number.cast("bigint")).otherwise(
+        F.coalesce(strip(c).try_cast("bigint"), number.try_cast("bigint"))
+    )
+
+
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` evaluated once, for large expressions off the hot path."""
+    return F.transform(F.array(c), body)[0]
 
 
 def as_double(c: Column, dtype: T.DataType) -> Column:
@@ -229,17 +255,12 @@ def numeric_key(c: Column, dtype: T.DataType) -> Column:
     if not (is_text(dtype) or is_number(dtype)):
         return render(c, dtype)
     t = strip(c) if is_text(dtype) else c.cast("string")
-    lowered = F.lower(t)
-    number = number_from_text(t)
-    has_point = F.instr(t, ".") > 0
-    exact = ~lowered.contains("e") & (~has_point | (F.length(t) - F.instr(t, ".") <= 18))
-    exact_text = t.try_cast("decimal(38,18)").cast("string")
-    exact_text = F.rtrim(F.rtrim(exact_text, F.lit("0")), F.lit("."))
-    exact_text = F.when(exact_text.isin("-0", ""), "0").otherwise(exact_text)
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-    whole = F.when(F.abs(number) < 1e15, F.when(number == F.floor(number), number.cast("bigint").cast("string")))
-    return (
-        F.when(finite & exact & exact_text.isNotNull(), exact_text)
-        .when(finite, F.coalesce(whole, _render_float(number)))
-        .otherwise(t)
-    )
+    exact = F.rtrim(F.rtrim(t.try_cast("decimal(38,18)").cast("string"), F.lit("0")), F.lit("."))
+    exact = F.when(exact == "-0", "0").otherwise(exact)
+
+    def inexact(number: Column) -> Column:
+        whole = F.when((F.abs(number) < 1e15) & (number == F.floor(number)), number.cast("bigint").cast("string"))
+        finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
+        return F.when(finite, F.coalesce(whole, _render_float(number)))
+
+    return F.when(t.rlike(_EXACT_SHAPE), exact).otherwise(F.coalesce(let(number_from_text(t), inexact), t))

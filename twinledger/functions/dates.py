@@ -57,9 +57,33 @@ def write_pattern(date_format: str) -> str:
     return _pattern(date_format, padded=True)
 
 
+# What each directive looks like in text.
+_SHAPES = {"Y": "[0-9]{4}", "y": "[0-9]{2}", "f": "[0-9]{1,6}", "b": r"\p{L}+\.?", "B": r"\p{L}+", "p": "(?i:am|pm)",
+           "j": "[0-9]{1,3}", "z": "[+-][0-9:]+|Z"}
+
+
+def text_shape(date_format: str) -> str:
+    """Regular expression every text of this format matches.
+
+    Parsing a text that is no date costs an exception, so texts are matched first.
+    """
+    out, i = [], 0
+    while i < len(date_format):
+        ch = date_format[i]
+        if ch == "%" and i + 1 < len(date_format):
+            code = date_format[i + 1]
+            out.append("%" if code == "%" else f"(?:{_SHAPES.get(code, '[0-9]{1,2}')})")
+            i += 2
+        else:
+            out.append(ch if ch.isalnum() or ch == " " else "\\" + ch)
+            i += 1
+    return "(?i)^" + "".join(out) + "$"
+
+
 def parse_timestamp(c: Column, date_format: str = DEFAULT_FORMAT) -> Column:
     """Text to TIMESTAMP by a strptime format; NULL where it does not fit."""
-    parsed = F.try_to_timestamp(c, F.lit(parse_pattern(date_format)))
+    shaped = F.when(c.rlike(text_shape(date_format)), c)
+    parsed = F.try_to_timestamp(shaped, F.lit(parse_pattern(date_format)))
     if "%y" in date_format:  # two-digit years from 69 on belong to the 1900s
         parsed = F.when(F.year(parsed) >= 2069, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
     return parsed
@@ -68,7 +92,8 @@ def parse_timestamp(c: Column, date_format: str = DEFAULT_FORMAT) -> Column:
 def serial_date(c: Column, dtype: T.DataType) -> Column:
     """Spreadsheet day number (44927 -> 2023-01-01) to DATE; NULL where it is no whole number."""
     if is_text(dtype):
-        days = strip(c).try_cast("int")
+        bare = strip(c)
+        days = F.when(bare.rlike("^[+-]?[0-9]{1,9}$"), bare.try_cast("int"))
     elif is_number(dtype):
         days = F.when(c.cast("double") == F.floor(c.cast("double")), c.try_cast("int"))
     else:

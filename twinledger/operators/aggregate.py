@@ -138,16 +138,11 @@ def _plain_value(spec: AggSpec, dtype: T.DataType, inputs: Inputs, strip: bool)
 def _counts(kind: str, spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure:
     strip = spec.agg_options.get("strip", False)
     if kind == "count_all":
-        aggregates = {"v": F.count(F.lit(1))}
-    elif kind == "count_nonempty":
-        text = _text_of(names.col(spec.agg_col), dtype, strip, null_text)
-        aggregates = {"v": F.count_if(inputs.put(("nonempty", spec.agg_col, strip), text != ""))}
+        value = F.count(F.lit(1))
     else:
-        value = _plain_value(spec, dtype, inputs, strip)
-        # NULL counts as one value of its own.
-        aggregates = {"v": F.count_distinct(value), "null": F.max(F.when(value.isNull(), 1).otherwise(0))}
-        return Measure(aggregates, lambda get: get("v") + get("null"), T.LongType(), absent=(0, "ok"))
-    return Measure(aggregates, lambda get: get("v"), T.LongType(), absent=(0, "ok"))
+        text = _text_of(names.col(spec.agg_col), dtype, strip, null_text)
+        value = F.count_if(inputs.put(("nonempty", spec.agg_col, strip), text != ""))
+    return Measure({"v": value}, lambda get: get("v"), T.LongType(), absent=(0, "ok"))
 
 
 def _are_same(spec: AggSpec, dtype: T.DataType, inputs: Inputs) -> Measure:
@@ -232,13 +227,13 @@ def _category_sum(spec: AggSpec, dtype: T.DataType, inputs: Inputs) -> Measure:
 
 
 def _measure(spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: Inputs) -> Measure | None:
-    """Aggregates of a spec; None for concatenation, which is planned on its own."""
+    """Aggregates of a spec; None for concatenation and distinct counts, which are planned on their own."""
     kind = spec.kind
     if kind in ("sum", "min", "max", "average"):
         return _numbers(kind, spec, dtype, null_text, inputs)
     if kind in ("and", "or"):
         return _booleans(kind, spec, dtype, null_text, inputs)
-    if kind in ("count_all", "count_nonempty", "count_unique"):
+    if kind in ("count_all", "count_nonempty"):
         return _counts(kind, spec, dtype, null_text, inputs)
     if kind == "are_same":
         return _are_same(spec, dtype, inputs)
@@ -254,9 +249,40 @@ def _measure(spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: In
 
 
 # ---------------------------------------------------------------------------------------------
-# Concatenation
+# Distinct counts and concatenation
 # ---------------------------------------------------------------------------------------------
 
+_UNIQUE = Measure({}, lambda get: get("v"), T.LongType(), absent=(0, "ok"))
+_JOINED = Measure({}, lambda get: get("v"), T.StringType(), lambda get: get("c"), {}, ("", "ok"))
+
+
+def _distinct_count(df: DataFrame, group: dict[str, Column], spec: AggSpec, dtype: T.DataType, name: str) -> DataFrame:
+    """Distinct values per group; NULL is one value.
+
+    Grouping by (group, value) first spreads a hot group over its values. It is a plan of its own,
+    so that the other aggregates need not be carried along for every distinct value.
+    """
+    c = names.col(spec.agg_col)
+    value = cells.strip(c) if spec.agg_options.get("strip") and cells.is_text(dtype) else c
+    pairs = df.select(*[g.alias(n) for n, g in group.items()], value.alias("value")).distinct()
+    return pairs.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
+
+
+def _merged(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Put tables with one row per group side by side.
+
+    All parts are already partitioned by the group, so their union needs no further exchange.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    picks = [
+        (F.max(f.name) if cells.is_number(f.dataType) else F.any_value(F.col(f.name), F.lit(True))).alias(f.name)
+        for f in together.schema.fields
+        if f.name not in by
+    ]
+    return together.groupBy(*by).agg(*picks)
+
 
 def _concatenated(df: DataFrame, group: dict[str, Column], text: Column, link: str, unique: bool,
                   order: list[Column], max_chars: int | None) -> DataFrame:
@@ -402,37 +428,44 @@ def aggregate(
     plan = check_specs(df, specs, on_error)
     key_col = names.col(key)
 
-    parts: list[DataFrame] = []  # further tables with one row per key
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts: list[DataFrame] = []  # tables with one row per key
+    columns: dict[int, list[str]] = {n: [] for n in range(len(plan))}
 
     # Plain aggregates: one groupBy.
     inputs = Inputs()
     plain = [(n, s, m) for n, s in enumerate(plan) if not s.by_category
-             and (m := _measure(s, df.schema[s.agg_col].dataType, null_text, inputs))]
+             and (m := _measure(s, types[s.agg_col], null_text, inputs))]
     raw = {f"m{n}_{k}": a for n, _, m in plain for k, a in m.aggregates.items()}
-    columns: dict[int, list[str]] = {n: [] for n in range(len(plan))}
-    prepared = df.select(key_col.alias(KEY), *inputs.columns())
-    base = prepared.groupBy(KEY).agg(*[a.alias(n) for n, a in raw.items()]) if raw else prepared.distinct()
-    outputs = []
-    for n, s, m in plain:
-        get = lambda k, n=n: F.col(f"m{n}_{k}")
-        cell = _output(s.agg_name, m.value(get), m.state(get) if m.state else None, m, as_text)
-        for i, c in enumerate(cell):
-            outputs.append(c.alias(f"s{n}_{i}"))
-        columns[n] = [s.agg_name] + ([f"{s.agg_name}__status"] if len(cell) == 2 else [])
-    result = base.select(KEY, *outputs)
-
-    # Concatenations: one groupBy each, because each may leave out other groups.
+    if raw:
+        base = df.select(key_col.alias(KEY), *inputs.columns()).groupBy(KEY).agg(*[a.alias(n) for n, a in raw.items()])
+        outputs = []
+        for n, s, m in plain:
+            get = lambda k, n=n: F.col(f"m{n}_{k}")
+            cell = _output(s.agg_name, m.value(get), m.state(get) if m.state else None, m, as_text)
+            outputs += [c.alias(f"s{n}_{i}") for i, c in enumerate(cell)]
+            columns[n] = [s.agg_name] + ([f"{s.agg_name}__status"] if len(cell) == 2 else [])
+        parts.append(base.select(KEY, *outputs))
+
+    # Distinct counts and concatenations: one plan each.
+    concatenated = set()
     for n, s in enumerate(plan):
-        if s.by_category or s.kind not in ("concatenate", "concatenate_unique"):
+        if s.by_category or s.kind not in ("count_unique", "concatenate", "concatenate_unique"):
+            continue
+        if s.kind == "count_unique":
+            counted = _distinct_count(df, {KEY: key_col}, s, types[s.agg_col], "v")
+            parts.append(counted.select(KEY, _output("", F.col("v"), None, _UNIQUE, as_text)[0].alias(f"s{n}_0")))
+            columns[n] = [s.agg_name]
             continue
         if s.kind == "concatenate" and not order_by:
             raise ValueError("the concatenate aggregate needs order_by")
-        text = _text_of(names.col(s.agg_col), df.schema[s.agg_col].dataType, s.agg_options["strip"], null_text)
+        text = _text_of(names.col(s.agg_col), types[s.agg_col], s.agg_options["strip"], null_text)
         order = [names.col(names.resolve(df, c)) for c in order_by or []]
         joined = _concatenated(df, {KEY: key_col}, text, s.agg_options["link_text"], s.kind == "concatenate_unique",
                                order, max_cell_chars)
         columns[n] = [s.agg_name] + ([] if as_text else [f"{s.agg_name}__status"])
         parts.append(joined.withColumnRenamed("text", f"s{n}_0"))
+        concatenated.add(n)
 
     # Category aggregates: group by (key, category), then spread; specs of one category column share it.
     by_category: dict[str, list[int]] = {}
@@ -451,16 +484,15 @@ def aggregate(
         columns |= titles_of
         parts.append(table)
 
-    for table in parts:
-        table = table.withColumnRenamed(KEY, "__part_key")
-        result = result.join(table, F.col(KEY).eqNullSafe(F.col("__part_key")), "left").drop("__part_key")
+    if len(parts) == len(concatenated):  # keys whose only cells are too long must not get lost
+        parts.append(df.select(key_col.alias(KEY)).distinct())
+    result = _merged(parts, [KEY])
 
     final = [F.col(KEY)]
     titles = [label]
     for n, s in enumerate(plan):
-        concat = not s.by_category and s.kind in ("concatenate", "concatenate_unique")
         for i, title in enumerate(columns[n]):
-            if concat and i == 1:
+            if n in concatenated and i == 1:
                 final.append(F.when(F.col(f"s{n}_0").isNull(), "too_long").otherwise("ok"))
             else:
                 final.append(F.col(f"s{n}_{i}"))
@@ -474,13 +506,12 @@ def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs:
     """Aggregate by (key, category) and turn categories into columns ``s<spec>_<i>``."""
     cat_col = names.col(cat)
     group = {KEY: key_col, CATEGORY: cat_col}
+    types = {f.name: f.dataType for f in df.schema.fields}
     inputs = Inputs()
-    measures = {n: _measure(s, df.schema[s.agg_col].dataType, null_text, inputs) for n, s in specs}
+    measures = {n: _measure(s, types[s.agg_col], null_text, inputs) for n, s in specs}
     raw = {f"m{n}_{k}": a for n, m in measures.items() if m for k, a in m.aggregates.items()}
     prepared = df.select(*[c.alias(n) for n, c in group.items()], *inputs.columns())
-    cellwise = prepared.groupBy(KEY, CATEGORY).agg(
-        F.count(F.lit(1)).alias("__rows"), *[a.alias(n) for n, a in raw.items()]
-    )
+    counted = prepared.groupBy(KEY, CATEGORY).agg(F.lit(True).alias("here"), *[a.alias(n) for n, a in raw.items()])
     outputs = []
     for n, m in measures.items():
         if m:
@@ -488,20 +519,21 @@ def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs:
             outputs.append(m.value(get).alias(f"v{n}"))
             if m.state:
                 outputs.append(m.state(get).alias(f"c{n}"))
-    cellwise = cellwise.select(KEY, CATEGORY, *outputs)
+    parts = [counted.select(KEY, CATEGORY, "here", *outputs)]
     for n, s in specs:
-        if measures[n] is None:  # category-concat-unique
-            text = _text_of(names.col(s.agg_col), df.schema[s.agg_col].dataType, False, null_text)
+        if measures[n] is None and s.kind == "count_unique":
+            parts.append(_distinct_count(df, group, s, types[s.agg_col], f"v{n}"))
+            measures[n] = _UNIQUE
+        elif measures[n] is None:  # category-concat-unique
+            text = _text_of(names.col(s.agg_col), types[s.agg_col], False, null_text)
             joined = _concatenated(df, group, text, s.agg_options["link_text"], True, [], max_cell_chars)
-            joined = joined.select(F.col(KEY).alias("__k"), F.col(CATEGORY).alias("__c"), F.col("text").alias(f"v{n}"))
-            cellwise = (
-                cellwise.join(
-                    joined, F.col(KEY).eqNullSafe(F.col("__k")) & F.col(CATEGORY).eqNullSafe(F.col("__c")), "left"
-                )
-                .drop("__k", "__c")
-                .withColumn(f"c{n}", F.when(F.col(f"v{n}").isNull(), _CODE["too_long"]).otherwise(0))
-            )
-            measures[n] = Measure({}, lambda get: get("v"), T.StringType(), lambda get: get("c"), {}, ("", "ok"))
+            parts.append(joined.withColumnRenamed("text", f"v{n}"))
+            measures[n] = _JOINED
+    cellwise = _merged(parts, [KEY, CATEGORY])
+    for n, _ in specs:
+        if measures[n] is _JOINED:
+            too_long = F.col(f"v{n}").isNull()
+            cellwise = cellwise.withColumn(f"c{n}", F.when(too_long, _CODE["too_long"]).otherwise(0))
 
     def pick(c: str, dtype: T.DataType, at: Column) -> Column:
         # One row per cell: max() of a number keeps the aggregate hashed, any_value() serves the rest.
@@ -512,7 +544,7 @@ def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs:
     for i, value in enumerate(values):
         literal = F.lit(value) if value is not None else F.lit(None).cast(df.schema[cat].dataType)
         at = F.col(CATEGORY).eqNullSafe(literal)
-        picks.append(F.max(F.when(at, True)).alias(f"here_{i}"))
+        picks.append(F.max(F.when(at, F.col("here"))).alias(f"here_{i}"))
         for n, s in specs:
             m = measures[n]
             picks.append(pick(f"v{n}", m.dtype, at).alias(f"v{n}_{i}"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, names
 from ..plans import durable
+from ..plans.lazy import Tables
 from . import keys as K
 
 JOIN_TYPES = ("restrictive", "base", "promiscuous")
@@ -64,7 +65,7 @@ def join_tables(
     unmatched_name: str = "unmatched",
     numeric_key: bool = False,
     reuse_keys: bool = False,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """Join two tables by one key each.
 
     * ``restrictive``: base rows whose key is unique in ``ext`` (categories A, D).
@@ -115,51 +116,55 @@ def join_tables(
     base_fields = [f"b{i}" for i in range(len(base.columns))]
     ext_fields = [f"e{i}" for i in range(len(ext.columns))]
 
-    # Seen from the base table.
-    wanted = {"restrictive": "AD", "base": "ABDEFG", "promiscuous": "ABDFG"}[join_type]
-    stream = base.select(bkey.alias("__stream_key"), *[names.col(c).alias(f) for c, f in zip(base.columns, base_fields)])
-    from_base = index.select(*[c for c in index.columns if c != _BASE_ROW])
-    if join_type == "restrictive":
-        from_base = from_base.where(cat.isin(list(wanted)))
-    matched = stream.join(
-        from_base,
-        F.col("__stream_key").eqNullSafe(F.col(K.KEY)),
-        "inner" if join_type == "restrictive" else "left",
-    )
-    if join_type == "promiscuous":
-        matched = matched.where(cat != "E")
-    joined = matched.select(
-        *lead,
-        *[present(F.col(f), t).alias(n) for f, t, n in zip(base_fields, base_types, base_names)],
-        *[
-            placeholder(cat, "BG", "EF", F.col(_EXT_ROW)[f], t).alias(n)
-            for f, t, n in zip(ext_fields, ext_types, ext_names)
-        ],
-    )
-
-    # Seen from the ext table.
     ext_stream = ext.select(ekey.alias("__stream_key"), *[names.col(c).alias(f) for c, f in zip(ext.columns, ext_fields)])
-    if join_type == "promiscuous":
-        left_over = index.select(*[c for c in index.columns if c != _EXT_ROW]).where(cat.isin(list("CEFH")))
+
+    def seen_from_base() -> DataFrame:
+        stream = base.select(
+            bkey.alias("__stream_key"), *[names.col(c).alias(f) for c, f in zip(base.columns, base_fields)]
+        )
+        side = index.drop(_BASE_ROW)
+        if join_type == "restrictive":
+            side = side.where(cat.isin("A", "D"))
+        how = "inner" if join_type == "restrictive" else "left"
+        matched = stream.join(side, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), how)
+        if join_type == "promiscuous":
+            matched = matched.where(cat != "E")
+        return matched.select(
+            *lead,
+            *[present(F.col(f), t).alias(n) for f, t, n in zip(base_fields, base_types, base_names)],
+            *[
+                placeholder(cat, "BG", "EF", F.col(_EXT_ROW)[f], t).alias(n)
+                for f, t, n in zip(ext_fields, ext_types, ext_names)
+            ],
+        )
+
+    def seen_from_ext() -> DataFrame:
+        left_over = index.drop(_EXT_ROW).where(cat.isin(list("CEFH")))
         rest = ext_stream.join(left_over, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), "inner")
-        joined = joined.unionByName(
-            rest.select(
-                *lead,
-                *[
-                    placeholder(cat, "CH", "F", F.col(_BASE_ROW)[f], t).alias(n)
-                    for f, t, n in zip(base_fields, base_types, base_names)
-                ],
-                *[present(F.col(f), t).alias(n) for f, t, n in zip(ext_fields, ext_types, ext_names)],
-            )
+        return rest.select(
+            *lead,
+            *[
+                placeholder(cat, "CH", "F", F.col(_BASE_ROW)[f], t).alias(n)
+                for f, t, n in zip(base_fields, base_types, base_names)
+            ],
+            *[present(F.col(f), t).alias(n) for f, t, n in zip(ext_fields, ext_types, ext_names)],
         )
 
+    def joined() -> DataFrame:
+        return seen_from_base().unionByName(seen_from_ext()) if join_type == "promiscuous" else seen_from_base()
+
+    def keys() -> DataFrame:
+        found = index if negative is None else index.where((F.col(K.LEFT_ROWS) > 0) | (F.col(K.RIGHT_ROWS) > 0))
+        return found.select(cat.alias("Key Analysis Result"), F.col(K.KEY).alias("Key"))
+
+    def loose_rows() -> DataFrame:
+        loose = index.where(cat.isin(list("CEFH"))).select(K.KEY)
+        kept = ext_stream.join(loose, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), "left_semi")
+        return kept.select(*[F.col(f).alias(n) for f, n in zip(ext_fields, names.unique_names(ext.columns))])
+
     result = {"joined": joined}
     if all_keys:
-        found = index if negative is None else index.where((F.col(K.LEFT_ROWS) > 0) | (F.col(K.RIGHT_ROWS) > 0))
-        result["all_keys"] = found.select(cat.alias("Key Analysis Result"), F.col(K.KEY).alias("Key"))
+        result["all_keys"] = keys
     if unmatched and join_type == "base":
-        loose = index.where(cat.isin(list("CEFH"))).select(K.KEY)
-        result[unmatched_name] = ext_stream.join(
-            loose, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), "left_semi"
-        ).select(*[F.col(f).alias(n) for f, n in zip(ext_fields, names.unique_names(ext.columns))])
-    return result
+        result[unmatched_name] = loose_rows
+    return Tables(result)

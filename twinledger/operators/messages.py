@@ -57,8 +57,8 @@ def parse_envelopes(df: DataFrame, column: str | int) -> DataFrame:
 
 
 def encode_binary(content: Column) -> Column:
-    """Bytes as base64 text."""
-    return F.base64(content)
+    """Bytes as base64 text on one line."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def decode_payload(payload: Column, encoding: Column) -> Column:

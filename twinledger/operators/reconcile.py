@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import cells, names
 from ..plans import durable
+from ..plans.lazy import Tables
 from . import keys as K
 
 TEXT, NUMERIC = 0, 1
@@ -138,9 +139,9 @@ def _compared_type(ltype: T.DataType, rtype: T.DataType) -> T.DataType | None:
         return None
 
 
-def _cell_diff(pair: ColumnPair, ltypes: list, rtypes: list, texts: Texts, tolerance: float,
+def _cell_diff(n: int, pair: ColumnPair, ltypes: list, rtypes: list, texts: Texts, tolerance: float,
                zero_is_blank: bool) -> Column:
-    """The detail cell of one column pair."""
+    """The detail cell of one column pair (the ``n``-th)."""
     cat = F.col(_CAT)
     has_left, has_right = 0 <= pair.left < len(ltypes), 0 <= pair.right < len(rtypes)
 
@@ -188,8 +189,8 @@ def _cell_diff(pair: ColumnPair, ltypes: list, rtypes: list, texts: Texts, toler
         near = cells.in_tolerance(cells.as_double(lcell, ltype), cells.as_double(rcell, rtype), tolerance)
 
     if pair.compare == NUMERIC:
-        lnum = F.when(lfilled, cells.as_double(lcell, ltype))
-        rnum = F.when(rfilled, cells.as_double(rcell, rtype))
+        lnum = F.when(lfilled, F.col(f"__lnum_{n}"))
+        rnum = F.when(rfilled, F.col(f"__rnum_{n}"))
         parsed = lnum.isNotNull() & rnum.isNotNull()
         same = F.when(parsed, (lnum == rnum) & ~F.isnan(lnum)).otherwise(same & lnum.isNull() & rnum.isNull())
         if tolerance:
@@ -260,7 +261,7 @@ def reconcile(
     ordered: bool = False,
     first_keys: int = 20,
     reuse_keys: bool = False,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """Compare two versions of a table.
 
     Returns, lazily, ``detail`` (one row per key, one cell per column pair: match, in tolerance, or
@@ -330,13 +331,27 @@ def reconcile(
 
     titles = _titles(pairs, lhead, rhead, texts)
     shown = names.unique_names(titles, reserved=("Key", "Key Category"))
-    detail = keyed.select(
-        F.col(K.KEY).alias("Key"),
-        F.col(_CAT).alias("Key Category"),
-        *[_cell_diff(p, ltypes, rtypes, texts, tolerance, zero_is_blank).alias(n) for p, n in zip(pairs, shown)],
-    )
-    if ordered:
-        detail = detail.orderBy(F.col("Key Category").isin("C", "H"), "Key")
+
+    def detail() -> DataFrame:
+        staged = keyed
+        if any(p.compare == NUMERIC for p in pairs):
+            # Texts to be compared as numbers are read once, in a projection of their own.
+            numbers = {}
+            for n, p in enumerate(pairs):
+                if p.compare == NUMERIC:
+                    for side, row_name, at, types in (("l", _LEFT_ROW, p.left, ltypes), ("r", _RIGHT_ROW, p.right, rtypes)):
+                        if 0 <= at < len(types):
+                            numbers[f"__{side}num_{n}"] = cells.as_double(F.col(row_name)[f"c{at}"], types[at])
+            staged = keyed.select("*", *[c.alias(name) for name, c in numbers.items()])
+        out = staged.select(
+            F.col(K.KEY).alias("Key"),
+            F.col(_CAT).alias("Key Category"),
+            *[
+                _cell_diff(n, p, ltypes, rtypes, texts, tolerance, zero_is_blank).alias(name)
+                for n, (p, name) in enumerate(zip(pairs, shown))
+            ],
+        )
+        return out.orderBy(F.col("Key Category").isin("C", "H"), "Key") if ordered else out
 
     found = keyed.select(F.col(K.KEY).alias("key"), F.col(_CAT).alias("category"))
 
@@ -349,28 +364,30 @@ def reconcile(
             .toDF(*names.unique_names(head))
         )
 
-    headers = left.sparkSession.createDataFrame(
-        [
-            ("Original header names, unique:", ", ".join(sorted(set(lhead) - _repeated(lhead)))),
-            ("Original header names, non-unique:", ", ".join(sorted(_repeated(lhead)))),
-            ("New header names, unique:", ", ".join(sorted(set(rhead) - _repeated(rhead)))),
-            ("New header names, non-unique:", ", ".join(sorted(_repeated(rhead)))),
-        ],
-        "item string, names string",
-    )
+    def headers() -> DataFrame:
+        return left.sparkSession.createDataFrame(
+            [
+                ("Original header names, unique:", ", ".join(sorted(set(lhead) - _repeated(lhead)))),
+                ("Original header names, non-unique:", ", ".join(sorted(_repeated(lhead)))),
+                ("New header names, unique:", ", ".join(sorted(set(rhead) - _repeated(rhead)))),
+                ("New header names, non-unique:", ", ".join(sorted(_repeated(rhead)))),
+            ],
+            "item string, names string",
+        )
+
     result = {
         "detail": detail,
-        "duplicates in original": duplicates(lplain, lkey, lhead, "DFG"),
-        "duplicates in new": duplicates(rplain, rkey, rhead, "EFH"),
-        "summary": K.summarize_keys(found, first_keys),
+        "duplicates in original": lambda: duplicates(lplain, lkey, lhead, "DFG"),
+        "duplicates in new": lambda: duplicates(rplain, rkey, rhead, "EFH"),
+        "summary": lambda: K.summarize_keys(found, first_keys),
         "headers": headers,
-        "keys": found,
-        "columns": _columns_table(left, right, lhead, rhead, pairs, shown, titles),
+        "keys": lambda: found,
+        "columns": lambda: _columns_table(left, right, lhead, rhead, pairs, shown, titles),
     }
     if include_source:
-        result["original"] = lplain.toDF(*names.unique_names(lhead))
-        result["new"] = rplain.toDF(*names.unique_names(rhead))
-    return result
+        result["original"] = lambda: lplain.toDF(*names.unique_names(lhead))
+        result["new"] = lambda: rplain.toDF(*names.unique_names(rhead))
+    return Tables(result)
 
 
 def reconcile_guided(
@@ -385,7 +402,7 @@ def reconcile_guided(
     sort: bool = False,
     strip: bool = True,
     **options,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """:func:`reconcile` with the column pairs chosen by :func:`map_columns`.
 
     Adds ``Column Errors`` to the result if columns had to be left out.
@@ -393,5 +410,6 @@ def reconcile_guided(
     pairs, errors = map_columns(left, right, mode, select, columns, strip, sort)
     result = reconcile(left, right, left_key, right_key, columns=pairs, strip=strip, **options)
     if errors:
-        result["Column Errors"] = left.sparkSession.createDataFrame([(e,) for e in errors], "message string")
+        messages = [(e,) for e in errors]
+        result = result.having(**{"Column Errors": lambda: left.sparkSession.createDataFrame(messages, "message string")})
     return result

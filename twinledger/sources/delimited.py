@@ -160,34 +160,33 @@ def convert_types(df: DataFrame, convert_numbers: bool = True, convert_dates: bo
     One aggregate pass looks at all columns together. Blank cells become NULL in converted columns.
     """
     chosen = columns or [f.name for f in df.schema.fields if cells.is_text(f.dataType)]
-    tests = []
-    for i, name in enumerate(chosen):
-        c = names.col(name)
-        filled = ~cells.is_blank(c, T.StringType())
-        number = cells.number_from_text(c)
-        whole = (number == F.floor(number)) & (F.abs(number) < 2.0**63)
-        stamp = dates.parse_timestamp(c, date_format)
-        tests += [
-            F.count_if(filled).alias(f"filled{i}"),
-            F.count_if(filled & number.isNull()).alias(f"text{i}"),
-            F.count_if(filled & ~F.coalesce(whole, F.lit(False))).alias(f"broken{i}"),
-            (F.count_if(filled & stamp.isNull()) if convert_dates else F.lit(1)).alias(f"undated{i}"),
-        ]
-    if not tests:
+    if not chosen:
         return df
-    seen = df.agg(*tests).first()
+    # One row per cell for the test: its code stays small, so the JVM compiles it however wide the table is.
+    cell = df.select(F.posexplode(F.array(*[names.col(c) for c in chosen])).alias("i", "c"))
+    c, number = F.col("c"), F.col("n")
+    judged = cell.where(~cells.is_blank(c, T.StringType())).select(
+        "i",
+        (cells.number_from_text(c) if convert_numbers else F.lit(None).cast("double")).alias("n"),
+        (dates.parse_timestamp(c, date_format).isNotNull() if convert_dates else F.lit(False)).alias("d"),
+    )
+    whole = F.coalesce((number == F.floor(number)) & (F.abs(number) < 2.0**63), F.lit(False))
+    counted = judged.groupBy("i").agg(
+        F.count_if(number.isNull()).alias("text"), F.count_if(~whole).alias("broken"), F.count_if(~F.col("d")).alias("undated")
+    )
+    seen = {r["i"]: r for r in counted.collect()}
     changes = {}
     for i, name in enumerate(chosen):
         c = names.col(name)
-        if not seen[f"filled{i}"]:
+        if i not in seen:
             continue
-        if convert_numbers and not seen[f"text{i}"]:
+        if convert_numbers and not seen[i]["text"]:
             number = cells.number_from_text(c)
-            if not seen[f"broken{i}"]:
-                changes[name] = F.coalesce(cells.strip(c).try_cast("bigint"), number.try_cast("bigint"))
+            if not seen[i]["broken"]:
+                changes[name] = cells.whole_number(c, number)
             else:
                 changes[name] = number
-        elif convert_dates and not seen[f"undated{i}"]:
+        elif convert_dates and not seen[i]["undated"]:
             changes[name] = dates.parse_timestamp(c, date_format)
     return df.select(*[changes[c].alias(c) if c in changes else names.col(c) for c in df.columns])
 
