@@ -93,6 +93,38 @@ def test_category_cost_does_not_grow_with_categories(files):
     assert "Expand" not in plan
 
 
+def test_first_keys_and_rows_are_cut_in_every_task(files):
+    from twinledger import summarize_keys
+    from twinledger.sources.xml import limit_per_group
+
+    fact, dim = files
+    plan = plan_of(summarize_keys(key_analysis(fact, dim, "k", "k"), first=5))
+    assert "WindowGroupLimit" in plan
+    limited = limit_per_group(fact, ["k"], 2)
+    assert "WindowGroupLimit" in plan_of(limited) and limited.where("k = 7").count() == 2
+
+
+def test_distinct_counts_are_spread_by_value(files):
+    fact, _ = files
+    plan = plan_of(aggregate(fact, "k", [AggSpec("count_unique", "v", "u"), AggSpec("count_unique", "pad", "p"),
+                                         AggSpec("sum", "v", "s")]))
+    assert "Expand" not in plan and "hashpartitioning(__key" in plan and "value" in plan
+
+
+def test_merged_keys_stay_unique_under_adaptive_coalescing(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+        large = spark.range(100_000).select((F.col("id") % 30_000).alias("k"))
+        small = spark.range(300).select((F.col("id") * 7).alias("k"))
+        found = key_analysis(large, small, "k", "k").collect()
+        assert len(found) == len({r["key"] for r in found}) == 30_000
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_row_numbers_without_one_task(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("o"))
     numbered = durable.with_row_number(df, ["o"], "n")

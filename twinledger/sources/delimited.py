@@ -164,15 +164,19 @@ def convert_types(df: DataFrame, convert_numbers: bool = True, convert_dates: bo
         return df
     # One row per cell for the test: its code stays small, so the JVM compiles it however wide the table is.
     cell = df.select(F.posexplode(F.array(*[names.col(c) for c in chosen])).alias("i", "c"))
-    c, number = F.col("c"), F.col("n")
-    judged = cell.where(~cells.is_blank(c, T.StringType())).select(
+    number = cells.number_from_text(F.col("c")) if convert_numbers else F.lit(None).cast("double")
+    read = cell.select("i", "c", number.alias("n"))
+    c, n = F.col("c"), F.col("n")
+    dated = F.when(n.isNull(), dates.parse_timestamp(c, date_format).isNotNull()).otherwise(False)
+    judged = read.select(
         "i",
-        (cells.number_from_text(c) if convert_numbers else F.lit(None).cast("double")).alias("n"),
-        (dates.parse_timestamp(c, date_format).isNotNull() if convert_dates else F.lit(False)).alias("d"),
+        "n",
+        F.when(n.isNotNull(), False).otherwise(cells.is_blank(c, T.StringType())).alias("blank"),
+        (dated if convert_dates else F.lit(False)).alias("d"),
     )
-    whole = F.coalesce((number == F.floor(number)) & (F.abs(number) < 2.0**63), F.lit(False))
-    counted = judged.groupBy("i").agg(
-        F.count_if(number.isNull()).alias("text"), F.count_if(~whole).alias("broken"), F.count_if(~F.col("d")).alias("undated")
+    whole = F.coalesce((n == F.floor(n)) & (F.abs(n) < 2.0**63), F.lit(False))
+    counted = judged.where(~F.col("blank")).groupBy("i").agg(
+        F.count_if(n.isNull()).alias("text"), F.count_if(~whole).alias("broken"), F.count_if(~F.col("d")).alias("undated")
     )
     seen = {r["i"]: r for r in counted.collect()}
     changes = {}

@@ -245,16 +245,17 @@ def read_xml(
     hint = _hint(outline, chain, options, namespace_mode == "strip")
     result = X.flatten(df, options, carry=carry, discovery=hint)
     if per_file:
-        result.table = limit_per_group(result.table, "__file", max_rows)
+        result.table = limit_per_group(result.table, ["__file"], max_rows)
         if not with_file_name:
             result.table = result.table.drop("__file")
     return result
 
 
-def limit_per_group(df: DataFrame, group: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows of each group; every task cuts its own rows before they are shuffled."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.lit(1)))
-    return df.withColumn("__place", place).where(F.col("__place") <= rows).drop("__place")
+def limit_per_group(df: DataFrame, group: list[str], rows: int) -> DataFrame:
+    """The first ``rows`` rows of each group; every task cuts its own rows before they are shuffled."""
+    placed = df.withColumn("__order", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("__order"))
+    return placed.withColumn("__place", place).where(F.col("__place") <= rows).drop("__place", "__order")
 
 
 def read_xml_tables(spark: SparkSession, path: str, record_path: str | None = None, **options) -> dict[str, DataFrame]:
@@ -353,6 +354,5 @@ def read_xml_archive(spark: SparkSession, path: str, record_path: str | None = N
                                attribute_prefix=options.attribute_prefix, text_key=options.text_key, carry=carry)
     result = X.flatten(records, options, carry=carry)
     if max_rows is not None:
-        place = F.row_number().over(Window.partitionBy(*carry).orderBy(F.lit(1)))
-        result.table = result.table.withColumn("__place", place).where(F.col("__place") <= max_rows).drop("__place")
+        result.table = limit_per_group(result.table, list(carry), max_rows)
     return result
