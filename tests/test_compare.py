@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from twinledger import Check, compare_columns, compare_many, parse_constants, with_constants
+from twinledger import Check, compare_columns, compare_many, parse_constants, specs_from_table, with_constants
 
 
 def outcome(spark, schema, row, kind="text", **options):
@@ -119,3 +119,16 @@ def test_constants(spark):
     for bad in ("**CONST bool maybe", "**CONST int x", "**CONST list 1", "**CONST int"):
         with pytest.raises(ValueError):
             parse_constants([{"first_col": bad}])
+
+
+def test_specs_from_a_table(spark, rows):
+    table = spark.createDataFrame(
+        [("p", "q", "text", None, "a"), ("x", "y", "numerical", 0.6, "b"), ("**CONST int 1", "x", "numerical", None, "c")],
+        "first_col string, second_col string, compare_type string, tolerance double, new_col_name string",
+    )
+    specs = specs_from_table(table, header_row=True, header_row_index=0, column_select_mode="name", pass_text="OK")
+    df = spark.createDataFrame([("a", "a", 1.0, 2.0)], "p string, q string, x double, y double")
+    checked = compare_many(with_constants(df, specs), specs, on_error="raise")
+    assert rows(checked.table.select("a", "b", "c")) == [("OK", "OK (WITHIN TOLERANCE)", "OK")]
+    by_index = compare_many(df, [dict(first_col="0", second_col="1", column_select_mode="index", new_col_name="r")])
+    assert by_index.table.first()["r"] == "PASS"

@@ -147,3 +147,12 @@ def test_typed_join(every):
 def test_unknown_join_type(every):
     with pytest.raises(ValueError):
         join_tables(*every, "outer", 0, 0)
+
+
+def test_negative_list_of_another_type(spark, rows):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(5.0,)], "k double")
+    listed = spark.createDataFrame([("001",), ("x",)], "k string")
+    got = {k: e for k, _, _, _, e in rows(key_analysis(left, right, 0, 0, negative=listed, numeric=True))}
+    assert got == {1.0: "Yes", 2.0: "No", 5.0: "n/a"}
+    joined = join_tables(left, right, "base", 0, 0, negative=listed, numeric_key=True)["joined"]
+    assert {(r[0], r[2]) for r in joined.collect()} == {(1.0, "Yes"), (2.0, "No")}

@@ -4,7 +4,7 @@ from .functions.cells import cell_type, in_tolerance, is_blank, safe_number
 from .functions.names import excel_column
 from .operators.aggregate import aggregate, concatenate_parts, de_aggregate, distinct_values
 from .operators.columns import extract_column, first_columns, spread_cells, square_rows, strip_cells, union_tables
-from .operators.compare import Check, compare_columns, compare_many, parse_constants, with_constants
+from .operators.compare import Check, compare_columns, compare_many, parse_constants, specs_from_table, with_constants
 from .operators.flatten import FlattenOptions, detect_record_path, expected_rows, flatten, select_records
 from .operators.join import join_tables
 from .operators.keys import key_analysis, key_set, summarize_keys

@@ -253,7 +253,7 @@ def _measure(spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: In
 # ---------------------------------------------------------------------------------------------
 
 _UNIQUE = Measure({}, lambda get: get("v"), T.LongType(), absent=(0, "ok"))
-_JOINED = Measure({}, lambda get: get("v"), T.StringType(), lambda get: get("c"), {}, ("", "ok"))
+_JOINED = Measure({}, lambda get: get("v"), T.StringType(), lambda get: get("c"), {"too_long": "-Too long-"}, ("", "ok"))
 
 
 def _distinct_count(df: DataFrame, group: dict[str, Column], spec: AggSpec, dtype: T.DataType, name: str) -> DataFrame:
@@ -285,11 +285,12 @@ def _merged(parts: list[DataFrame], by: list[str]) -> DataFrame:
 
 
 def _concatenated(df: DataFrame, group: dict[str, Column], text: Column, link: str, unique: bool,
-                  order: list[Column], max_chars: int | None) -> DataFrame:
+                  order: list[Column], max_chars: int | None, name: str) -> list[DataFrame]:
     """One text per group, in the given order or, if unique, of the sorted distinct items.
 
     Groups whose text would pass ``max_chars`` are found by a narrow sum first and get no text.
-    There are at most (all characters / max_chars) of them, which bounds their broadcast.
+    There are at most (all characters / max_chars) of them, which bounds their broadcast. Returns
+    the texts as ``<name>_text`` and, if there is a bound, the sizes of all groups as ``<name>_size``.
     """
     fields = list(group)
     if unique:
@@ -301,16 +302,27 @@ def _concatenated(df: DataFrame, group: dict[str, Column], text: Column, link: s
             F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], text.alias("t")).alias("item"),
         )
         item, read = F.col("item"), "t"
+    sizes = []
     if max_chars is not None:
         size = F.sum(F.length(F.col("t") if unique else F.col("item.t")) + F.lit(len(link) + 1))
-        large = rows.groupBy(*fields).agg(size.alias("size")).where(F.col("size") > max_chars)
-        large = F.broadcast(large.select(*[F.col(f).alias(f"large_{f}") for f in fields]))
+        sized = rows.groupBy(*fields).agg(size.alias(f"{name}_size"))
+        large = sized.where(F.col(f"{name}_size") > max_chars).select(*[F.col(f).alias(f"large_{f}") for f in fields])
         match = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"large_{f}")) for f in fields])
-        rows = rows.join(large, match, "left_anti")
+        rows = rows.join(F.broadcast(large), match, "left_anti")
+        sizes.append(sized)
     gathered = F.array_sort(F.collect_list(item))
     if read:
         gathered = F.transform(gathered, lambda x: x[read])
-    return rows.groupBy(*fields).agg(F.array_join(gathered, link).alias("text"))
+    return [rows.groupBy(*fields).agg(F.array_join(gathered, link).alias(f"{name}_text")), *sizes]
+
+
+def _joined_cell(name: str, max_chars: int | None) -> tuple[Column, Column]:
+    """Text and state of a concatenated cell."""
+    text = F.col(f"{name}_text")
+    if max_chars is None:
+        return text, F.lit(_CODE["ok"])
+    fits = F.col(f"{name}_size") <= max_chars
+    return F.when(fits, text), F.when(fits, _CODE["ok"]).otherwise(_CODE["too_long"])
 
 
 def concatenate_parts(
@@ -461,10 +473,9 @@ def aggregate(
             raise ValueError("the concatenate aggregate needs order_by")
         text = _text_of(names.col(s.agg_col), types[s.agg_col], s.agg_options["strip"], null_text)
         order = [names.col(names.resolve(df, c)) for c in order_by or []]
-        joined = _concatenated(df, {KEY: key_col}, text, s.agg_options["link_text"], s.kind == "concatenate_unique",
-                               order, max_cell_chars)
+        parts += _concatenated(df, {KEY: key_col}, text, s.agg_options["link_text"], s.kind == "concatenate_unique",
+                               order, max_cell_chars, f"j{n}")
         columns[n] = [s.agg_name] + ([] if as_text else [f"{s.agg_name}__status"])
-        parts.append(joined.withColumnRenamed("text", f"s{n}_0"))
         concatenated.add(n)
 
     # Category aggregates: group by (key, category), then spread; specs of one category column share it.
@@ -484,19 +495,15 @@ def aggregate(
         columns |= titles_of
         parts.append(table)
 
-    if len(parts) == len(concatenated):  # keys whose only cells are too long must not get lost
-        parts.append(df.select(key_col.alias(KEY)).distinct())
-    result = _merged(parts, [KEY])
-
-    final = [F.col(KEY)]
-    titles = [label]
+    result = _merged(parts, [KEY]) if parts else df.select(key_col.alias(KEY)).distinct()
+    final, titles = [F.col(KEY)], [label]
     for n, s in enumerate(plan):
-        for i, title in enumerate(columns[n]):
-            if n in concatenated and i == 1:
-                final.append(F.when(F.col(f"s{n}_0").isNull(), "too_long").otherwise("ok"))
-            else:
-                final.append(F.col(f"s{n}_{i}"))
-            titles.append(title)
+        if n in concatenated:
+            text, code = _joined_cell(f"j{n}", max_cell_chars)
+            final += _output(s.agg_name, text, code, _JOINED, as_text)
+        else:
+            final += [F.col(f"s{n}_{i}") for i in range(len(columns[n]))]
+        titles += columns[n]
     result = result.select(*[c.alias(t) for c, t in zip(final, names.unique_names(titles))])
     return result.orderBy(names.col(result.columns[0])) if ordered else result
 
@@ -526,14 +533,13 @@ def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs:
             measures[n] = _UNIQUE
         elif measures[n] is None:  # category-concat-unique
             text = _text_of(names.col(s.agg_col), types[s.agg_col], False, null_text)
-            joined = _concatenated(df, group, text, s.agg_options["link_text"], True, [], max_cell_chars)
-            parts.append(joined.withColumnRenamed("text", f"v{n}"))
+            parts += _concatenated(df, group, text, s.agg_options["link_text"], True, [], max_cell_chars, f"j{n}")
             measures[n] = _JOINED
     cellwise = _merged(parts, [KEY, CATEGORY])
     for n, _ in specs:
         if measures[n] is _JOINED:
-            too_long = F.col(f"v{n}").isNull()
-            cellwise = cellwise.withColumn(f"c{n}", F.when(too_long, _CODE["too_long"]).otherwise(0))
+            text, code = _joined_cell(f"j{n}", max_cell_chars)
+            cellwise = cellwise.withColumn(f"v{n}", text).withColumn(f"c{n}", code)
 
     def pick(c: str, dtype: T.DataType, at: Column) -> Column:
         # One row per cell: max() of a number keeps the aggregate hashed, any_value() serves the rest.

@@ -210,6 +210,28 @@ class Checked:
         )
 
 
+# Options of a specification that say how a header was found; DataFrames have it already.
+_HEADER_OPTIONS = ("header_row", "header_row_index", "column_select_mode")
+_MAX_SPECS = 10_000
+
+
+def _check_of(spec: Check | dict[str, Any]) -> Check:
+    if isinstance(spec, Check):
+        return spec
+    options = {k: v for k, v in spec.items() if k not in _HEADER_OPTIONS}
+    if spec.get("column_select_mode") == "index":
+        options |= {k: int(options[k]) for k in ("first_col", "second_col")}
+    return Check(**options)
+
+
+def specs_from_table(table: DataFrame, **common: Any) -> list[dict[str, Any]]:
+    """Specifications from a small table, one per row; empty cells are left to ``common`` or the defaults."""
+    rows = table.limit(_MAX_SPECS + 1).collect()
+    if len(rows) > _MAX_SPECS:
+        raise ValueError(f"more than {_MAX_SPECS} specifications")
+    return [{**common, **{k: v for k, v in r.asDict().items() if v is not None and v != ""}} for r in rows]
+
+
 def compare_many(df: DataFrame, specs: list[Check | dict[str, Any]], on_error: str = "skip") -> Checked:
     """Add one result column per specification, all in one pass.
 
@@ -223,7 +245,7 @@ def compare_many(df: DataFrame, specs: list[Check | dict[str, Any]], on_error: s
     checks: list[Check] = []
     for spec in specs:
         try:
-            check = spec if isinstance(spec, Check) else Check(**spec)
+            check = _check_of(spec)
             if not 0 <= check.tolerance < 1:
                 raise ValueError("tolerance must be at least 0 and less than 1")
             checks.append(check)

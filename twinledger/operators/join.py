@@ -86,7 +86,8 @@ def join_tables(
     bkey, ekey = K.key_columns(base, ext, base_key, ext_key, numeric_key)
     nkey = None
     if negative is not None:
-        _, nkey = K.key_columns(base, negative, base_key, negative_key, numeric_key)
+        key_type = base.select(bkey).schema[0].dataType
+        nkey = K.negative_column(base, negative, base_key, negative_key, numeric_key, key_type)
     index = _key_index(base, ext, bkey, ekey, with_base=join_type == "promiscuous", with_ext=True,
                        negative=negative, nkey=nkey)
     if reuse_keys:

@@ -81,6 +81,16 @@ def key_columns(left: DataFrame, right: DataFrame, left_key: str | int, right_ke
     return as_key(lcol, ltype, target), as_key(rcol, rtype, target)
 
 
+def negative_column(left: DataFrame, negative: DataFrame, left_key: str | int, negative_key: str | int,
+                    numeric: bool, key_type: T.DataType) -> Column:
+    """Key of the negative list, brought to the type the two tables are compared in."""
+    _, nkey = key_columns(left, negative, left_key, negative_key, numeric)
+    dtype = negative.select(nkey).schema[0].dataType
+    if cells.is_text(dtype) and not cells.is_text(key_type):
+        return nkey.try_cast(key_type)
+    return as_key(nkey, dtype, key_type)
+
+
 def tally(df: DataFrame, key: Column, rows_name: str, payload: dict[str, Column] | None = None) -> DataFrame:
     """One row per key: how many rows it has and, for each payload, any one of its values.
 
@@ -123,9 +133,8 @@ def key_analysis(left: DataFrame, right: DataFrame, left_key: str | int, right_k
     lkey, rkey = key_columns(left, right, left_key, right_key, numeric)
     parts = [tally(left, lkey, LEFT_ROWS), tally(right, rkey, RIGHT_ROWS)]
     if negative is not None:
-        _, nkey = key_columns(left, negative, left_key, negative_key, numeric)
-        key_type = parts[0].schema[KEY].dataType
-        parts.append(tally(negative, as_key(nkey, negative.select(nkey).schema[0].dataType, key_type), NEGATIVE_ROWS))
+        nkey = negative_column(left, negative, left_key, negative_key, numeric, parts[0].schema[KEY].dataType)
+        parts.append(tally(negative, nkey, NEGATIVE_ROWS))
     merged = merge_tallies(parts)
     cat = category(F.col(LEFT_ROWS), F.col(RIGHT_ROWS))
     out = [
