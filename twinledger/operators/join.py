@@ -127,7 +127,7 @@ def join_tables(
         if join_type == "restrictive":
             side = side.where(cat.isin("A", "D"))
         how = "inner" if join_type == "restrictive" else "left"
-        matched = stream.join(side, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), how)
+        matched = stream.join(side, K.finds(F.col("__stream_key")), how)
         if join_type == "promiscuous":
             matched = matched.where(cat != "E")
         return matched.select(
@@ -141,7 +141,7 @@ def join_tables(
 
     def seen_from_ext() -> DataFrame:
         left_over = index.drop(_EXT_ROW).where(cat.isin(list("CEFH")))
-        rest = ext_stream.join(left_over, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), "inner")
+        rest = ext_stream.join(left_over, K.finds(F.col("__stream_key")), "inner")
         return rest.select(
             *lead,
             *[
@@ -159,8 +159,8 @@ def join_tables(
         return found.select(cat.alias("Key Analysis Result"), F.col(K.KEY).alias("Key"))
 
     def loose_rows() -> DataFrame:
-        loose = index.where(cat.isin(list("CEFH"))).select(K.KEY)
-        kept = ext_stream.join(loose, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), "left_semi")
+        loose = index.where(cat.isin(list("CEFH"))).select(K.KEY, K.LEFT_ROWS)
+        kept = ext_stream.join(loose, K.finds(F.col("__stream_key")), "left_semi")
         return kept.select(*[F.col(f).alias(n) for f, n in zip(ext_fields, names.unique_names(ext.columns))])
 
     result = {"joined": joined}

@@ -117,6 +117,16 @@ def merge_tallies(tallies: list[DataFrame]) -> DataFrame:
 NEGATIVE_ROWS = "__negative_rows"
 
 
+def finds(stream_key: Column) -> Column:
+    """Join condition from a streamed table to a key table that still has its row counts.
+
+    NULL finds NULL. The key goes through a condition that always holds, so that the join hashes on
+    something else than the aggregate that made the key table. Both inputs are then exchanges made for
+    the join, which is what adaptive execution needs to split the partition of a hot key.
+    """
+    return stream_key.eqNullSafe(F.when(F.col(LEFT_ROWS) >= 0, F.col(KEY)))
+
+
 def explained(cat: Column, negative_rows: Column) -> Column:
     """Yes / No for keys missing on the right, n/a for all others."""
     return F.when(~cat.isin("B", "G"), "n/a").when(negative_rows > 0, "Yes").otherwise("No")

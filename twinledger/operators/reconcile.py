@@ -356,10 +356,10 @@ def reconcile(
     found = keyed.select(F.col(K.KEY).alias("key"), F.col(_CAT).alias("category"))
 
     def duplicates(plain: DataFrame, key: Column, head: list[str], letters: str) -> DataFrame:
-        bad = found.where(F.col("category").isin(list(letters))).select(F.col("key").alias(K.KEY))
+        bad = keyed.where(F.col(_CAT).isin(list(letters))).select(K.KEY, K.LEFT_ROWS)
         return (
             plain.withColumn("__stream_key", key)
-            .join(bad, F.col("__stream_key").eqNullSafe(F.col(K.KEY)), "left_semi")
+            .join(bad, K.finds(F.col("__stream_key")), "left_semi")
             .drop("__stream_key")
             .toDF(*names.unique_names(head))
         )
