@@ -285,12 +285,12 @@ def _merged(parts: list[DataFrame], by: list[str]) -> DataFrame:
 
 
 def _concatenated(df: DataFrame, group: dict[str, Column], text: Column, link: str, unique: bool,
-                  order: list[Column], max_chars: int | None, name: str) -> list[DataFrame]:
+                  order: list[Column], max_chars: int | None, name: str) -> DataFrame:
     """One text per group, in the given order or, if unique, of the sorted distinct items.
 
-    Groups whose text would pass ``max_chars`` are found by a narrow sum first and get no text.
-    There are at most (all characters / max_chars) of them, which bounds their broadcast. Returns
-    the texts as ``<name>_text`` and, if there is a bound, the sizes of all groups as ``<name>_size``.
+    Groups whose text would pass ``max_chars`` are found by a narrow sum first; none of their items
+    are gathered. There are at most (all characters / max_chars) of them, which bounds their
+    broadcast. Returns ``<name>_text`` and ``<name>_long`` (True for those groups, else NULL).
     """
     fields = list(group)
     if unique:
@@ -302,27 +302,24 @@ def _concatenated(df: DataFrame, group: dict[str, Column], text: Column, link: s
             F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], text.alias("t")).alias("item"),
         )
         item, read = F.col("item"), "t"
-    sizes = []
+    long = F.lit(None).cast("boolean")
     if max_chars is not None:
         size = F.sum(F.length(F.col("t") if unique else F.col("item.t")) + F.lit(len(link) + 1))
-        sized = rows.groupBy(*fields).agg(size.alias(f"{name}_size"))
-        large = sized.where(F.col(f"{name}_size") > max_chars).select(*[F.col(f).alias(f"large_{f}") for f in fields])
+        large = rows.groupBy(*fields).agg(size.alias("size")).where(F.col("size") > max_chars)
+        large = large.select(*[F.col(f).alias(f"large_{f}") for f in fields], F.lit(True).alias("long"))
         match = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"large_{f}")) for f in fields])
-        rows = rows.join(F.broadcast(large), match, "left_anti")
-        sizes.append(sized)
+        rows = rows.join(F.broadcast(large), match, "left")
+        item, long = F.when(F.col("long").isNull(), item), F.max("long")
     gathered = F.array_sort(F.collect_list(item))
     if read:
         gathered = F.transform(gathered, lambda x: x[read])
-    return [rows.groupBy(*fields).agg(F.array_join(gathered, link).alias(f"{name}_text")), *sizes]
+    return rows.groupBy(*fields).agg(F.array_join(gathered, link).alias(f"{name}_text"), long.alias(f"{name}_long"))
 
 
-def _joined_cell(name: str, max_chars: int | None) -> tuple[Column, Column]:
+def _joined_cell(name: str) -> tuple[Column, Column]:
     """Text and state of a concatenated cell."""
-    text = F.col(f"{name}_text")
-    if max_chars is None:
-        return text, F.lit(_CODE["ok"])
-    fits = F.col(f"{name}_size") <= max_chars
-    return F.when(fits, text), F.when(fits, _CODE["ok"]).otherwise(_CODE["too_long"])
+    fits = F.col(f"{name}_long").isNull()
+    return F.when(fits, F.col(f"{name}_text")), F.when(fits, _CODE["ok"]).otherwise(_CODE["too_long"])
 
 
 def concatenate_parts(
@@ -473,8 +470,8 @@ def aggregate(
             raise ValueError("the concatenate aggregate needs order_by")
         text = _text_of(names.col(s.agg_col), types[s.agg_col], s.agg_options["strip"], null_text)
         order = [names.col(names.resolve(df, c)) for c in order_by or []]
-        parts += _concatenated(df, {KEY: key_col}, text, s.agg_options["link_text"], s.kind == "concatenate_unique",
-                               order, max_cell_chars, f"j{n}")
+        parts.append(_concatenated(df, {KEY: key_col}, text, s.agg_options["link_text"],
+                                   s.kind == "concatenate_unique", order, max_cell_chars, f"j{n}"))
         columns[n] = [s.agg_name] + ([] if as_text else [f"{s.agg_name}__status"])
         concatenated.add(n)
 
@@ -499,7 +496,7 @@ def aggregate(
     final, titles = [F.col(KEY)], [label]
     for n, s in enumerate(plan):
         if n in concatenated:
-            text, code = _joined_cell(f"j{n}", max_cell_chars)
+            text, code = _joined_cell(f"j{n}")
             final += _output(s.agg_name, text, code, _JOINED, as_text)
         else:
             final += [F.col(f"s{n}_{i}") for i in range(len(columns[n]))]
@@ -533,12 +530,12 @@ def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs:
             measures[n] = _UNIQUE
         elif measures[n] is None:  # category-concat-unique
             text = _text_of(names.col(s.agg_col), types[s.agg_col], False, null_text)
-            parts += _concatenated(df, group, text, s.agg_options["link_text"], True, [], max_cell_chars, f"j{n}")
+            parts.append(_concatenated(df, group, text, s.agg_options["link_text"], True, [], max_cell_chars, f"j{n}"))
             measures[n] = _JOINED
     cellwise = _merged(parts, [KEY, CATEGORY])
     for n, _ in specs:
         if measures[n] is _JOINED:
-            text, code = _joined_cell(f"j{n}", max_cell_chars)
+            text, code = _joined_cell(f"j{n}")
             cellwise = cellwise.withColumn(f"v{n}", text).withColumn(f"c{n}", code)
 
     def pick(c: str, dtype: T.DataType, at: Column) -> Column:

@@ -141,23 +141,23 @@ def reassemble(df: DataFrame, column: str | int, arrival: str | int, max_cell_ch
     )
     parsed = parse_envelopes(arrived, "__text").where(~F.col("is_foreign"))
     order = F.col("__arrival")
+    sizes = parsed.groupBy("session", "seq").agg(F.max_by(F.length("payload"), order).alias("size"))
+    large = sizes.groupBy("session").agg(F.sum(F.col("size") + F.lit(16)).alias("size")).where(F.col("size") > max_cell_chars)
+    large = large.select(F.col("session").alias("large_session"), F.lit(True).alias("long"))
     chunks = parsed.groupBy("session", "seq").agg(
         F.max_by(F.struct("payload", "filename", "encoding"), order).alias("last"),
         F.min_by(F.struct(order.alias("at"), "total"), order).alias("first"),
     )
-    overall = chunks.groupBy("session").agg(
+    told = chunks.join(F.broadcast(large), F.col("session") == F.col("large_session"), "left")
+    chunk = F.when(F.col("long").isNull(), F.struct("seq", F.col("last.payload").alias("payload")))
+    both = told.groupBy("session").agg(
         F.min_by(F.col("first.total"), F.col("first.at")).alias("total"),
-        F.sum(F.length("last.payload") + F.lit(16)).alias("size"),
         F.max(F.when(F.col("seq") == 1, F.col("last.filename"))).alias("filename"),
         F.max(F.when(F.col("seq") == 1, F.col("last.encoding"))).alias("encoding"),
+        F.array_sort(F.collect_list(chunk)).alias("chunks"),
+        F.max("long").alias("long"),
     )
-    large = overall.where(F.col("size") > max_cell_chars).select(F.col("session").alias("large_session"))
-    fitting = chunks.join(F.broadcast(large), F.col("session") == F.col("large_session"), "left_anti")
-    gathered = fitting.groupBy("session").agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.col("last.payload").alias("payload")))).alias("chunks")
-    )
-    both = overall.join(gathered.withColumnRenamed("session", "__session"),
-                        F.col("session") == F.col("__session"), "left").drop("__session")
+    both = both.withColumn("chunks", F.when(F.col("long").isNull(), F.col("chunks")))
     inside = F.filter("chunks", lambda c: (c["seq"] >= 1) & (c["seq"] <= F.col("total")))
     both = both.withColumn("chunks", inside)
     seqs = F.transform("chunks", lambda c: c["seq"])
