@@ -25,7 +25,7 @@ def numeric_key(spark, sf):
     """Keys padded with zeros on one side and with decimals on the other."""
     old, new = _versions(spark, sf)
     old = old.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), "cents")
-    new = new.where("o_orderkey >= 0").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".00")).alias("id"), "cents")
+    new = new.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".00")).alias("id"), "cents")
     return reconcile(old, new, "id", "id", columns=[(1, 1, 1)])["detail"]
 
 
@@ -129,12 +129,10 @@ SQL = {
                coalesce(string_agg(CAST(k AS VARCHAR), '; ' ORDER BY k) FILTER (WHERE n <= 3), '') AS first_keys
         FROM letters LEFT JOIN ranked ON cat = category GROUP BY category, description""",
     "reconcile_keys": f"WITH {t.VERSIONS}, {_OLD_NEW} SELECT k AS key, cat AS category FROM counted",
-    "reconcile_numeric_key": f"""WITH {t.VERSIONS},
-        positive AS (SELECT * FROM new_orders WHERE o_orderkey >= 0),
-        {t.counted("old_orders", "positive", "o_orderkey", "o_orderkey")}
+    "reconcile_numeric_key": f"""WITH {t.VERSIONS}, {_OLD_NEW}
         SELECT CAST(k AS VARCHAR) AS "Key", cat AS "Key Category",
                {_cell("o.cents", "n.cents", "cents", True, left_text=_FLOAT.format("o.cents"), right_text=_FLOAT.format("n.cents"))}
-        FROM counted LEFT JOIN old_orders o ON o.o_orderkey = k AND l = 1 LEFT JOIN positive n ON n.o_orderkey = k AND r = 1""",
+        {_JOINED}""",
     "reconcile_text_key": f"""WITH {t.VERSIONS},
         padded AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS id, o_orderpriority FROM old_orders),
         plain AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority FROM new_orders),
