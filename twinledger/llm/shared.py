@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,22 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only | ~text.rlike(others), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def held_out(id_col: Column, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; a row without id is held out."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(True))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, for functions that run in Python there."""
+    context = spark.sparkContext
+    if not getattr(context, "_package_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), package)
+        context.addPyFile(shutil.make_archive(archive, "zip", root, package))
+        context._package_shipped = True
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir``, which executors share, and read again from there.
 
@@ -33,6 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship_package(spark)
         self.spark = spark
         self.folder = scratch_folder(spark)
         self.count = 0
