@@ -48,7 +48,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col:
     else:
         counted = by_key.agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("n"), no_id.alias("no_id"))
         often = F.col("n") + F.col("no_id").cast("int") >= min_docs
-    repeated = counted.where(F.col("first").isNotNull() & often).select("h1", "h2", "first")
+    # Written, so that both sides of the next join are plain shuffles, which can be split for a hot key.
+    repeated = scratch.write(counted.where(F.col("first").isNotNull() & often).select("h1", "h2", "first"))
     dropped = (
         lines.join(repeated, ["h1", "h2"])
         .where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
