@@ -106,7 +106,7 @@ def log_count_ratios(docs: np.ndarray, found: np.ndarray, features: int, smooth:
     """
     inside = found + smooth
     outside = docs[:, None] - found + smooth
-    odds = np.log(inside[1] * outside[0]) - np.log(inside[0] * outside[1])
+    odds = np.log((inside[1] * outside[0]) / (inside[0] * outside[1]))
     error = np.sqrt((1 / inside).sum(axis=0) + (1 / outside).sum(axis=0))
     strength = np.where(found.sum(axis=0) > 1, np.abs(odds) / error, 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:features])

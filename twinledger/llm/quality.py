@@ -100,7 +100,7 @@ class Quality(ngrams.Linear):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, part: int = 0,
-          max_rows: int = 8000, features: int = 1 << 15, cost: float = 1.0, passes: int = 20,
+          max_rows: int = 4000, features: int = 1 << 15, cost: float = 1.0, passes: int = 20,
           id_col: str = "doc_id", text_col: str = "text") -> ngrams.Linear:
     """Learn from ``labels`` (``doc_id``, 0 or 1) of rows whose crc32 of the id does not leave ``part``.
 

@@ -34,16 +34,16 @@ def logistic(labels: np.ndarray, rows: list[np.ndarray], ratios: np.ndarray, pen
              ) -> tuple[np.ndarray, float]:
     """Weights of a logistic regression on indicators times ``ratios`` (already multiplied back), and its bias."""
     lengths = np.array([len(r) for r in rows])
-    columns = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int32)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    values = ratios[columns]
+    columns = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    values = ratios.astype(np.float32)[columns]
     share = labels.mean()
     weights, bias = np.zeros(len(ratios)), float(np.log(share / (1 - share)))
     m, v = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
     for step in range(1, steps + 1):
-        margin = bias + np.bincount(owner, values * weights[columns], len(rows))
+        margin = bias + np.bincount(owner, values * weights.astype(np.float32)[columns], len(rows))
         error = (ngrams.sigmoid(margin) - labels) / len(rows)
-        gradient = np.append(np.bincount(columns, values * error[owner], len(ratios)) + penalty * weights, error.sum())
+        gradient = np.append(np.bincount(columns, values * error.astype(np.float32)[owner], len(ratios)) + penalty * weights, error.sum())
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -52,7 +52,7 @@ def logistic(labels: np.ndarray, rows: list[np.ndarray], ratios: np.ndarray, pen
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2,
-          max_rows: int = 8000, features: int = 1 << 14, penalty: float = 1e-4, steps: int = 100,
+          max_rows: int = 3000, features: int = 1 << 14, penalty: float = 1e-4, steps: int = 100,
           id_col: str = "doc_id", text_col: str = "text") -> ngrams.Linear:
     """Learn from ``labels`` (``doc_id``, 0 or 1) of rows whose crc32 of the id does not leave ``part``.
 
