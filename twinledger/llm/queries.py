@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, quality, toxicity
+from . import exact, language, lines, pieces, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = tokens.write_shards(_table(spark, sf_dir, "documents"), tokens.tokenizer_file())
+    return tokens.read_shards(listing).drop("ids")
+
+
+def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and read back: numbers of pieces, a checksum of the ids, and of the text they decode to."""
+    model = pieces.Pieces.load(tokens.tokenizer_file("piece_bpe_32k.model"))
+    decoded = pieces.decode_documents(pieces.encode_documents(_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -63,6 +75,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_token_output": op5_token_output,
+    "op7_subwords": op7_subwords,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
