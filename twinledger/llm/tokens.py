@@ -140,17 +140,19 @@ def _blocks(frames: Iterator[pd.DataFrame], kind: str, size: int) -> Iterator[tu
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2,
-                 block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 block_tokens: int = 1 << 20, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and write shards in ascending order of id; the result lists their blocks.
 
-    Texts are encoded before the shuffle that sorts by id, so only ids move. Each task of the sorted
-    range writes one shard, block after block, under a name of its own and renames it at the end: a
-    task that is run again replaces the file by an equal one. The listing (``shard, block, path,
+    Ranges of ids come from their approximate quantiles, a scan of one column. Texts are then encoded
+    before the shuffle that sends each to the task of its range, so only token ids move. Each task
+    writes one shard, block after block, under a name of its own and renames it at the end: a task
+    that is run again replaces the file by an equal one. The listing (``shard, block, path,
     at, n_bytes, n_docs, n_tokens, before``; ``before`` counts ids in the shard) is written too.
 
     A null text has the end id only. Rows without id come first; rows that share an id are in order of
     their ids. An empty table gives no shard. Only the two named columns are read. The folder must be
-    one that all executors see; the default is below ``spark.checkpoint.dir``.
+    one that all executors see; the default is below ``spark.checkpoint.dir``. There are as many shards
+    as shuffle partitions unless ``shards`` says otherwise.
     """
     scratch = Scratch(docs.sparkSession)
     folder = folder or f"{scratch.folder}/shards"
@@ -167,7 +169,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             ids = []
             for start in range(0, len(texts), 500):
                 ids += [b + tail for b in encoder.encode(texts[start : start + 500])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "no_id": frame["no_id"], "ids": ids})
+            place = np.where(frame["no_id"], 0, np.searchsorted(bounds, frame["doc_id"], side="right"))
+            yield pd.DataFrame({"range": place, "doc_id": frame["doc_id"], "no_id": frame["no_id"], "ids": ids})
 
     def written(frames):
         context = TaskContext.get()
@@ -190,10 +193,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         yield pd.DataFrame(rows, columns=columns)
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = texts.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
+    bounds = sorted({int(c) for c in cuts})
+
     texts = texts.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    ids = texts.mapInPandas(encoded, "doc_id long, no_id boolean, ids binary")
-    order = [F.desc("no_id"), F.asc("doc_id")]
-    ordered = ids.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
+    ids = texts.mapInPandas(encoded, "range int, doc_id long, no_id boolean, ids binary")
+    ranged = ids.repartitionById(len(bounds) + 1, F.col("range"))
+    ordered = ranged.sortWithinPartitions(F.desc("no_id"), "doc_id", "ids").drop("range")
     schema = "shard int, block int, path string, at long, n_bytes long, n_docs long, n_tokens long, before long"
     listing = scratch.write(ordered.mapInPandas(written, schema))
     listing.shards = folder
