@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, pieces, quality, tokens, toxicity
+from . import exact, language, lines, mixing, pieces, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(listing).drop("ids")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded and read back: numbers of pieces, a checksum of the ids, and of the text they decode to."""
     model = pieces.Pieces.load(tokens.tokenizer_file("piece_bpe_32k.model"))
@@ -76,6 +80,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_token_output": op5_token_output,
+    "op6_source_mixing": op6_source_mixing,
     "op7_subwords": op7_subwords,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
