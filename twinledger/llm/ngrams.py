@@ -58,7 +58,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, pa
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
-    joined = texts.join(known, texts.doc_id == known.label_id)
+    # Both grow with the data: always the join that shuffles, whatever the size of the labels.
+    joined = texts.join(known.hint("merge"), texts.doc_id == known.label_id)
     return scratch.write(joined.select("text", "label", F.xxhash64("doc_id").alias("place")))
 
 
