@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, mixing, pieces, quality, tokens, toxicity
+from . import exact, language, lines, minhash, mixing, pieces, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"), words=2)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -82,6 +86,7 @@ QUERIES = {
     "op5_token_output": op5_token_output,
     "op6_source_mixing": op6_source_mixing,
     "op7_subwords": op7_subwords,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }

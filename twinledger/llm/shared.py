@@ -61,7 +61,13 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, "false")
+        self.spark.conf.set(clean, "true")  # the shuffle files behind a written table are of no more use
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(clean, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         table.scratch_path = path
         return table
