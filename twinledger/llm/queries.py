@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, minhash, mixing, pieces, quality, tokens, toxicity
+from . import caps, exact, language, lines, minhash, mixing, pieces, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_aggregate([CASE WHEN x IS NOT NULL AND isfinite(x) THEN 0 ELSE 1 END FOR x IN embedding], 'sum') = 0
+    AND list_aggregate([abs(x) FOR x IN embedding], 'max') > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+component AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id,
+       e.vec_id = component_id AS kept
+FROM embeddings e JOIN component ON a = e.vec_id"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -81,6 +102,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_token_output": op5_token_output,
@@ -92,6 +114,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_embedding_dedup": OP2_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
