@@ -325,7 +325,7 @@ def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", tex
 
 
 def decode_documents(encoded: DataFrame, model: Pieces) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32, text`` from ``doc_id, ids``."""
+    """``doc_id, n_pieces, ids_crc32, text, ids`` from ``doc_id, ids``."""
     ship_package(encoded.sparkSession)
 
     def decoded(frames):
@@ -334,6 +334,7 @@ def decode_documents(encoded: DataFrame, model: Pieces) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"], "n_pieces": [len(i) for i in ids],
                 "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], "text": [model.decode(i) for i in ids],
+                "ids": frame["ids"],
             })
 
-    return encoded.select("doc_id", "ids").mapInPandas(decoded, "doc_id long, n_pieces long, ids_crc32 long, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(decoded, "doc_id long, n_pieces long, ids_crc32 long, text string, ids binary")
