@@ -82,7 +82,7 @@ class Code:
         row, name, total = np.arange(len(units)), np.zeros(len(units), dtype=np.int64), np.zeros(len(units))
         for score, reach in zip(scores, rest):
             parts = []
-            for start in range(0, len(row), 4096):
+            for start in range(0, max(len(row), 1), 4096):
                 r, n, s = row[start : start + 4096], name[start : start + 4096], total[start : start + 4096]
                 sums = score[r] + s[:, None]
                 i, word = np.nonzero(sums >= (self.bound - reach[r])[:, None])

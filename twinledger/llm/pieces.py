@@ -135,7 +135,7 @@ class Pieces:
             for start in range(0, len(group), 1 << 14):
                 some = group[start : start + (1 << 14)]
                 chars = np.array([texts[k].replace(" ", BLANK) for k in some], dtype=f"<U{size}").view("<u4").reshape(-1, size)
-                symbols = pairs.symbols(chars)
+                symbols = pairs.symbols(chars, np.array([len(texts[k]) for k in some]))
                 plain = (symbols != pairs.unknown).all(axis=1)
                 symbols = pairs.merge(symbols[plain], *self._dropout(variant))
                 ends = np.cumsum((symbols >= 0).sum(axis=1)).tolist()
@@ -235,10 +235,10 @@ class _Pairs:
                 at = (at + 1) % size
             self.keys[at], self.order[at], self.result[at] = key, rank, merged
 
-    def symbols(self, chars: np.ndarray) -> np.ndarray:
+    def symbols(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of single characters; -1 after the end."""
         ids = self.alphabet[np.minimum(chars, len(self.alphabet) - 1)]
-        used = np.arange(chars.shape[1]) < chars.shape[1] - (chars[:, ::-1] != 0).argmax(axis=1)[:, None]
+        used = np.arange(chars.shape[1]) < sizes[:, None]
         return np.where(used, ids, -1)
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
