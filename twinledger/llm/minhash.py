@@ -89,15 +89,16 @@ def _keyed(signed: DataFrame, values: int, chunks: int, errors: int) -> DataFram
     return signed.select("id", "n", "sketch", "values").mapInPandas(keyed, "key long, id long, n long, sketch long")
 
 
-def _plausible(percent: int, other: str = "other_"):
-    """Sizes that allow the similarity, and sketches as near as nearly all such pairs have them.
-
-    Of 64 bits about 32 * (1 - similarity) differ; the bound lies six standard deviations above.
-    """
+def _sketch_bound(percent: int) -> int:
+    """Of 64 bits about 32 * (1 - similarity) differ; the bound lies six standard deviations above."""
     p = (1 - percent / 100) / 2
-    bound = int(np.ceil(_SKETCH * p + 6 * np.sqrt(_SKETCH * p * (1 - p))))
+    return int(np.ceil(_SKETCH * p + 6 * np.sqrt(_SKETCH * p * (1 - p))))
+
+
+def _plausible(percent: int, other: str = "other_"):
+    """Sizes that allow the similarity, and sketches as near as nearly all such pairs have them."""
     small, large = F.least("n", f"{other}n"), F.greatest("n", f"{other}n")
-    return (small * 100 >= large * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col(f"{other}sketch"))) <= bound)
+    return (small * 100 >= large * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col(f"{other}sketch"))) <= _sketch_bound(percent))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -121,7 +122,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int = 8, values_per_chunk: int = 5,
-                errors: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                errors: int = 1, block_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     A document's set are its distinct shingles of ``words`` words (A-Z lower-cased), the whole sequence
@@ -129,11 +130,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int
     sets; ``component_id`` is the smallest id reachable.
 
     Equal sets become one row first, so copies are never paired. Two passes over the key buckets then find
-    the components. The first pairs every row with one pivot of its bucket. The second takes the buckets
-    that still span several components and pairs rows of different components only: all such pairs, so no
-    link between components is lost, while a bucket whose rows are connected already makes none. Bucket
-    pivots come from an aggregation and are joined back, so a hot bucket is split, never gathered. Each
-    candidate passes bounds on its sizes and on a 64-bit sketch, then its full sets decide.
+    the links. The first pairs every row with one pivot of its bucket, and full sets decide. The second takes
+    the buckets that still hold several components: their rows travel with their sets, and all rows of
+    different components are compared in numpy; what leaves the task is a row per member, never one per pair.
+    A bucket of more than ``block_rows`` rows is cut into blocks, each pair of which is a task of its own, so a
+    hot bucket is split, never gathered. In either pass bounds on the sizes and on a 64-bit sketch come first.
 
     Null and blank texts have no set: ``n_shingles`` 0, linked with nothing. A null id is in the group of
     its text but never its smallest (kept only where the group has no id). Ids are taken to be unique;
@@ -156,32 +157,28 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int
     rows = scratch.write(rows.join(scratch.write(shared), "key").withColumn("order", F.xxhash64("id")).drop("rows"))
 
     pivots = rows.where("order = first").select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "sketch")))
-    near = _plausible(percent)
-    pair = [F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")]
-    first = scratch.write(rows.join(pivots, "key").where(near & (F.col("id") != F.col("other_id"))).select(*pair).distinct())
-    involved = _texts_of(first, texts, scratch)
-    links = scratch.write(_confirmed(first, involved, words, percent))
-    found = scratch.write(components(links, scratch))
-
-    # Buckets that span several components: rows outside the largest of them against all of another component.
-    labelled = rows.join(found, F.col("id") == F.col("node"), "left").select(
-        "key", "id", "n", "sketch", F.coalesce("component", "id").alias("component")
-    )
-    labelled = scratch.write(labelled)
+    near = _plausible(percent) & (F.col("id") != F.col("other_id"))
+    pairs = scratch.write(rows.join(pivots, "key").where(near).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct())
+    involved = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts, scratch)
+    links = scratch.write(_confirmed(pairs, involved, words, percent))
+    scratch.drop(pairs, involved)
+
+    # A row takes the first pivot it is linked with as label, then that pivot's label: equal labels are connected.
+    pivot = links.groupBy(F.col("a").alias("id")).agg(F.min(F.xxhash64("b")).alias("label"))
+    further = pivot.select(F.xxhash64("id").alias("label"), F.col("label").alias("next"))
+    labels = scratch.write(pivot.join(further, "label", "left").select(F.col("id").alias("l_id"), F.coalesce("next", "label").alias("label")))
+    labelled = scratch.write(rows.join(labels, F.col("id") == F.col("l_id"), "left").select(
+        "key", "id", "n", "sketch", F.coalesce("label", "order").alias("label")
+    ))
     scratch.drop(rows)
-    in_bucket = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
-    largest = in_bucket.groupBy("key").agg(F.max_by("component", "rows").alias("largest"), F.count(F.lit(1)).alias("several"))
-    open_ = scratch.write(labelled.join(scratch.write(largest.where("several > 1")), "key"))
+    # Two rows of one bucket have met as row and pivot; larger buckets with several labels are gone through whole.
+    members = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+    blocks = F.expr(f"CAST((rows + {block_rows - 1}) div {block_rows} AS INT)").alias("blocks")
+    open_ = scratch.write(labelled.join(scratch.write(members.where("rows > 2 AND low < high").select("key", blocks)), "key"))
     scratch.drop(labelled)
-    others = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "sketch", "component")))
-    across = open_.where("component <> largest").join(others, "key").where(near & (F.col("component") != F.col("other_component")))
-    second = scratch.write(across.select(*pair).distinct().join(first, ["a", "b"], "left_anti"))
+    more = scratch.write(_block_links(open_, texts, words, percent, scratch))
     scratch.drop(open_)
-    if not second.isEmpty():
-        more = _confirmed(second, _texts_of(second, texts, scratch), words, percent)
-        links = scratch.write(links.unionByName(more))
-        found = scratch.write(components(links, scratch))
-    scratch.drop(involved)
+    found = scratch.write(components(links.unionByName(more), scratch))
 
     result = assigned.join(found, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
@@ -190,7 +187,81 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int
     )
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, text`` of the documents in ``pairs``, written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, text`` of the documents in ``ids``, written."""
+    ids = ids.distinct()
     return scratch.write(texts.join(ids.hint("merge"), texts.doc_id == ids.id).select("id", "text"))
+
+
+def _block_links(rows: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: members of the buckets in ``rows`` with the smallest id they are linked to, over any steps."""
+
+    def with_sets(frames):
+        for frame in frames:
+            sets = [shingles(w, words).tobytes() for w in word_hashes(frame["text"].tolist())]
+            yield pd.DataFrame({"set_id": frame["id"], "elements": sets})
+
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "sketch", "label"
+    )
+    sets = scratch.write(_texts_of(rows.select("id"), texts, scratch).mapInPandas(with_sets, "set_id long, elements binary"))
+    wide = dealt.join(sets.hint("merge"), F.col("id") == F.col("set_id")).drop("set_id")
+    run = ["key", "low", "high"]
+
+    def compared(frames):
+        kept = None
+        for frame in frames:
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            names = frame[run].to_numpy()
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            bounds = np.concatenate(([0], cuts))
+            kept = frame.iloc[bounds[-1] :]  # the last bucket may go on in the next batch
+            yield from _linked_runs(frame, bounds, percent)
+        if kept is not None:
+            yield from _linked_runs(kept, np.array([0, len(kept)]), percent)
+
+    return wide.repartition(*run).sortWithinPartitions(*run).mapInPandas(compared, "a long, b long")
+
+
+def _linked_runs(frame: pd.DataFrame, bounds: np.ndarray, percent: int):
+    """Links of the buckets that begin at ``bounds`` (all but the last of these)."""
+    sets = [np.frombuffer(e, dtype=np.uint64) for e in frame["elements"]]
+    ids, n, sketch, label, own, low, high = (frame[c].to_numpy() for c in ("id", "n", "sketch", "label", "own", "low", "high"))
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        at = slice(start, end)
+        apart = label[at, None] != label[at]
+        if low[start] != high[start]:
+            apart &= own[at, None] != own[at]
+        apart &= np.minimum(n[at, None], n[at]) * 100 >= np.maximum(n[at, None], n[at]) * percent
+        apart &= np.bitwise_count(sketch[at, None] ^ sketch[at]) <= _sketch_bound(percent)
+        members = np.flatnonzero(apart.any(axis=1))
+        if not len(members):
+            continue
+        common = _intersections([sets[start + m] for m in members])
+        sizes = n[at][members]
+        linked = apart[np.ix_(members, members)] & (100 * common >= percent * (sizes[:, None] + sizes - common))
+        least = names = ids[at][members]
+        while True:
+            lower = np.minimum(least, np.where(linked, least, np.iinfo(np.int64).max).min(axis=1))
+            if (lower == least).all():
+                break
+            least = lower
+        if (least != names).any():
+            yield pd.DataFrame({"a": names, "b": least})[least != names]
+
+
+def _intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs, by products of incidence matrices of the shared elements."""
+    elements, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.where(shared, np.cumsum(shared) - 1, -1)[column]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row, number = row[number >= 0], number[number >= 0]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for start in range(0, int(shared.sum()), columns):
+        some = (number >= start) & (number < start + columns)
+        inside = np.zeros((len(sets), columns), dtype=np.float32)
+        inside[row[some], number[some] - start] = 1
+        common += inside @ inside.T
+    return common
