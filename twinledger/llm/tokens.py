@@ -73,37 +73,76 @@ def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if m else int(d) for d, m in zip(names, missing)], ends.astype(np.int64), ids
 
 
+_MARKS = ".,;:!?"
+
+
 class WordEncoder:
     """Ids of whole texts by the given tokenizer, word by word.
 
     The tokenizer drops white space and never joins what it separates, so a text is cut at blanks and
-    \\t, \\n, \\r and each distinct word is encoded once and remembered (up to ``remember`` words).
+    \\t, \\n, \\r and each distinct word is encoded once and remembered: the last ``remember`` to twice as
+    many. New words of letters only are encoded many at once, as one text; each is one pre-token there,
+    whose last token has the mark of a word's end. Marks like a comma after letters are words of their own.
     """
 
-    def __init__(self, tokenizer_json: str, remember: int = 300_000):
+    def __init__(self, tokenizer_json: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.marks_ends = bool(self.ends.any())
         self.remember = remember
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        self._learn({w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None})
         known = self.known
-        found = [list(map(known.get, words)) for words in split]
-        new = list({w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None})
-        letter = {"<u2": "H", "<u4": "I"}[self.kind]
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = struct.pack(f"<{len(e.ids)}{letter}", *e.ids)
         out = [b"".join(map(known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found)]
         if len(known) > self.remember:
-            self.known = {"": b""}
+            self.older, self.known = known, {"": b""}
         return out
 
+    def _learn(self, words: set[str]) -> None:
+        known, older, marked, plain = self.known, self.older, [], []
+        if older:
+            known.update({w: older[w] for w in words if w in older})
+            words = [w for w in words if w not in known]
+        for word in words:
+            (marked if word[-1] in _MARKS else plain).append(word)
+        cores = [word.rstrip(_MARKS) for word in marked]
+        plain += [word for word, core in zip(marked, cores) if not core.isalpha()]
+        split = [(word, core, word[len(core) :]) for word, core in zip(marked, cores) if core.isalpha()]
+        new = {*plain, *(core for _, core, _ in split), *(tail for _, _, tail in split)}.difference(known)
+        regular = [w for w in new if w.isalpha() and w.lower().isalpha()] if self.marks_ends else []
+        for start in range(0, len(regular), 1000):
+            self._encode_joined(regular[start : start + 1000])
+        other = list(new.difference(regular))
+        for start in range(0, len(other), 10_000):
+            some = other[start : start + 10_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[word] = np.array(e.ids, dtype=self.kind).tobytes()
+        known.update({word: known[core] + known[tail] for word, core, tail in split})
+
+    def _encode_joined(self, words: list[str]) -> None:
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(ids, dtype=self.kind)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        if len(cuts) != len(words) or cuts[-1] != ids.nbytes:
+            raise ValueError("the tokenizer does not mark the ends of words as expected")
+        data, begin = ids.tobytes(), 0
+        for word, end in zip(words, cuts.tolist()):
+            self.known[word] = data[begin:end]
+            begin = end
+
 
 _encoders: dict[int, WordEncoder] = {}
 
@@ -232,7 +271,9 @@ def read_shards(listing: DataFrame) -> DataFrame:
                     "ids_crc32": [zlib.crc32(p) for p in parts], "ids": parts,
                 })
 
-    columns = placed.repartition("shard", "block").select("path", "at", "n_bytes", "start")
+    # A listing is small whatever its shards hold: the number of tasks is said, else they would become one.
+    tasks = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = placed.repartition(tasks, "shard", "block").select("path", "at", "n_bytes", "start")
     return columns.mapInPandas(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
