@@ -150,10 +150,28 @@ def test_spec_all(orders):
     assert out.columns == ["Client Name", "0 - count_unique - Order ID", "1 - count_unique - Client Name", "2 - count_unique - Amount"]
 
 
+def test_spec_all_reads_its_table_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "x", 2.0), ("a", 1, None, 3.0), ("b", None, "x", 2.0)], "k string, n int, t string, d double")
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = aggregate(df, "k", spec_all(df, "count_unique"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 1, 1, 2, 2), ("b", 1, 1, 1, 1)]
+
+
+def test_each_spec_keeps_its_own_categories(spark):
+    df = spark.createDataFrame([("k", "a", 1), ("k", "b", 2), ("k", "c", 4), ("m", "c", 5)], "k string, cat string, v int")
+    specs = [AggSpec("category-sum", "v", n, {"cat_key_col": "cat", **({"categories": c} if c else {})})
+             for n, c in (("x", ["a"]), ("y", ["b", "c"]), ("z", None))]
+    out = aggregate(df, "k", specs, as_text=True)
+    assert [c for c in out.columns if "__" not in c] == ["k", "x - a", "y - b", "y - c", "z - a", "z - b", "z - c"]
+    assert {r["k"]: (r["x - a"], r["y - b"], r["y - c"], r["z - c"]) for r in out.collect()}["k"] == ("1.0", "2.0", "4.0", "4.0")
+
+
 def test_long_cells_go_to_parts(spark):
     df = kv(spark, [("a", f"{i:03d}") for i in range(200)] + [("b", "x")])
-    out = aggregate(df, "k", [AggSpec("concatenate", "v", "c")], order_by=["v"], max_cell_chars=100)
-    assert {r["k"]: (r["c"], r["c__status"]) for r in out.collect()} == {"a": (None, "too_long"), "b": ("x", "ok")}
+    out = aggregate(df, "k", [AggSpec("concatenate", "v", "c")], order_by=["v"])
+    assert {r["k"]: r["c"] for r in out.collect()} == {"a": ", ".join(f"{i:03d}" for i in range(200)), "b": "x"}
     for unique in (False, True):
         parts = concatenate_parts(df, "k", "v", ["v"], part_rows=7, unique=unique).where("key = 'a'").orderBy("part").collect()
         assert len(parts) > 20

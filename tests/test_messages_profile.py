@@ -67,8 +67,9 @@ def test_duplicates_and_gaps(spark):
     assert got["b"]["content"] == "xy" and got["b"]["filename"] == "g"
     assert got["a"]["content"] is None and [tuple(m) for m in got["a"]["missing"]] == [(2, 2)] and not got["a"]["complete"]
     assert [tuple(m) for m in got["c"]["missing"]] == [(1, 4), (6, 9)] and got["c"]["chunks"] == 1
-    long = {r["session"]: r for r in reassemble(df, "t", "at", max_cell_chars=30).collect()}
-    assert long["a"]["too_long"] and long["b"]["too_long"] and not long["c"]["too_long"]
+    again = spark.createDataFrame([(1, "TTKQR1|s|1/3|utf8|f|x"), (2, "TTKQR1|s|1/1|utf8|f|y")], "at int, t string")
+    got = reassemble(again, "t", "at").first()
+    assert (got["total"], got["complete"], got["content"]) == (1, True, "y")
 
 
 def test_base64(spark):

@@ -3,8 +3,8 @@
 All plain aggregates share one ``groupBy(key)``. Category aggregates first group by (key, category)
 and then turn the few remaining rows into columns, so their cost does not grow with the number of
 categories and a hot key is spread over its categories. Everything but concatenation is a partial
-aggregate, so a hot key leaves each map task as one row. Concatenated cells have a size bound;
-groups beyond it are found first and left to :func:`concatenate_parts`.
+aggregate, so a hot key leaves each map task as one row. A concatenated cell holds the whole text of
+its group; one that no cell can hold raises with its key, and :func:`concatenate_parts` gives it as rows.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from ..plans import durable
 from ..plans.agg_specs import AggSpec, check_specs
 
 KEY, CATEGORY = "__key", "__category"
-MAX_CELL_CHARS = 64 * 1024 * 1024
-MAX_PIVOT_COLUMNS = 2000
+# What a string cell can hold at all (2 GB); not a setting.
+_CELL_BYTES = 2_000_000_000
 
 # Cell states; the position is the code carried through the aggregates.
-STATES = ["ok", "non_numeric", "empty", "invalid", "duplicate", "not_found", "non_text", "too_long"]
+STATES = ["ok", "non_numeric", "empty", "invalid", "duplicate", "not_found", "non_text"]
 _CODE = {name: n for n, name in enumerate(STATES)}
 
 
@@ -253,19 +253,34 @@ def _measure(spec: AggSpec, dtype: T.DataType, null_text: str | None, inputs: In
 # ---------------------------------------------------------------------------------------------
 
 _UNIQUE = Measure({}, lambda get: get("v"), T.LongType(), absent=(0, "ok"))
-_JOINED = Measure({}, lambda get: get("v"), T.StringType(), lambda get: get("c"), {"too_long": "-Too long-"}, ("", "ok"))
+_JOINED = Measure({}, lambda get: get("v"), T.StringType(), lambda get: F.lit(_CODE["ok"]), absent=("", "ok"))
 
 
-def _distinct_count(df: DataFrame, group: dict[str, Column], spec: AggSpec, dtype: T.DataType, name: str) -> DataFrame:
-    """Distinct values per group; NULL is one value.
+def _distinct_counts(df: DataFrame, group: dict[str, Column], specs: list[tuple[int, AggSpec]],
+                     types: dict[str, T.DataType]) -> DataFrame:
+    """Distinct values per group as ``v<spec>``, all specs in one pass; NULL is one value.
 
-    Grouping by (group, value) first spreads a hot group over its values. It is a plan of its own,
-    so that the other aggregates need not be carried along for every distinct value.
+    Each row becomes one (group, spec, value) per spec, distinct already in its task; grouping by all
+    three spreads a hot group over its values. Values travel as text or number of one type per kind, so
+    specs of different types fit one table.
     """
-    c = names.col(spec.agg_col)
-    value = cells.strip(c) if spec.agg_options.get("strip") and cells.is_text(dtype) else c
-    pairs = df.select(*[g.alias(n) for n, g in group.items()], value.alias("value")).distinct()
-    return pairs.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
+    kinds: dict[str, str] = {}
+    items = []
+    for n, s in specs:
+        dtype = types[s.agg_col]
+        c = names.col(s.agg_col)
+        value = cells.strip(c) if s.agg_options.get("strip") and cells.is_text(dtype) else c
+        slot = kinds.setdefault(dtype.simpleString(), f"x{len(kinds)}")
+        items.append((n, slot, value))
+    slots = {slot: kind for kind, slot in kinds.items()}
+    structs = [
+        F.struct(F.lit(n).alias("n"), *[(value if slot == k else F.lit(None).cast(kind)).alias(k) for k, kind in slots.items()])
+        for n, slot, value in items
+    ]
+    exploded = df.select(*[g.alias(n) for n, g in group.items()], F.explode(F.array(*structs)).alias("item"))
+    pairs = exploded.select(*group, "item.*").distinct()
+    counts = [F.count_if(F.col("n") == n).alias(f"v{n}") for n, _, _ in items]
+    return pairs.groupBy(*group).agg(*counts)
 
 
 def _merged(parts: list[DataFrame], by: list[str]) -> DataFrame:
@@ -285,41 +300,25 @@ def _merged(parts: list[DataFrame], by: list[str]) -> DataFrame:
 
 
 def _concatenated(df: DataFrame, group: dict[str, Column], text: Column, link: str, unique: bool,
-                  order: list[Column], max_chars: int | None, name: str) -> DataFrame:
-    """One text per group, in the given order or, if unique, of the sorted distinct items.
-
-    Groups whose text would pass ``max_chars`` are found by a narrow sum first; none of their items
-    are gathered. There are at most (all characters / max_chars) of them, which bounds their
-    broadcast. Returns ``<name>_text`` and ``<name>_long`` (True for those groups, else NULL).
-    """
+                  order: list[Column], name: str) -> DataFrame:
+    """One text per group, in the given order or, if unique, of the sorted distinct items."""
     fields = list(group)
+    keyed = [c.alias(n) for n, c in group.items()]
     if unique:
-        rows = df.select(*[c.alias(n) for n, c in group.items()], text.alias("t")).distinct()
+        rows = df.select(*keyed, text.alias("t")).distinct()
         item, read = F.col("t"), None
     else:
-        rows = df.select(
-            *[c.alias(n) for n, c in group.items()],
-            F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], text.alias("t")).alias("item"),
-        )
+        rows = df.select(*keyed, F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], text.alias("t")).alias("item"))
         item, read = F.col("item"), "t"
-    long = F.lit(None).cast("boolean")
-    if max_chars is not None:
-        size = F.sum(F.length(F.col("t") if unique else F.col("item.t")) + F.lit(len(link) + 1))
-        large = rows.groupBy(*fields).agg(size.alias("size")).where(F.col("size") > max_chars)
-        large = large.select(*[F.col(f).alias(f"large_{f}") for f in fields], F.lit(True).alias("long"))
-        match = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"large_{f}")) for f in fields])
-        rows = rows.join(F.broadcast(large), match, "left")
-        item, long = F.when(F.col("long").isNull(), item), F.max("long")
     gathered = F.array_sort(F.collect_list(item))
     if read:
         gathered = F.transform(gathered, lambda x: x[read])
-    return rows.groupBy(*fields).agg(F.array_join(gathered, link).alias(f"{name}_text"), long.alias(f"{name}_long"))
-
-
-def _joined_cell(name: str) -> tuple[Column, Column]:
-    """Text and state of a concatenated cell."""
-    fits = F.col(f"{name}_long").isNull()
-    return F.when(fits, F.col(f"{name}_text")), F.when(fits, _CODE["ok"]).otherwise(_CODE["too_long"])
+    size = F.sum(F.octet_length(F.col("t") if unique else F.col("item.t")) + F.lit(len(link.encode())))
+    told = F.concat_ws(", ", *[F.col(f).cast("string") for f in fields])
+    too_long = F.raise_error(F.concat(F.lit("no cell can hold the concatenated text of "), told, F.lit("; use concatenate_parts")))
+    grouped = rows.groupBy(*fields).agg(gathered.alias("items"), size.alias("size"))
+    joined = F.when(F.col("size") > _CELL_BYTES, too_long.cast("string")).otherwise(F.array_join("items", link))
+    return grouped.select(*fields, joined.alias(name))
 
 
 def concatenate_parts(
@@ -373,11 +372,12 @@ def concatenate_parts(
 # ---------------------------------------------------------------------------------------------
 
 
-def distinct_values(df: DataFrame, column: str | int, limit: int = MAX_PIVOT_COLUMNS) -> list[Any]:
-    """Sorted distinct values of a column (NULL last); raises beyond ``limit``."""
+def distinct_values(df: DataFrame, column: str | int, limit: int | None = None) -> list[Any]:
+    """Sorted distinct values of a column (NULL last); raises beyond ``limit``, if there is one."""
     name = names.resolve(df, column)
-    rows = df.select(names.col(name).alias("v")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = df.select(names.col(name).alias("v")).distinct()
+    rows = (rows if limit is None else rows.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"column {name!r} has more than {limit} distinct values")
     values = [r["v"] for r in rows]
     return sorted((v for v in values if v is not None)) + ([None] if None in values else [])
@@ -421,8 +421,7 @@ def aggregate(
     null_text: str | None = None,
     ordered: bool = False,
     on_error: str = "skip",
-    max_cell_chars: int | None = MAX_CELL_CHARS,
-    max_pivot_columns: int = MAX_PIVOT_COLUMNS,
+    max_pivot_columns: int | None = None,
 ) -> DataFrame:
     """One row per key with one column per aggregate (or per aggregate and category).
 
@@ -430,7 +429,9 @@ def aggregate(
     (:data:`STATES`). With ``as_text`` each cell is text and shows the placeholder instead. NULL
     cells are blank; ``null_text='None'`` treats them as that word. ``order_by`` gives the row
     order for ``concatenate``. Unknown kinds and bad category columns are skipped with a warning or
-    raised. Category columns are named ``<name> - <category>``.
+    raised. Category columns are named ``<name> - <category>``; a spec with a list of categories has those
+    columns, others have one for each value of their category column. More than ``max_pivot_columns``
+    of them raise, if it is given.
     """
     key = names.resolve(df, key)
     label = key_name or key
@@ -456,24 +457,25 @@ def aggregate(
             columns[n] = [s.agg_name] + ([f"{s.agg_name}__status"] if len(cell) == 2 else [])
         parts.append(base.select(KEY, *outputs))
 
-    # Distinct counts and concatenations: one plan each.
-    concatenated = set()
+    # Distinct counts share one pass; each concatenation gathers rows of its own.
+    unique = [(n, s) for n, s in enumerate(plan) if not s.by_category and s.kind == "count_unique"]
+    if unique:
+        counted = _distinct_counts(df, {KEY: key_col}, unique, types)
+        cells_of = [_output("", F.col(f"v{n}"), None, _UNIQUE, as_text)[0].alias(f"s{n}_0") for n, _ in unique]
+        parts.append(counted.select(KEY, *cells_of))
+        columns |= {n: [s.agg_name] for n, s in unique}
     for n, s in enumerate(plan):
-        if s.by_category or s.kind not in ("count_unique", "concatenate", "concatenate_unique"):
-            continue
-        if s.kind == "count_unique":
-            counted = _distinct_count(df, {KEY: key_col}, s, types[s.agg_col], "v")
-            parts.append(counted.select(KEY, _output("", F.col("v"), None, _UNIQUE, as_text)[0].alias(f"s{n}_0")))
-            columns[n] = [s.agg_name]
+        if s.by_category or s.kind not in ("concatenate", "concatenate_unique"):
             continue
         if s.kind == "concatenate" and not order_by:
             raise ValueError("the concatenate aggregate needs order_by")
         text = _text_of(names.col(s.agg_col), types[s.agg_col], s.agg_options["strip"], null_text)
         order = [names.col(names.resolve(df, c)) for c in order_by or []]
         parts.append(_concatenated(df, {KEY: key_col}, text, s.agg_options["link_text"],
-                                   s.kind == "concatenate_unique", order, max_cell_chars, f"j{n}"))
+                                   s.kind == "concatenate_unique", order, f"s{n}_0"))
         columns[n] = [s.agg_name] + ([] if as_text else [f"{s.agg_name}__status"])
-        concatenated.add(n)
+        if not as_text:
+            parts[-1] = parts[-1].withColumn(f"s{n}_1", F.lit("ok"))
 
     # Category aggregates: group by (key, category), then spread; specs of one category column share it.
     by_category: dict[str, list[int]] = {}
@@ -482,31 +484,27 @@ def aggregate(
             by_category.setdefault(s.agg_options["cat_key_col"], []).append(n)
     width = 0
     for cat, members in by_category.items():
-        given = [plan[n].agg_options["categories"] for n in members if plan[n].agg_options.get("categories")]
-        values = given[0] if given else distinct_values(df, cat, max_pivot_columns)
-        width += len(values) * len(members)
-        if width > max_pivot_columns:
+        given = {n: plan[n].agg_options.get("categories") or None for n in members}
+        found = None if all(given.values()) else distinct_values(df, cat, max_pivot_columns)
+        values = {n: given[n] or found for n in members}
+        width += sum(len(v) for v in values.values())
+        if max_pivot_columns is not None and width > max_pivot_columns:
             raise ValueError(f"{width} pivot columns exceed the limit of {max_pivot_columns}")
-        table, titles_of = _spread(df, key_col, cat, values, [(n, plan[n]) for n in members], as_text, null_text,
-                                   max_cell_chars)
+        table, titles_of = _spread(df, key_col, cat, values, [(n, plan[n]) for n in members], as_text, null_text)
         columns |= titles_of
         parts.append(table)
 
     result = _merged(parts, [KEY]) if parts else df.select(key_col.alias(KEY)).distinct()
     final, titles = [F.col(KEY)], [label]
     for n, s in enumerate(plan):
-        if n in concatenated:
-            text, code = _joined_cell(f"j{n}")
-            final += _output(s.agg_name, text, code, _JOINED, as_text)
-        else:
-            final += [F.col(f"s{n}_{i}") for i in range(len(columns[n]))]
+        final += [F.col(f"s{n}_{i}") for i in range(len(columns[n]))]
         titles += columns[n]
     result = result.select(*[c.alias(t) for c, t in zip(final, names.unique_names(titles))])
     return result.orderBy(names.col(result.columns[0])) if ordered else result
 
 
-def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs: list[tuple[int, AggSpec]],
-            as_text: bool, null_text: str | None, max_cell_chars: int | None) -> tuple[DataFrame, dict[int, list[str]]]:
+def _spread(df: DataFrame, key_col: Column, cat: str, values: dict[int, list[Any]], specs: list[tuple[int, AggSpec]],
+            as_text: bool, null_text: str | None) -> tuple[DataFrame, dict[int, list[str]]]:
     """Aggregate by (key, category) and turn categories into columns ``s<spec>_<i>``."""
     cat_col = names.col(cat)
     group = {KEY: key_col, CATEGORY: cat_col}
@@ -524,41 +522,48 @@ def _spread(df: DataFrame, key_col: Column, cat: str, values: list[Any], specs:
             if m.state:
                 outputs.append(m.state(get).alias(f"c{n}"))
     parts = [counted.select(KEY, CATEGORY, "here", *outputs)]
+    unique = [(n, s) for n, s in specs if measures[n] is None and s.kind == "count_unique"]
+    if unique:
+        parts.append(_distinct_counts(df, group, unique, types))
+        measures |= {n: _UNIQUE for n, _ in unique}
     for n, s in specs:
-        if measures[n] is None and s.kind == "count_unique":
-            parts.append(_distinct_count(df, group, s, types[s.agg_col], f"v{n}"))
-            measures[n] = _UNIQUE
-        elif measures[n] is None:  # category-concat-unique
+        if measures[n] is None:  # category-concat-unique
             text = _text_of(names.col(s.agg_col), types[s.agg_col], False, null_text)
-            parts.append(_concatenated(df, group, text, s.agg_options["link_text"], True, [], max_cell_chars, f"j{n}"))
+            parts.append(_concatenated(df, group, text, s.agg_options["link_text"], True, [], f"v{n}"))
             measures[n] = _JOINED
     cellwise = _merged(parts, [KEY, CATEGORY])
     for n, _ in specs:
         if measures[n] is _JOINED:
-            text, code = _joined_cell(f"j{n}")
-            cellwise = cellwise.withColumn(f"v{n}", text).withColumn(f"c{n}", code)
+            cellwise = cellwise.withColumn(f"c{n}", F.lit(_CODE["ok"]))
 
     def pick(c: str, dtype: T.DataType, at: Column) -> Column:
         # One row per cell: max() of a number keeps the aggregate hashed, any_value() serves the rest.
         value = F.when(at, F.col(c))
         return F.max(value) if cells.is_number(dtype) else F.any_value(value, F.lit(True))
 
+    # Each value of any spec's list has a place; a spec reads the places of its own list.
+    places: dict[Any, int] = {}
+    for n, _ in specs:
+        for value in values[n]:
+            places.setdefault(value, len(places))
     picks, finals, found = [], [], {n: [] for n, _ in specs}
-    for i, value in enumerate(values):
+    for value, i in places.items():
         literal = F.lit(value) if value is not None else F.lit(None).cast(df.schema[cat].dataType)
         at = F.col(CATEGORY).eqNullSafe(literal)
         picks.append(F.max(F.when(at, F.col("here"))).alias(f"here_{i}"))
         for n, s in specs:
             m = measures[n]
-            picks.append(pick(f"v{n}", m.dtype, at).alias(f"v{n}_{i}"))
-            if m.state:
-                picks.append(pick(f"c{n}", T.IntegerType(), at).alias(f"c{n}_{i}"))
+            if value in values[n]:
+                picks.append(pick(f"v{n}", m.dtype, at).alias(f"v{n}_{i}"))
+                if m.state:
+                    picks.append(pick(f"c{n}", T.IntegerType(), at).alias(f"c{n}_{i}"))
     wide = cellwise.groupBy(KEY).agg(*picks)
     for n, s in specs:
         m = measures[n]
         absent_value, absent_state = m.absent
         with_state = _flagged(m) or absent_state != "ok"
-        for i, value in enumerate(values):
+        for value in values[n]:
+            i = places[value]
             here = F.col(f"here_{i}").isNotNull()
             cell = F.when(here, F.col(f"v{n}_{i}")).otherwise(F.lit(absent_value).cast(m.dtype))
             code = None

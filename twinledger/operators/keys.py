@@ -55,7 +55,8 @@ def common_key_type(left: T.DataType, right: T.DataType) -> T.DataType:
         if isinstance(left, (T.DecimalType, *whole)) and isinstance(right, (T.DecimalType, *whole)):
             scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (left, right))
             return T.DecimalType(38, scale)
-        return T.DoubleType()
+        # Not every 64-bit number has a DOUBLE of its own; against one it is compared as text.
+        return T.StringType() if isinstance(left, T.LongType) or isinstance(right, T.LongType) else T.DoubleType()
     if cells.is_date(left) and cells.is_date(right):
         return T.TimestampType()
     raise TypeError(
@@ -66,6 +67,10 @@ def common_key_type(left: T.DataType, right: T.DataType) -> T.DataType:
 def as_key(c: Column, dtype: T.DataType, target: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType) and not isinstance(target, T.BooleanType):
         c = c.cast("int")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)) and cells.is_text(target):
+        # Whole values read as the whole number they are, so that they find it.
+        whole = (c == F.floor(c)) & (F.abs(c) < float(2**63))
+        return F.when(whole, F.when(whole, c).cast("bigint").cast("string")).otherwise(c.cast("string"))
     return c if dtype == target else c.cast(target)
 
 
@@ -170,33 +175,13 @@ def key_set(left: DataFrame, right: DataFrame, left_key: str | int, right_key: s
     return found.where(F.col("category").isin(wanted)).select("key", "category")
 
 
-def summarize_keys(keys: DataFrame, first: int = 20) -> DataFrame:
-    """One row per category: description, number of keys and the first few keys in order.
+def summarize_keys(keys: DataFrame) -> DataFrame:
+    """One row per category, also those without keys: description and number of keys.
 
-    All eight categories are listed, also those with no key. The full key list of a category is
-    ``keys`` itself; gathering it into one cell would put a whole table into one row.
+    The keys themselves are the rows of ``keys``; a cell cannot hold them.
     """
-    from pyspark.sql import Window
-
-    ranked = keys.withColumn("__rank", F.row_number().over(Window.partitionBy("category").orderBy("key")))
-    leading = ranked.where(F.col("__rank") <= first)
-    key_text = cells.render(F.col("key"), keys.schema["key"].dataType, "None")
-    shown = leading.groupBy("category").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("__rank", key_text.alias("k")))), lambda x: x["k"]), "; "
-        ).alias("first_keys")
-    )
+    letters = keys.sparkSession.createDataFrame(list(CATEGORIES.items()), "category string, description string")
     counted = keys.groupBy("category").agg(F.count(F.lit(1)).alias("keys_found"))
-    letters = keys.sparkSession.createDataFrame(
-        list(CATEGORIES.items()), "category string, description string"
-    )
-    return (
-        letters.join(F.broadcast(counted), "category", "left")
-        .join(F.broadcast(shown), "category", "left")
-        .select(
-            "category",
-            "description",
-            F.coalesce("keys_found", F.lit(0)).alias("keys_found"),
-            F.coalesce("first_keys", F.lit("")).alias("first_keys"),
-        )
+    return letters.join(F.broadcast(counted), "category", "left").select(
+        "category", "description", F.coalesce("keys_found", F.lit(0)).alias("keys_found")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from .aggregate import MAX_CELL_CHARS
+from .aggregate import _CELL_BYTES
 
 # The envelope marker, the longest encoding name (it reserves header room), and the
 # characters one code holds at each error correction level.
@@ -127,37 +127,29 @@ def split_messages(
     )
 
 
-def reassemble(df: DataFrame, column: str | int, arrival: str | int, max_cell_chars: int = MAX_CELL_CHARS) -> DataFrame:
+def reassemble(df: DataFrame, column: str | int, arrival: str | int) -> DataFrame:
     """One row per session: ``session, total, chunks, complete, missing, filename, encoding, content``.
 
-    The latest copy of a chunk wins, ``total`` is that of the first arrival. ``missing`` lists gaps
-    as ``{from, to}``. ``content`` is NULL while chunks are missing. Chunks are first reduced to one
-    per (session, seq), which spreads a busy session over many tasks; sessions whose text would not
-    fit a cell are told apart by their size and come back with ``content`` NULL and ``too_long``
-    set, their chunks stay available from :func:`parse_envelopes`.
+    The latest copy of a chunk wins; ``total`` is that of the chunk that arrived first, as its latest copy
+    has it. ``missing`` lists gaps as ``{from, to}``. ``content`` is NULL while chunks are missing. Chunks
+    are first reduced to one per (session, seq), which spreads a busy session over many tasks. A message
+    that no cell can hold raises with its session; :func:`parse_envelopes` gives its chunks as rows.
     """
     arrived = df.select(
         names.col(names.resolve(df, column)).alias("__text"), names.col(names.resolve(df, arrival)).alias("__arrival")
     )
     parsed = parse_envelopes(arrived, "__text").where(~F.col("is_foreign"))
     order = F.col("__arrival")
-    sizes = parsed.groupBy("session", "seq").agg(F.max_by(F.length("payload"), order).alias("size"))
-    large = sizes.groupBy("session").agg(F.sum(F.col("size") + F.lit(16)).alias("size")).where(F.col("size") > max_cell_chars)
-    large = large.select(F.col("session").alias("large_session"), F.lit(True).alias("long"))
     chunks = parsed.groupBy("session", "seq").agg(
-        F.max_by(F.struct("payload", "filename", "encoding"), order).alias("last"),
-        F.min_by(F.struct(order.alias("at"), "total"), order).alias("first"),
+        F.max_by(F.struct("payload", "filename", "encoding", "total"), order).alias("last"), F.min(order).alias("first"),
     )
-    told = chunks.join(F.broadcast(large), F.col("session") == F.col("large_session"), "left")
-    chunk = F.when(F.col("long").isNull(), F.struct("seq", F.col("last.payload").alias("payload")))
-    both = told.groupBy("session").agg(
-        F.min_by(F.col("first.total"), F.col("first.at")).alias("total"),
+    both = chunks.groupBy("session").agg(
+        F.min_by(F.col("last.total"), F.col("first")).alias("total"),
         F.max(F.when(F.col("seq") == 1, F.col("last.filename"))).alias("filename"),
         F.max(F.when(F.col("seq") == 1, F.col("last.encoding"))).alias("encoding"),
-        F.array_sort(F.collect_list(chunk)).alias("chunks"),
-        F.max("long").alias("long"),
+        F.array_sort(F.collect_list(F.struct("seq", F.col("last.payload").alias("payload")))).alias("chunks"),
+        F.sum(F.octet_length("last.payload")).alias("size"),
     )
-    both = both.withColumn("chunks", F.when(F.col("long").isNull(), F.col("chunks")))
     inside = F.filter("chunks", lambda c: (c["seq"] >= 1) & (c["seq"] <= F.col("total")))
     both = both.withColumn("chunks", inside)
     seqs = F.transform("chunks", lambda c: c["seq"])
@@ -168,7 +160,9 @@ def reassemble(df: DataFrame, column: str | int, arrival: str | int, max_cell_ch
         lambda g: g["from"] <= g["to"],
     )
     complete = F.size("chunks") == F.col("total")
-    content = F.array_join(F.transform("chunks", lambda c: c["payload"]), "")
+    too_long = F.raise_error(F.concat(F.lit("no cell can hold the message of session "), F.col("session"))).cast("string")
+    joined = F.array_join(F.transform("chunks", lambda c: c["payload"]), "")
+    content = F.when(F.col("size") > _CELL_BYTES, too_long).otherwise(joined)
     return both.select(
         "session",
         "total",
@@ -178,7 +172,6 @@ def reassemble(df: DataFrame, column: str | int, arrival: str | int, max_cell_ch
         "filename",
         "encoding",
         F.when(complete, content).alias("content"),
-        F.col("chunks").isNull().alias("too_long"),
     )
 
 

@@ -173,7 +173,12 @@ def _cell_diff(n: int, pair: ColumnPair, ltypes: list, rtypes: list, texts: Text
     if not has_left and not has_right:
         return F.when(cat == "A", F.lit(texts.match)).otherwise(change)
     if not has_left or not has_right:
-        return change
+        if pair.compare != NUMERIC:
+            return change
+        number = F.col(f"__lnum_{n}" if has_left else f"__rnum_{n}")
+        shown = F.coalesce(F.when(lfilled | rfilled, cells.render(number, T.DoubleType())), lshown if has_left else rshown)
+        either = (shown, rshown) if has_left else (lshown, shown)
+        return F.when(cat == "A", F.concat(either[0], F.lit(texts.transition), either[1])).otherwise(change)
 
     both = lfilled & rfilled
     target = _compared_type(ltype, rtype)
@@ -259,7 +264,6 @@ def reconcile(
     autogen_key_name: str = "Index [Autogen]",
     include_source: bool = True,
     ordered: bool = False,
-    first_keys: int = 20,
     reuse_keys: bool = False,
 ) -> Tables:
     """Compare two versions of a table.
@@ -379,7 +383,7 @@ def reconcile(
         "detail": detail,
         "duplicates in original": lambda: duplicates(lplain, lkey, lhead, "DFG"),
         "duplicates in new": lambda: duplicates(rplain, rkey, rhead, "EFH"),
-        "summary": lambda: K.summarize_keys(found, first_keys),
+        "summary": lambda: K.summarize_keys(found),
         "headers": headers,
         "keys": lambda: found,
         "columns": lambda: _columns_table(left, right, lhead, rhead, pairs, shown, titles),
