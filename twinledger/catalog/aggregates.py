@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators.aggregate import aggregate, concatenate_parts, de_aggregate
-from ..plans.agg_specs import AggSpec
+from ..plans.agg_specs import AggSpec, spec_all
 from . import tables as t
 
 QUERIES: dict = {}
@@ -117,14 +117,42 @@ SQL["agg_many_specs"] = """SELECT l_suppkey, sum(l_quantity) AS qty, 'ok' AS qty
 
 
 def agg_concatenate_parts(spark, sf):
-    """Order keys per status as parts of bounded length, put together again in the check."""
-    return concatenate_parts(t.orders(spark, sf), "o_orderstatus", "o_orderkey", ["o_orderkey"], part_rows=1000) \
-        .groupBy("key").agg(F.sum(F.length("text") + 2).alias("chars"))
+    """Order keys per status as parts of bounded length: keys, part numbers and texts row by row."""
+    return concatenate_parts(t.orders(spark, sf), "o_orderstatus", "o_orderkey", ["o_orderkey"], part_rows=1000)
 
 
 QUERIES["agg_concatenate_parts"] = agg_concatenate_parts
-SQL["agg_concatenate_parts"] = """SELECT o_orderstatus AS key, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 2) AS BIGINT) AS chars
-    FROM orders GROUP BY 1"""
+SQL["agg_concatenate_parts"] = """SELECT o_orderstatus AS key, part, string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderkey) AS text
+    FROM (SELECT o_orderstatus, o_orderkey,
+                 CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 1000 + 1 AS INTEGER) AS part
+          FROM orders) GROUP BY o_orderstatus, part"""
+
+
+def agg_spec_all(spark, sf):
+    """Distinct values of every column of the line items, per return flag, in one pass."""
+    lines = t.load(spark, sf, "lineitem")
+    return aggregate(lines, "l_returnflag", spec_all(lines, "count_unique"))
+
+
+_LINE_COLUMNS = ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+                 "l_linestatus l_shipdate").split()
+QUERIES["agg_spec_all"] = agg_spec_all
+SQL["agg_spec_all"] = "SELECT l_returnflag, " + ", ".join(
+    f'count(DISTINCT {c}) AS "{n} - count_unique - {c}"' for n, c in enumerate(_LINE_COLUMNS)
+) + " FROM lineitem GROUP BY l_returnflag"
+
+
+def pivot_own_categories(spark, sf):
+    """Three specs over one category column: two with lists of their own, one with all its values."""
+    specs = [AggSpec("category-count-all", "o_orderkey", name, {"cat_key_col": "o_orderstatus", **more})
+             for name, more in (("x", {"categories": ["F"]}), ("y", {"categories": ["O", "P"]}), ("z", {}))]
+    return aggregate(t.orders(spark, sf), "o_custkey", specs)
+
+
+QUERIES["pivot_own_categories"] = pivot_own_categories
+SQL["pivot_own_categories"] = "SELECT o_custkey, " + ", ".join(
+    f"count(*) FILTER (o_orderstatus = '{c}') AS \"{n} - {c}\"" for n, c in ("xF", "yO", "yP", "zF", "zO", "zP")
+) + " FROM orders GROUP BY o_custkey"
 
 
 def _pivot(name, kind, column, options, value_sql, status_sql=None, absent="NULL", absent_status="'ok'"):

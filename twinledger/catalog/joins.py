@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators.join import join_tables
 from ..operators.keys import key_analysis, key_set, summarize_keys
 from . import tables as t
@@ -13,6 +15,13 @@ def key_analysis_order_line(spark, sf):
     return key_analysis(t.load(spark, sf, "orders"), t.load(spark, sf, "lineitem"), "o_orderkey", "l_orderkey")
 
 
+def key_analysis_long_double(spark, sf):
+    """Whole keys above 2**53 against the same keys as DOUBLE, which holds only the even ones."""
+    orders, lines = t.load(spark, sf, "orders"), t.load(spark, sf, "lineitem")
+    return key_analysis(orders.select((F.col("o_orderkey") + F.lit(2**53)).alias("k")),
+                        lines.select((F.col("l_orderkey") + F.lit(2**53)).cast("double").alias("k")), "k", "k")
+
+
 def key_analysis_cust_order(spark, sf):
     return key_analysis(t.load(spark, sf, "orders"), t.load(spark, sf, "customer"), "o_custkey", "c_custkey")
 
@@ -76,6 +85,7 @@ def join_all_keys(spark, sf):
 
 QUERIES = {
     "key_analysis_order_line": key_analysis_order_line,
+    "key_analysis_long_double": key_analysis_long_double,
     "key_analysis_cust_order": key_analysis_cust_order,
     "key_analysis_all_categories": key_analysis_all_categories,
     "key_analysis_negative_list": key_analysis_negative_list,
@@ -124,6 +134,8 @@ _EXT_CELLS = f"""{_cells("o", "_ORIG_", "'C','H'", "'F'")}, {_cells("n", "_JOINE
 
 SQL = {
     "key_analysis_order_line": f"WITH {t.counted('orders', 'lineitem', 'o_orderkey', 'l_orderkey')} SELECT {_KEY_COLUMNS} FROM counted",
+    "key_analysis_long_double": f"""WITH {t.counted('orders', 'lineitem', 'CAST(o_orderkey + 9007199254740992 AS VARCHAR)',
+        'CAST(CAST(CAST(l_orderkey + 9007199254740992 AS DOUBLE) AS BIGINT) AS VARCHAR)')} SELECT {_KEY_COLUMNS} FROM counted""",
     "key_analysis_cust_order": f"WITH {t.counted('orders', 'customer', 'o_custkey', 'c_custkey')} SELECT {_KEY_COLUMNS} FROM counted",
     "key_analysis_all_categories": f"WITH {t.VERSIONS}, {_OLD_NEW} SELECT {_KEY_COLUMNS} FROM counted",
     "key_analysis_negative_list": f"WITH {t.VERSIONS}, {_OLD_NEW} SELECT {_KEY_COLUMNS}, {_EXPLAINED} AS explained FROM counted",

@@ -57,7 +57,14 @@ def row_number_key(spark, sf):
     return reconcile(left, right, order_by=(["c_custkey"], ["c_custkey"]), columns=[ColumnPair(0, 0), ColumnPair(1, 1)])["detail"]
 
 
+def missing_counterpart(spark, sf):
+    """A column compared as a number that the new version does not have."""
+    old, new = _versions(spark, sf)
+    return reconcile(old.select("o_orderkey", "cents"), new.select("o_orderkey"), "o_orderkey", "o_orderkey", columns=[ColumnPair(1, -1, 1)])["detail"]
+
+
 QUERIES = {
+    "reconcile_missing_counterpart": missing_counterpart,
     "reconcile_detail": _part("detail"),
     "reconcile_tolerance": _part("detail", tolerance=0.05),
     "reconcile_duplicates_left": _part("duplicates in original"),
@@ -112,6 +119,8 @@ def _detail(tolerance: bool) -> str:
 _FLOAT = "CASE WHEN {0} = 0 THEN '<blank>' WHEN cat = 'A' THEN CAST({0} AS VARCHAR) || '.0' ELSE CAST({0} AS VARCHAR) END"
 
 SQL = {
+    "reconcile_missing_counterpart": f"""WITH {t.VERSIONS}, {_OLD_NEW} SELECT k AS "Key", cat AS "Key Category",
+        {_cell("o.cents", None, "cents --> <missing col>", True, left_text=_FLOAT.format("o.cents"))} {_JOINED}""",
     "reconcile_detail": _detail(False),
     "reconcile_tolerance": _detail(True),
     "reconcile_duplicates_left": f"""WITH {t.VERSIONS}, {_OLD_NEW}

@@ -333,11 +333,13 @@ def concatenate_parts(
     link_text: str = ", ",
     null_text: str | None = None,
 ) -> DataFrame:
-    """Concatenation for groups of any size, as rows ``key, part, text`` of bounded length.
+    """Concatenation for groups of any size, as rows ``key, part, text`` of ``part_rows`` items each.
 
     Joining a key's parts in order with the link text gives exactly the cell of the ``concatenate``
-    (or, with ``unique``, ``concatenate_unique``) aggregate. Rows are range-partitioned by key and
-    order, so a hot key spreads over as many tasks as it fills.
+    (or, with ``unique``, ``concatenate_unique``) aggregate. All rows are numbered in order of key and
+    row (range partitions, so a hot key fills many); an item's part is its distance from the first
+    number of its key. The narrow table of first numbers is joined in a way adaptive execution can
+    split, and parts are grouped one by one, so no task holds a whole hot key.
     """
     key, column = names.resolve(df, key), names.resolve(df, column)
     text = _text_of(names.col(column), df.schema[column].dataType, strip, null_text)
@@ -353,18 +355,13 @@ def concatenate_parts(
             *[names.col(names.resolve(df, c)).alias(o) for c, o in zip(order_by, order)],
             text.alias("t"),
         )
-    placed = durable.checkpointed(
-        rows.repartitionByRange(KEY, *order)
-        .sortWithinPartitions(KEY, *order)
-        .withColumn("place", F.monotonically_increasing_id())
-    )
-    chunks = placed.groupBy(KEY, F.floor(F.col("place") / F.lit(part_rows)).alias("chunk")).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), link_text
-        ).alias("text")
-    )
-    part = F.row_number().over(Window.partitionBy(KEY).orderBy("chunk"))
-    return chunks.select(F.col(KEY).alias("key"), part.alias("part"), "text")
+    numbered = durable.with_row_number(rows, [KEY, *order], "number")
+    first = durable.checkpointed(numbered.groupBy(F.col(KEY).alias("first_key")).agg(F.min("number").alias("first")))
+    placed = numbered.join(first, F.col(KEY).eqNullSafe(F.col("first_key")))
+    part = (F.floor((F.col("number") - F.col("first")) / F.lit(part_rows)) + 1).cast("int").alias("part")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("number", "t"))), lambda x: x["t"])
+    parts = placed.groupBy(KEY, part).agg(F.array_join(items, link_text).alias("text"))
+    return parts.select(F.col(KEY).alias("key"), "part", "text")
 
 
 # ---------------------------------------------------------------------------------------------
