@@ -10,8 +10,8 @@ from twinledger.plans.agg_specs import CATEGORY_TYPES, PLAIN_TYPES
 @pytest.fixture(scope="module")
 def orders(spark):
     return spark.createDataFrame(
-        [(1, "George", 100), (2, "Ben", 50), (3, "George", 230), (4, "George", 10), (5, "Ben", 110)],
-        "`Order ID` bigint, `Client Name` string, Amount bigint",
+        [(11, "Petrel", 70), (12, "Gannet", 45), (13, "Petrel", 5), (14, "Gannet", 45), (15, "Skua", 9), (16, "Petrel", 20)],
+        "`Trip No` bigint, `Boat Name` string, Catch bigint",
     )
 
 
@@ -28,14 +28,14 @@ def test_there_are_36_types():
     assert len(AGG_TYPES) == 36 and len(CATEGORY_TYPES) == len(PLAIN_TYPES) == 18
 
 
-def test_docstring_example(orders, rows):
-    out = aggregate(orders, "Client Name", [
-        dict(agg_type="sum", agg_col="Amount", agg_name="Total Amount"),
-        dict(agg_type="concatenate_unique", agg_col=0, agg_name="Order IDs", agg_options={"link_text": ","}),
-        dict(agg_type="count_all", agg_col=0, agg_name="Number of Orders"),
-    ], as_text=True, key_name="Client", ordered=True)
-    assert out.columns == ["Client", "Total Amount", "Order IDs", "Number of Orders"]
-    assert rows(out, ordered=True) == [("Ben", "160", "2,5", "2"), ("George", "340", "1,3,4", "3")]
+def test_several_aggregates(orders, rows):
+    out = aggregate(orders, "Boat Name", [
+        dict(agg_type="sum", agg_col="Catch", agg_name="Landed"),
+        dict(agg_type="concatenate_unique", agg_col=0, agg_name="Trips", agg_options={"link_text": "+"}),
+        dict(agg_type="count_all", agg_col=0, agg_name="Times out"),
+    ], as_text=True, key_name="Boat", ordered=True)
+    assert out.columns == ["Boat", "Landed", "Trips", "Times out"]
+    assert rows(out, ordered=True) == [("Gannet", "90", "12+14", "2"), ("Petrel", "95", "11+13+16", "3"), ("Skua", "9", "15", "1")]
 
 
 @pytest.mark.parametrize("kind, pairs, options, expected", [
@@ -124,21 +124,21 @@ def test_null_key_and_null_category(spark):
 
 
 def test_given_categories_and_limits(spark, orders):
-    spec = AggSpec("category-count-all", 0, "n", {"cat_key_col": "Amount", "categories": [100, 7]})
-    out = aggregate(orders, "Client Name", [spec])
-    assert out.columns == ["Client Name", "n - 100", "n - 7"]
+    spec = AggSpec("category-count-all", 0, "n", {"cat_key_col": "Catch", "categories": [45, 7]})
+    out = aggregate(orders, "Boat Name", [spec])
+    assert out.columns == ["Boat Name", "n - 45", "n - 7"]
     with pytest.raises(ValueError):
-        aggregate(orders, 1, [AggSpec("category-count-all", 0, "n", {"cat_key_col": "Amount"})], max_pivot_columns=3)
-    assert distinct_values(orders, "Client Name") == ["Ben", "George"]
+        aggregate(orders, 1, [AggSpec("category-count-all", 0, "n", {"cat_key_col": "Catch"})], max_pivot_columns=3)
+    assert distinct_values(orders, "Boat Name") == ["Gannet", "Petrel", "Skua"]
 
 
 def test_bad_specs(orders):
-    bad = [AggSpec("median", "Amount"), AggSpec("category", "Amount", "x", {"cat_key_col": 9}), AggSpec("category", "Amount"),
-           AggSpec("sum", "Amount", "s", {"oops": 1}), AggSpec("count_all", "Amount", "n")]
+    bad = [AggSpec("median", "Catch"), AggSpec("category", "Catch", "x", {"cat_key_col": 9}), AggSpec("category", "Catch"),
+           AggSpec("sum", "Catch", "s", {"oops": 1}), AggSpec("count_all", "Catch", "n")]
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
         out = aggregate(orders, 1, bad)
-    assert out.columns == ["Client Name", "n"] and len([w for w in seen if "skipped" in str(w.message)]) == 4
+    assert out.columns == ["Boat Name", "n"] and len([w for w in seen if "skipped" in str(w.message)]) == 4
     with pytest.raises(ValueError):
         aggregate(orders, 1, bad[:1], on_error="raise")
     with pytest.raises(ValueError):
@@ -146,8 +146,8 @@ def test_bad_specs(orders):
 
 
 def test_spec_all(orders):
-    out = aggregate(orders, "Client Name", spec_all(orders, "count_unique"))
-    assert out.columns == ["Client Name", "0 - count_unique - Order ID", "1 - count_unique - Client Name", "2 - count_unique - Amount"]
+    out = aggregate(orders, "Boat Name", spec_all(orders, "count_unique"))
+    assert out.columns == ["Boat Name", "0 - count_unique - Trip No", "1 - count_unique - Boat Name", "2 - count_unique - Catch"]
 
 
 def test_spec_all_reads_its_table_once(spark, tmp_path):
@@ -179,16 +179,16 @@ def test_long_cells_go_to_parts(spark):
 
 
 def test_de_aggregate(spark, rows):
-    df = spark.createDataFrame([("George", 340, "1,3, 4"), ("Ben", 160, "2,5,"), ("Nil", 0, None)], "n string, t int, `Order IDs` string")
-    out = de_aggregate(df, "Order IDs", ",")
+    df = spark.createDataFrame([("Petrel", 95, "11+13+ 16"), ("Gannet", 90, "12+14+"), ("Tern", 0, None)], "n string, t int, `Trips` string")
+    out = de_aggregate(df, "Trips", "+")
     assert out.columns == df.columns
-    assert rows(out) == [("Ben", 160, ""), ("Ben", 160, "2"), ("Ben", 160, "5"), ("George", 340, "1"), ("George", 340, "3"),
-                         ("George", 340, "4"), ("Nil", 0, "None")]
+    assert rows(out) == [("Gannet", 90, ""), ("Gannet", 90, "12"), ("Gannet", 90, "14"), ("Petrel", 95, "11"), ("Petrel", 95, "13"),
+                         ("Petrel", 95, "16"), ("Tern", 0, "None")]
     dots = spark.createDataFrame([("a.|b.|c",)], "x string")
     assert rows(de_aggregate(dots, 0, ".|")) == [("a",), ("b",), ("c",)]
 
 
 def test_round_trip(orders, rows):
-    joined = aggregate(orders, "Client Name", [AggSpec("concatenate", "Order ID", "ids")], order_by=["Order ID"])
+    joined = aggregate(orders, "Boat Name", [AggSpec("concatenate", "Trip No", "ids")], order_by=["Trip No"])
     back = de_aggregate(joined, "ids").select(F.col("ids").cast("bigint"))
-    assert rows(back) == rows(orders.select("Order ID"))
+    assert rows(back) == rows(orders.select("Trip No"))

@@ -13,7 +13,7 @@ def detail(result):
 
 
 def test_change(spark):
-    old, new = table(spark, [(1, "George", 100), (2, "Ben", 50)]), table(spark, [(1, "George", 100), (2, "Ben", 75)])
+    old, new = table(spark, [(1, "Petrel", 100), (2, "Skua", 50)]), table(spark, [(1, "Petrel", 100), (2, "Skua", 75)])
     result = reconcile(old, new, 0, 0)
     assert detail(result) == {1: ("A", "-", "-", "-"), 2: ("A", "-", "-", "50 --> 75")}
     assert list(result) == ["detail", "duplicates in original", "duplicates in new", "summary", "headers", "keys",
@@ -124,7 +124,7 @@ def test_mapping(spark):
     assert pairs == [ColumnPair(0, 0, 1)] and len(errors) == 2
     doubled = old.toDF("a", "a", "c")
     pairs, errors = map_columns(doubled, new)
-    assert errors == ['Warning: column name "a" not unique in original table; ignored']
+    assert errors == ['column name "a" occurs more than once in the original table and is ignored']
     with pytest.raises(ValueError):
         map_columns(old, new, select="SOME")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.join import join_tables
-from ..operators.keys import key_analysis, key_set, summarize_keys
+from ..operators.keys import CATEGORIES, key_analysis, key_set, summarize_keys
 from . import tables as t
 
+_LETTERS = ", ".join(f"('{letter}', '{text}')" for letter, text in CATEGORIES.items())
 _KEY_COLUMNS = "k AS key, cat AS category, l AS left_rows, r AS right_rows"
 
 
@@ -142,11 +143,7 @@ SQL = {
     "key_set_left_only": f"""WITH {t.counted('orders', 'lineitem', 'o_orderkey', 'l_orderkey')}
         SELECT k AS key, cat AS category FROM counted WHERE cat IN ('B', 'G')""",
     "key_summary": f"""WITH {t.VERSIONS}, {_OLD_NEW},
-        letters(category, description) AS (VALUES
-          ('A', '1:1 found in original and new tables'), ('B', 'unique in original; not found in new table'),
-          ('C', 'not found in original; unique in new table'), ('D', 'non-unique in original; unique in new table'),
-          ('E', 'unique in original; non-unique in new table'), ('F', 'non-unique in both original and new tables'),
-          ('G', 'non-unique in original; not found in new table'), ('H', 'not found in original; non-unique in new table'))
+        letters(category, description) AS (VALUES {_LETTERS})
         SELECT category, description, count(k) AS keys_found FROM letters LEFT JOIN counted ON cat = category GROUP BY category, description""",
     "join_restrictive": f"WITH {t.VERSIONS}, {_OLD_NEW} SELECT {_LEAD}, {_BASE_CELLS} {_FROM_OLD} WHERE cat IN ('A', 'D')",
     "join_base": f"WITH {t.VERSIONS}, {_OLD_NEW} SELECT {_LEAD}, {_BASE_CELLS} {_FROM_OLD}",

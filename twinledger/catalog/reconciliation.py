@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.keys import CATEGORIES
 from ..operators.reconcile import ColumnPair, reconcile, reconcile_guided
 from . import tables as t
 
@@ -78,6 +79,7 @@ QUERIES = {
     "reconcile_row_number_key": row_number_key,
 }
 
+_LETTERS = ", ".join(f"('{letter}', '{text}')" for letter, text in CATEGORIES.items())
 _OLD_NEW = t.counted("old_orders", "new_orders", "o_orderkey", "o_orderkey")
 
 
@@ -128,11 +130,7 @@ SQL = {
     "reconcile_duplicates_right": f"""WITH {t.VERSIONS}, {_OLD_NEW}
         SELECT {", ".join(_COLUMNS)} FROM new_orders JOIN counted ON k = o_orderkey WHERE r > 1""",
     "reconcile_summary": f"""WITH {t.VERSIONS}, {_OLD_NEW},
-        letters(category, description) AS (VALUES
-          ('A', '1:1 found in original and new tables'), ('B', 'unique in original; not found in new table'),
-          ('C', 'not found in original; unique in new table'), ('D', 'non-unique in original; unique in new table'),
-          ('E', 'unique in original; non-unique in new table'), ('F', 'non-unique in both original and new tables'),
-          ('G', 'non-unique in original; not found in new table'), ('H', 'not found in original; non-unique in new table'))
+        letters(category, description) AS (VALUES {_LETTERS})
         SELECT category, description, count(k) AS keys_found FROM letters LEFT JOIN counted ON cat = category GROUP BY category, description""",
     "reconcile_keys": f"WITH {t.VERSIONS}, {_OLD_NEW} SELECT k AS key, cat AS category FROM counted",
     "reconcile_numeric_key": f"""WITH {t.VERSIONS}, {_OLD_NEW}

@@ -236,7 +236,7 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
         for i, p in enumerate(paths):
             if longest[f"w{i}"]["dropped"]:
                 warnings.append(
-                    f"{p}: {longest[f'w{i}']['dropped']} item(s) beyond max_indexed_items={o.max_indexed_items} dropped"
+                    f"{p}: {longest[f'w{i}']['dropped']} item(s) left out, more than max_indexed_items={o.max_indexed_items} in a list"
                 )
         found = walk(width)
     leaves = found.leaves
@@ -246,7 +246,7 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
         place = {p: i for i, p in enumerate(o.discovery)} | {p: -1 for p in found.context}
         leaves = sorted(leaves, key=lambda leaf: place.get(leaf[0], len(place)))
     if o.max_columns is not None and len(leaves) > o.max_columns:
-        warnings.append(f"max_columns={o.max_columns} exceeded; extra columns dropped")
+        warnings.append(f"{len(leaves) - o.max_columns} column(s) left out, more than max_columns={o.max_columns}")
         leaves = leaves[: o.max_columns]
     titles = names.unique_names([*carry, *[p for p, _ in leaves]])
     out = []
@@ -347,7 +347,7 @@ def select_records(df: DataFrame, record_path: str | None = None, *, root: str |
             return df
         paths = find_record_paths(body, segments)
         if not paths:
-            raise ValueError(f"record_path {record_path!r} matched no elements")
+            raise ValueError(f"no element lies at record_path {record_path!r}")
     tables = [_descend(df, body, p, path_separator, attribute_prefix, text_key, carry) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 

@@ -18,6 +18,7 @@ from ..functions import cells, names
 
 KEY, LEFT_ROWS, RIGHT_ROWS = "__key", "__left_rows", "__right_rows"
 
+# The category letters and their descriptions are output of the operators.
 CATEGORIES = {
     "A": "1:1 found in original and new tables",
     "B": "unique in original; not found in new table",

@@ -96,14 +96,14 @@ def map_columns(
                 if isinstance(value, str):
                     name = value.strip(cells.WHITESPACE) if strip else value
                     if name not in head:
-                        errors.append(f'Column "{name}" not found in {side} table; skipping spec.')
+                        errors.append(f'Column "{name}" is not in the {side} table; pair left out')
                         break
                     if name in dup:
-                        errors.append(f'Column "{name}" not unique in {side} table; skipping spec.')
+                        errors.append(f'Column "{name}" occurs more than once in the {side} table; pair left out')
                         break
                     value = head.index(name)
                 elif value != ABSENT and not 0 <= value < len(head):
-                    errors.append(f"Column {value} out of range of {side} table; skipping spec.")
+                    errors.append(f"Column {value} is beyond the {side} table; pair left out")
                     break
                 sides.append(value)
             else:
@@ -113,14 +113,14 @@ def map_columns(
         return pairs, errors
 
     if columns:
-        errors.append("Columns passed in as argument despite AUTO column selection.")
+        errors.append("columns are ignored where they are selected automatically")
     if mode == "POSITION":
         pairs = positional_pairs(left, right)
         if select == "AUTO-AND":
             pairs = [p for p in pairs if ABSENT not in (p.left, p.right)]
         return pairs, errors
     for side, dup in (("original", ldup), ("new", rdup)):
-        errors += [f'Warning: column name "{n}" not unique in {side} table; ignored' for n in sorted(dup)]
+        errors += [f'column name "{n}" occurs more than once in the {side} table and is ignored' for n in sorted(dup)]
     lpos = {n: i for i, n in enumerate(lhead) if n not in ldup}
     rpos = {n: i for i, n in enumerate(rhead) if n not in rdup}
     order = [n for n in lhead if n in lpos] + [n for n in rhead if n in rpos and n not in lpos]
@@ -226,13 +226,13 @@ def _columns_table(left: DataFrame, right: DataFrame, lhead: list[str], rhead: l
     for n, (p, title, column) in enumerate(zip(pairs, titles, shown)):
         warnings = []
         if not 0 <= p.left < len(lhead):
-            warnings.append("Warning: Original column index out of range!")
+            warnings.append("original column is beyond the table")
         elif lhead[p.left] in ldup:
-            warnings.append("Warning: Original column name not unique in table!")
+            warnings.append("original column name occurs more than once")
         if not 0 <= p.right < len(rhead):
-            warnings.append("Warning: New column index out of range!")
+            warnings.append("new column is beyond the table")
         elif rhead[p.right] in rdup:
-            warnings.append("Warning: New column name not unique in table!")
+            warnings.append("new column name occurs more than once")
         rows.append((n, p.left, p.right, p.compare, title, column, "\n".join(warnings)))
     schema = ("position int, original_index int, new_index int, compare_type int, title string, "
               "detail_column string, warnings string")
