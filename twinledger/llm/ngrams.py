@@ -6,7 +6,7 @@ linear model is applied. What differs is the n-grams and how the linear model is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, held_out, ship_package
 
-#: From texts to, for each, the bucket numbers of its n-grams (with repeats).
-Extractor = Callable[[list], "list[np.ndarray]"]
+#: From texts to, one at a time, the bucket numbers of the n-grams of each (with repeats).
+Extractor = Callable[[list], "Iterator[np.ndarray]"]
 _CHUNKS = 64
 
 

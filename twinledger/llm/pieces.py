@@ -51,7 +51,7 @@ class Pieces:
     seed: int = 0
     dropout: float = 0.1
     variants: int = 4
-    remember: int = 600_000
+    remember: int = 400_000
     caches: list = field(default_factory=list)
     pairs: _Pairs | None = None
 
@@ -294,15 +294,6 @@ class _Pairs:
         return flat[:, :size]
 
 
-_models: dict[tuple, Pieces] = {}
-
-
-def _remembered(model: Pieces) -> Pieces:
-    """The model of an earlier task of this worker, with what it knows, if it is the same."""
-    key = (len(model.pieces), model.seed, model.dropout, model.variants, model.remember, zlib.crc32(b"".join(model.surface)))
-    return _models.setdefault(key, model)
-
-
 def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (little-endian integers of the model's width) of every whole text.
 
@@ -312,11 +303,10 @@ def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", tex
     ship_package(docs.sparkSession)
 
     def encoded(frames):
-        known = _remembered(model)
         for frame in frames:
             texts, keys, ids = frame["text"].tolist(), frame["key"].tolist(), []
             for group in batches(texts):
-                ids += known.encode([texts[i] for i in group], [keys[i] for i in group])
+                ids += model.encode([texts[i] for i in group], [keys[i] for i in group])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids})
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -28,12 +30,11 @@ def _shapes(text: str, words: np.ndarray) -> np.ndarray:
     return shape
 
 
-def word_ngrams(texts: list) -> list[np.ndarray]:
+def word_ngrams(texts: list) -> Iterator[np.ndarray]:
     """Buckets of words, pairs of words, and one to three consecutive word shapes."""
-    out = []
     for text, words in zip(texts, word_hashes(texts, lower=False)):
         if not len(words):
-            out.append(np.zeros(0, dtype=np.int64))
+            yield np.zeros(0, dtype=np.int64)
             continue
         found = [words, mixed(words[:-1] * np.uint64(5) + words[1:])]
         shape = _shapes(text, words)
@@ -42,8 +43,7 @@ def word_ngrams(texts: list) -> list[np.ndarray]:
             for i in range(n):
                 run = run << np.uint64(10) | shape[i : len(shape) - n + 1 + i] if len(run) else run
             found.append(mixed(run + np.uint64(1 << 60)))
-        out.append((np.concatenate(found) >> np.uint64(44)).astype(np.int64))
-    return out
+        yield (np.concatenate(found) >> np.uint64(44)).astype(np.int64)
 
 
 def dual_coordinate_descent(labels: np.ndarray, rows: list[np.ndarray], ratios: np.ndarray, cost: float, passes: int,

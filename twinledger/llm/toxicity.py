@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -12,9 +14,8 @@ BUCKETS = 1 << 20
 SIZES = (3, 4, 5)
 
 
-def character_ngrams(texts: list) -> list[np.ndarray]:
+def character_ngrams(texts: list) -> Iterator[np.ndarray]:
     """Buckets of all character 3- to 5-grams of the lower-cased text, with a blank at each end."""
-    out = []
     for text in texts:
         line = f" {text.lower()} " if text else "  "
         chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -26,8 +27,7 @@ def character_ngrams(texts: list) -> list[np.ndarray]:
             if n >= SIZES[0]:
                 bucket = (gram ^ (gram >> 13)) * np.uint32(0xC2B2AE35)
                 found.append(bucket >> np.uint32(12))
-        out.append(np.concatenate(found) if found else np.zeros(0, dtype=np.uint32))
-    return out
+        yield np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
 
 
 def logistic(labels: np.ndarray, rows: list[np.ndarray], ratios: np.ndarray, penalty: float, steps: int
