@@ -106,7 +106,7 @@ def test_dual_coordinate_descent_reaches_the_optimum():
 
 def test_ngrams_of_awkward_texts():
     for extract in (toxicity.character_ngrams, quality.word_ngrams):
-        found = extract([None, "", " ", "a", "ab cd\x00e", "Äé\U0001f600"])
+        found = list(extract([None, "", " ", "a", "ab cd\x00e", "Äé\U0001f600"]))
         assert len(found) == 6 and all((f < 1 << 20).all() for f in found)
     model = Linear(np.full(1 << 20, -1, dtype=np.int32), np.zeros(1), 0.0)
     assert list(model.scores(toxicity.character_ngrams, [None, "x"])) == [0.5, 0.5]
