@@ -64,6 +64,8 @@ def test_header_offset(spark, tmp_path, rows):
 def test_encoding(spark, tmp_path, rows):
     path = put(tmp_path, "l.csv", "name\nmär\n".encode("latin-1"))
     assert rows(read_csv(spark, path, encoding="latin-1")) == [("mär",)]
+    path = put(tmp_path, "w.csv", "name,price\n„Æ“,5 €\n".encode("windows-1252"))
+    assert rows(read_csv(spark, path, encoding="windows-1252")) == [("„Æ“", "5 €")]
 
 
 def test_convert(spark):

@@ -201,6 +201,15 @@ def test_folder(spark, tmp_path):
     assert read_xml(spark, str(tmp_path), "Depot.Crate", max_rows=2).table.count() == 3
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for place, lots in (("north", (1, 2)), ("south", (3, 4, 5))):
+        (tmp_path / place).mkdir()
+        save(tmp_path / place, stock_dot_xml="<Depot>" + "".join(f"<Crate><Lot>{n}</Lot></Crate>" for n in lots) + "</Depot>")
+    assert read_xml(spark, f"{tmp_path}/*", "Depot.Crate", max_rows=1).table.count() == 2
+    tables = read_xml_tables(spark, f"{tmp_path}/*", "Depot.Crate")
+    assert {name: table.count() for name, table in tables.items()} == {"north/stock.xml": 2, "south/stock.xml": 3}
+
+
 def test_outline():
     assert outline_of(HARBOUR).record_tag() == "Ship"
     assert outline_of("<p><q/><s/></p>").record_tag() is None

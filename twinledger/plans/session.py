@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Encodings beyond Spark's short list, such as windows-1252.
+    "spark.sql.legacy.javaCharsets": "true",
     # Above this size the JVM leaves generated methods uncompiled; Spark then splits them instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import tarfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 from xml.parsers import expat
 
 import pandas as pd
@@ -200,7 +202,7 @@ def read_xml_records(
     df = reader.xml(path)
     carry: tuple[str, ...] = ()
     if with_file_name:
-        df = df.select(F.col("_metadata.file_name").alias("__file"), "*")
+        df = df.select(F.col("_metadata.file_path").alias("__file"), "*")
         carry = ("__file",)
     if on_malformed != "recover" and _CORRUPT in df.columns:
         df = df.drop(_CORRUPT)
@@ -231,7 +233,7 @@ def read_xml(
     """Read XML files and flatten their records; see :func:`~twinledger.operators.flatten.flatten`.
 
     All files share one schema, so a column is in the same place for each of them. ``max_rows`` is
-    per file. With ``with_file_name`` the rows say which file they are from (``__file``).
+    per file. With ``with_file_name`` the rows say which file they are from (``__file``, its path).
     """
     flatten_options.setdefault("column_order", "discovery")
     options = X.FlattenOptions(**flatten_options)
@@ -259,10 +261,17 @@ def limit_per_group(df: DataFrame, group: list[str], rows: int) -> DataFrame:
 
 
 def read_xml_tables(spark: SparkSession, path: str, record_path: str | None = None, **options) -> dict[str, DataFrame]:
-    """One table per XML file of a folder, all with the same columns."""
+    """One table per XML file of a folder, all with the same columns.
+
+    Tables are named by their files; if two files have one name, by their paths below the common folder.
+    """
     table = read_xml(spark, path, record_path, with_file_name=True, **options).table
     files = [r["__file"] for r in table.select("__file").distinct().orderBy("__file").collect()]
-    return {f: table.where(F.col("__file") == f).drop("__file") for f in files}
+    titles = [unquote(posixpath.basename(f)) for f in files]
+    if len(set(titles)) < len(titles):
+        folder = posixpath.commonpath([posixpath.dirname(f) for f in files])
+        titles = [unquote(posixpath.relpath(f, folder)) for f in files]
+    return {title: table.where(F.col("__file") == f).drop("__file") for title, f in zip(titles, files)}
 
 
 # ---------------------------------------------------------------------------------------------
