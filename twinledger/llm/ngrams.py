@@ -18,7 +18,7 @@ from .shared import Scratch, held_out, ship_package
 
 #: From texts to, one at a time, the bucket numbers of the n-grams of each (with repeats).
 Extractor = Callable[[list], "Iterator[np.ndarray]"]
-_CHUNKS = 64
+_CHUNKS = 256
 
 
 @dataclass
@@ -66,36 +66,42 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, pa
 def class_counts(rows: DataFrame, extract: Extractor, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Over all labelled rows: documents of each class, and of those with each n-gram: (2,), (2, buckets).
 
-    Every task sends its counts in chunks of buckets, which are added up per chunk.
+    Every task sends the counts that are not zero, in chunks of buckets small enough that the counts of
+    all tasks for one chunk are added up in little memory.
     """
     width = buckets // _CHUNKS
 
     def count(frames):
-        found, docs = np.zeros((2, buckets), dtype=np.int64), np.zeros(2, dtype=np.int64)
+        found, docs = np.zeros((2, buckets), dtype=np.int32), np.zeros(2, dtype=np.int64)
         for frame in frames:
             for label, present in zip(frame["label"], extract(frame["text"].tolist())):
                 found[label, present] += 1  # a bucket that repeats within the document counts once
                 docs[label] += 1
         if docs.any():
-            chunks = found.reshape(2, _CHUNKS, width)
-            yield pd.DataFrame({
-                "chunk": range(_CHUNKS), "counts": [chunks[:, i].tobytes() for i in range(_CHUNKS)],
-                "n0": [docs[0]] * _CHUNKS, "n1": [docs[1]] * _CHUNKS,
-            })
+            rows = []
+            for i in range(_CHUNKS):
+                chunk = found[:, i * width : (i + 1) * width].ravel()
+                place = np.flatnonzero(chunk)
+                rows.append((i, place.astype(np.int32).tobytes(), chunk[place].astype(np.int64).tobytes(), docs[0], docs[1]))
+            yield pd.DataFrame(rows, columns=["chunk", "place", "counts", "n0", "n1"])
 
     def add(frame):
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in frame["counts"])
+        total = np.zeros(2 * width, dtype=np.int64)
+        for place, counts in zip(frame["place"], frame["counts"]):
+            total[np.frombuffer(place, dtype=np.int32)] += np.frombuffer(counts, dtype=np.int64)
+        place = np.flatnonzero(total)
         return pd.DataFrame({
-            "chunk": frame["chunk"][:1], "counts": [total.tobytes()], "n0": [frame["n0"].sum()], "n1": [frame["n1"].sum()],
+            "chunk": frame["chunk"][:1], "place": [place.astype(np.int32).tobytes()], "counts": [total[place].tobytes()],
+            "n0": [frame["n0"].sum()], "n1": [frame["n1"].sum()],
         })
 
-    schema = "chunk int, counts binary, n0 long, n1 long"
+    schema = "chunk int, place binary, counts binary, n0 long, n1 long"
     sums = rows.select("text", "label").mapInPandas(count, schema).groupBy("chunk").applyInPandas(add, schema).toPandas()
-    docs, found = np.zeros(2, dtype=np.int64), np.zeros((2, _CHUNKS, width), dtype=np.int64)
-    for chunk, counts, n0, n1 in sums.itertuples(index=False):
+    docs, found = np.zeros(2, dtype=np.int64), np.zeros((_CHUNKS, 2 * width), dtype=np.int64)
+    for chunk, place, counts, n0, n1 in sums.itertuples(index=False):
         docs[:] = n0, n1
-        found[:, chunk] = np.frombuffer(counts, dtype=np.int64).reshape(2, width)
-    return docs, found.reshape(2, buckets)
+        found[chunk, np.frombuffer(place, dtype=np.int32)] = np.frombuffer(counts, dtype=np.int64)
+    return docs, found.reshape(_CHUNKS, 2, width).transpose(1, 0, 2).reshape(2, buckets)
 
 
 def log_count_ratios(docs: np.ndarray, found: np.ndarray, features: int, smooth: float = 0.5

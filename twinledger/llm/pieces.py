@@ -51,7 +51,7 @@ class Pieces:
     seed: int = 0
     dropout: float = 0.1
     variants: int = 4
-    remember: int = 400_000
+    remember: int = 200_000
     caches: list = field(default_factory=list)
     pairs: _Pairs | None = None
 
