@@ -71,6 +71,20 @@ def test_words_encoded_one_by_one_equal_whole_texts():
         assert np.frombuffer(ids, dtype=encoder.kind).tolist() == whole.encode(text or "", add_special_tokens=False).ids
 
 
+def test_letters_that_normalize_to_letter_and_mark():
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as file:
+        encoder = tokens.WordEncoder(file.read())
+    whole = Tokenizer.from_file(WORDS)
+    texts = ["\u0938\u095c\u0915 road", "\ufb2a\u05dc", "a\u095c, a\ufb2a. b\u0130: a\u095c"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, dtype=encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+    encoder.known = {"": b""}
+    encoder._encode_joined(["\u0938\u095c\u0915", "road"])
+    assert np.frombuffer(encoder.known["\u0938\u095c\u0915"], dtype=encoder.kind).tolist() == whole.encode("\u0938\u095c\u0915").ids
+
+
 def test_pieces_without_dropout_equal_the_library():
     from sentencepiece import SentencePieceProcessor
 

@@ -81,8 +81,9 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins what it separates, so a text is cut at blanks and
     \\t, \\n, \\r and each distinct word is encoded once and remembered: the last ``remember`` to twice as
-    many. New words of letters only are encoded many at once, as one text; each is one pre-token there,
-    whose last token has the mark of a word's end. Marks like a comma after letters are words of their own.
+    many. New words that are letters only, also as the tokenizer normalizes them, are encoded many at once,
+    as one text; each is one pre-token there, whose last token has the mark of a word's end. Marks like a
+    comma after such letters are words of their own.
     """
 
     def __init__(self, tokenizer_json: str, remember: int = 400_000):
@@ -90,6 +91,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.normalizer = self.tokenizer.normalizer
         size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -119,25 +121,34 @@ class WordEncoder:
         for word in words:
             (marked if word[-1] in _MARKS else plain).append(word)
         cores = [word.rstrip(_MARKS) for word in marked]
-        plain += [word for word, core in zip(marked, cores) if not core.isalpha()]
-        split = [(word, core, word[len(core) :]) for word, core in zip(marked, cores) if core.isalpha()]
+        letters = list(map(self._letters, cores))
+        plain += [word for word, whole in zip(marked, letters) if not whole]
+        split = [(word, core, word[len(core) :]) for word, core, whole in zip(marked, cores, letters) if whole]
         new = {*plain, *(core for _, core, _ in split), *(tail for _, _, tail in split)}.difference(known)
-        regular = [w for w in new if w.isalpha() and w.lower().isalpha()] if self.marks_ends else []
+        regular = [w for w in new if self._letters(w)] if self.marks_ends else []
         for start in range(0, len(regular), 1000):
             self._encode_joined(regular[start : start + 1000])
-        other = list(new.difference(regular))
-        for start in range(0, len(other), 10_000):
-            some = other[start : start + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(e.ids, dtype=self.kind).tobytes()
+        self._encode_each(list(new.difference(regular)))
         known.update({word: known[core] + known[tail] for word, core, tail in split})
 
+    def _letters(self, word: str) -> bool:
+        """Whether the word is letters only, also after normalizing, which turns some letters into letter and mark."""
+        if not word.isalpha():
+            return False
+        return word.isascii() or not self.normalizer or self.normalizer.normalize_str(word).isalpha()
+
+    def _encode_each(self, words: list[str]) -> None:
+        for start in range(0, len(words), 10_000):
+            some = words[start : start + 10_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[word] = np.array(e.ids, dtype=self.kind).tobytes()
+
     def _encode_joined(self, words: list[str]) -> None:
         ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
         ids = np.array(ids, dtype=self.kind)
         cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
         if len(cuts) != len(words) or cuts[-1] != ids.nbytes:
-            raise ValueError("the tokenizer does not mark the ends of words as expected")
+            return self._encode_each(words)  # the tokenizer cuts some of them otherwise
         data, begin = ids.tobytes(), 0
         for word, end in zip(words, cuts.tolist()):
             self.known[word] = data[begin:end]
