@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.llm import exact, minhash, mixing, pieces, tokens, toxicity
@@ -46,9 +46,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Subword ids of every document (little-endian), and a checksum of the text they decode to."""
+    """Subword ids of every document (little-endian), and a checksum of the text they decode to.
+
+    Rows that the mix repeats are numbered, so that each pass has its own merge dropout.
+    """
     model = pieces.Pieces.load(tokens.tokenizer_file("piece_bpe_32k.model"))
-    decoded = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    numbered = docs.select("doc_id", "text", F.row_number().over(equal).alias("pass"))
+    decoded = pieces.decode_documents(pieces.encode_documents(numbered, model, pass_col="pass"), model)
     return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"), "ids")
 
 

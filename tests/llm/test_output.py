@@ -117,6 +117,35 @@ def test_many_segments_at_once_equal_one_by_one(prose):
         assert got == [model.segment(s, variant) for s in segments]
 
 
+def test_dropout_of_every_occurrence():
+    model = pieces.Pieces.load(MERGES)
+    text = " ".join(["together", "nevertheless", "日本", "x😀y", "q" * 60] * 40 + ["of"] * 3000)
+    got = [np.frombuffer(b, dtype=model.kind).tolist() for b in model.encode([text, text], [5, -6])]
+    for key, ids in zip((5, -6), got):
+        segments = pieces._SEGMENT.findall(" " + text)
+        keys = np.full(len(segments), key).astype(np.uint64)
+        variants = pieces.variants_of(keys, np.arange(len(segments))).tolist()
+        assert ids == [i for s, v in zip(segments, variants) for i in model.segment(s, v)]
+    assert got[0] != got[1]
+    # Two merges make " of", in one of two ways: 0.9 x 0.9 + 0.1 x 0.9 x 0.9 of the occurrences are whole.
+    whole = model.segment(" of", -1)
+    assert len(whole) == 1 and all(0.86 < ids.count(whole[0]) / 3000 < 0.92 for ids in got)
+    found = {tuple(model.segment(" nevertheless", v)) for v in pieces.variants_of(np.zeros(400, dtype=np.uint64), np.arange(400)).tolist()}
+    again = model.encode(["nevertheless " * 400], [0])[0]
+    assert len(found) > 4 and len(again) > 800
+
+
+def test_documents_and_passes_have_their_own_dropout(table):
+    model = pieces.Pieces.load(MERGES)
+    text = "nevertheless together " * 30
+    rows = [(i, text, None, None, 0, p, "k", "h") for i, p in ((1, 1), (2, 1), (1, 2), (1, 3), (3, 1), (4, 1), (5, 1), (6, 1))]
+    ids = [bytes(r["ids"]) for r in pieces.encode_documents(table(rows), model, pass_col="rank").collect()]
+    assert len(set(ids)) == len(rows)
+    rows = [(None, text + end, None, None, 0, 0, "k", "h") for end in "abcdefgh"]
+    ids = [bytes(r["ids"])[:60] for r in pieces.encode_documents(table(rows), model).collect()]
+    assert len(set(ids)) == len(rows)
+
+
 def test_encode_and_decode_documents(table, awkward):
     model = pieces.Pieces.load(MERGES)
     docs = table(awkward)

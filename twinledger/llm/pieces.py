@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import heapq
-import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,12 @@ _SYMBOL = {" ": BLANK, BLANK: "\0mark"}
 _MASK = (1 << 64) - 1
 _NEVER = 1 << 62
 _SPREAD = 0x9E3779B97F4A7C15
+_VARIANT = 0xC2B2AE3D27D4EB4F
 #: Segments of up to so many characters are merged together.
 _SIZES = (8, 12, 16, 24, 48)
+#: Segments whose ids are looked up together.
+_TOGETHER = 1 << 15
+_NO_SKIP = 1 << 30
 
 
 def _skipped(key: int, place: int, merge: int, limit: int) -> bool:
@@ -32,13 +36,20 @@ def _skipped(key: int, place: int, merge: int, limit: int) -> bool:
     return ((mixed ^ mixed >> 32) * 0xD6E8FEB86659FD93 & _MASK) >> 32 < limit
 
 
-def _skips(key: int, places: np.ndarray, merges: np.ndarray, limit: int) -> np.ndarray:
+def _skips(keys: np.ndarray, places: np.ndarray, merges: np.ndarray, limit: int) -> np.ndarray:
     """``_skipped`` of many candidates."""
     x = places.astype(np.uint64) * np.uint64(0x165667B19E3779F9) + merges.astype(np.uint64)
-    mixed = (np.uint64(key) ^ x) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (keys ^ x) * np.uint64(0xD6E8FEB86659FD93)
     return (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32) < np.uint64(limit)
 
 
+def variants_of(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A variant for each segment, by the hash of its document and its place there."""
+    mixed = keys * np.uint64(0x9FB21C651E98DF25) + places.astype(np.uint64) * np.uint64(_SPREAD)
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ mixed >> np.uint64(32)) >> np.uint64(1)
+
+
 @dataclass
 class Pieces:
     """Ids and scores of the pieces, their order by score, the ids of single bytes, the bytes of every id."""
@@ -50,10 +61,8 @@ class Pieces:
     kind: str = "<u2"
     seed: int = 0
     dropout: float = 0.1
-    variants: int = 4
     remember: int = 200_000
-    caches: list = field(default_factory=list)
-    pairs: _Pairs | None = None
+    outcomes: _Outcomes | None = None
 
     @classmethod
     def load(cls, path: str, **settings) -> Pieces:
@@ -82,7 +91,8 @@ class Pieces:
         """Ids of one segment (blanks as such): merges by score, then place, from an agenda.
 
         A candidate merge taken from the agenda is skipped if a hash of seed, variant, place and
-        merged piece falls below the dropout; variant -1 skips none.
+        merged piece falls below the dropout; variant -1 skips none. Every occurrence of a segment has
+        its own variant (``variants_of``).
         """
         # A literal mark in the text is spelt in bytes, as it would read back as a blank.
         symbols = [_SYMBOL.get(c, c) for c in text]
@@ -120,67 +130,58 @@ class Pieces:
 
     def _dropout(self, variant: int) -> tuple[int, int]:
         """The key of the hash and the bound below which it skips a merge."""
-        key = (self.seed * 0x9E3779B97F4A7C15 + variant * 0xC2B2AE3D27D4EB4F) & _MASK
+        key = (self.seed * 0x9E3779B97F4A7C15 + variant * _VARIANT) & _MASK
         return key, int(self.dropout * (1 << 32)) if variant >= 0 else 0
 
     def segments(self, texts: list[str], variant: int) -> list[bytes]:
-        """What ``segment`` gives for each, as bytes; all short ones together, a merge of each at a time."""
-        out: list[bytes | None] = [None] * len(texts)
-        pairs = self._pairs()
-        by_size: dict[int, list[int]] = {}
-        for k, text in enumerate(texts):
-            if len(text) <= _SIZES[-1] and BLANK not in text:
-                by_size.setdefault(next(s for s in _SIZES if s >= len(text)), []).append(k)
-        for size, group in by_size.items():
-            for start in range(0, len(group), 1 << 14):
-                some = group[start : start + (1 << 14)]
-                chars = np.array([texts[k].replace(" ", BLANK) for k in some], dtype=f"<U{size}").view("<u4").reshape(-1, size)
-                symbols = pairs.symbols(chars, np.array([len(texts[k]) for k in some]))
-                plain = (symbols != pairs.unknown).all(axis=1)
-                symbols = pairs.merge(symbols[plain], *self._dropout(variant))
-                ends = np.cumsum((symbols >= 0).sum(axis=1)).tolist()
-                data, width = symbols[symbols >= 0].astype(self.kind).tobytes(), int(self.kind[2])
-                begin = 0
-                for k, end in zip(np.array(some)[plain].tolist(), ends):
-                    out[k] = data[begin * width : end * width]
-                    begin = end
-        letter = {"<u2": "H", "<u4": "I"}[self.kind]
-        for k, ids in enumerate(out):
-            if ids is None:
-                found = self.segment(texts[k], variant)
-                out[k] = struct.pack(f"<{len(found)}{letter}", *found)
-        return out
-
-    def _pairs(self) -> _Pairs:
-        if self.pairs is None:
-            self.pairs = _Pairs(self.pieces, self.order)
-        return self.pairs
+        """What ``segment`` gives for each, as bytes; all short ones together."""
+        key, limit = self._dropout(variant)
+        ids, counts = self._ids(texts, np.full(len(texts), variant), np.full(len(texts), key, dtype=np.uint64), limit)
+        return self._cut(ids, np.cumsum(counts))
 
     def encode(self, texts: list[str | None], keys: list[int] | None = None) -> list[bytes]:
-        """Ids of whole texts as little-endian integers; each segment takes one of the variants by its place.
+        """Ids of whole texts as little-endian integers; every segment has a variant of its own.
 
-        ``keys`` (hashes of the documents) shift which. A segment and variant met before is looked up,
-        the new ones of all the texts are merged together.
+        It comes from the key of the document (a 64-bit hash) and the place of the segment in it.
         """
-        variants = self.variants if self.dropout else 1
-        if not self.caches:
-            self.caches = [_Known(self.remember // variants // 2) for _ in range(variants)]
         split = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
-        keys = keys or [0] * len(texts)
-        for v, cache in enumerate(self.caches):
-            used = set().union(*(s[(v - k) % variants :: variants] for s, k in zip(split, keys)))
-            new = cache.unknown(used)
-            cache.update(zip(new, self.segments(new, v if self.dropout else -1)))
-        out = []
-        for segments, key in zip(split, keys):
-            ids = [b""] * len(segments)
-            for v, cache in enumerate(self.caches):
-                start = (v - key) % variants
-                ids[start::variants] = map(cache.__getitem__, segments[start::variants])
-            out.append(b"".join(ids))
-        for cache in self.caches:
-            cache.trim()
-        return out
+        sizes = np.array([len(s) for s in split], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        places = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        own = np.array(keys or [0] * len(texts), dtype=np.int64).astype(np.uint64)
+        variants = variants_of(np.repeat(own, sizes), places)
+        seed, limit = self._dropout(0)
+        hashes = np.uint64(seed) + variants * np.uint64(_VARIANT)
+        ids, counts = self._ids(list(chain.from_iterable(split)), variants, hashes, limit)
+        return self._cut(ids, np.append(0, np.cumsum(counts))[ends])
+
+    def _cut(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        data, stops = ids.tobytes(), (ends * ids.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _ids(self, segments: list[str], variants: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one after the other, and how many each has; ``keys`` are those of the hash."""
+        parts, counts = [np.zeros(0, dtype=self.kind)], [np.zeros(0, dtype=np.int64)]
+        for start in range(0, len(segments), _TOGETHER):
+            some = segments[start : start + _TOGETHER]
+            if self.outcomes is None or self.outcomes.n > self.remember:
+                pairs = self.outcomes.pairs if self.outcomes else _Pairs(self.pieces, self.order)
+                self.outcomes = _Outcomes(pairs)
+            known = self.outcomes
+            node = known.find(some, keys[start : start + _TOGETHER], limit)
+            n = np.where(node >= 0, known.n_ids.data[node], 0)
+            single = {}
+            for k in np.flatnonzero(node < 0).tolist():
+                single[k] = self.segment(some[k], int(variants[start + k]))
+                n[k] = len(single[k])
+            begin = np.cumsum(n) - n
+            source = np.repeat(np.where(node >= 0, known.ids_begin.data[node], 0) - begin, n) + np.arange(n.sum())
+            ids = known.ids.data.take(source, mode="clip").astype(self.kind)
+            for k, found in single.items():
+                ids[begin[k] : begin[k] + n[k]] = found
+            parts.append(ids)
+            counts.append(n)
+        return np.concatenate(parts), np.concatenate(counts)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: bytes of the pieces without the blank put before the text."""
@@ -188,27 +189,113 @@ class Pieces:
         return data[1:].decode("utf-8", "surrogatepass")
 
     def __getstate__(self):
-        return {**self.__dict__, "caches": [], "pairs": None}
+        return {**self.__dict__, "outcomes": None}
+
 
+class _Rows:
+    """An array that grows at its end."""
 
-class _Known(dict):
-    """Ids of the segments met lately under one variant: the last ``size`` to twice as many of them."""
+    def __init__(self, kind=np.int64):
+        self.data, self.n = np.zeros(1 << 10, dtype=kind), 0
 
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.older = size, {}
+    def append(self, values: np.ndarray) -> int:
+        """Where the first of the values is put."""
+        at, self.n = self.n, self.n + len(values)
+        if self.n > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(max(self.n, 2 * len(self.data)) - at, dtype=self.data.dtype)])
+        self.data[at : self.n] = values
+        return at
 
-    def unknown(self, segments: set[str]) -> list[str]:
-        """Those that have to be encoded; what was met less lately comes back."""
-        missing = [s for s in segments if s not in self]
-        again = {s: self.older[s] for s in missing if s in self.older}
-        self.update(again)
-        return [s for s in missing if s not in again] if again else missing
 
-    def trim(self) -> None:
-        if len(self) > self.size:
-            self.older = dict(self)
-            self.clear()
+class _Outcomes:
+    """What short segments merge to, for every choice of skipped candidates met so far.
+
+    A node is a segment and the candidates skipped in it. It has the ids that result, and the candidates
+    that the agenda gives after the last skipped one; each leads to the node where it is skipped as well.
+    Which one an occurrence skips first is up to its own hash, so each gets what its own agenda gives,
+    but the agenda of a node runs once.
+    """
+
+    def __init__(self, pairs: _Pairs):
+        self.pairs = pairs
+        self.root: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.text, self.parent, self.skip, self.begin, self.count, self.ids_begin, self.n_ids = (_Rows() for _ in range(7))
+        self.candidates, self.child, self.ids = _Rows(), _Rows(np.int32), _Rows(np.int32)
+
+    @property
+    def n(self) -> int:
+        return self.text.n
+
+    def find(self, segments: list[str], keys: np.ndarray, limit: int) -> np.ndarray:
+        """The node of each occurrence; -1 for segments that are long or have characters without a piece."""
+        self._learn(list(set(segments).difference(self.root)))
+        node = np.fromiter(map(self.root.__getitem__, segments), dtype=np.int64, count=len(segments))
+        rows = np.flatnonzero(node >= 0) if limit else ()
+        while len(rows):
+            now = node[rows]
+            count = self.count.data[now]
+            owner = np.repeat(np.arange(len(rows)), count)
+            at = np.arange(len(owner)) + np.repeat(self.begin.data[now] - (np.cumsum(count) - count), count)
+            taken = self.candidates.data[at]
+            hit = np.flatnonzero(_skips(keys[rows][owner], taken >> 32, taken & 0xFFFFFFFF, limit))
+            hit = hit[np.flatnonzero(np.diff(owner[hit], prepend=-1))]
+            rows = rows[owner[hit]]
+            node[rows] = self._skipping(node[rows], at[hit])
+        return node
+
+    def _learn(self, new: list[str]) -> None:
+        self.root.update(dict.fromkeys(new, -1))
+        short = [s for s in new if len(s) <= _SIZES[-1] and BLANK not in s]
+        first = len(self.texts)
+        self.texts += short
+        none = np.full(len(short), -1)
+        self.root.update(zip(short, self._add(np.arange(first, first + len(short)), none, none).tolist()))
+
+    def _skipping(self, nodes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The nodes where the candidates ``at`` are skipped as well."""
+        new = np.flatnonzero(self.child.data[at] == 0)
+        places, first = np.unique(at[new], return_index=True)
+        parents = nodes[new[first]]
+        skip = places - self.begin.data[parents] + self.skip.data[parents] + 1
+        self.child.data[places] = self._add(self.text.data[parents], parents, skip)
+        return self.child.data[at]
+
+    def _add(self, texts: np.ndarray, parents: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """New nodes; -1 where a character has no piece."""
+        nodes = np.full(len(texts), -1)
+        lengths = np.array([len(self.texts[t]) for t in texts.tolist()], dtype=np.int64)
+        sizes = np.array(_SIZES)[np.searchsorted(_SIZES, lengths)]
+        for size in _SIZES:
+            group = np.flatnonzero(sizes == size)
+            for start in range(0, len(group), 1 << 13):
+                some = group[start : start + (1 << 13)]
+                chars = np.array([self.texts[t].replace(" ", BLANK) for t in texts[some].tolist()], dtype=f"<U{size}")
+                symbols = self.pairs.symbols(chars.view("<u4").reshape(-1, size), lengths[some])
+                plain = (symbols != self.pairs.unknown).all(axis=1)
+                symbols, some = symbols[plain], some[plain]
+                above, last = parents[some], skips[some]
+                final, taken, n = self.pairs.merge(symbols, self._all_skips(above, last))
+                number = np.arange(taken.shape[1])
+                later = (number > last[:, None]) & (number < n[:, None])
+                count, n_ids = later.sum(axis=1), (final >= 0).sum(axis=1)
+                begin = self.candidates.append(taken[later]) + np.cumsum(count) - count
+                self.child.append(np.zeros(count.sum(), dtype=np.int32))
+                ids_begin = self.ids.append(final[final >= 0]) + np.cumsum(n_ids) - n_ids
+                for rows, values in ((self.parent, above), (self.skip, last), (self.begin, begin), (self.count, count),
+                                     (self.ids_begin, ids_begin), (self.n_ids, n_ids)):
+                    rows.append(values)
+                nodes[some] = self.text.append(texts[some]) + np.arange(len(some))
+        return nodes
+
+    def _all_skips(self, parents: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The numbers of all candidates to skip, in ascending order, and one that never comes."""
+        columns, up = [np.full(len(last), -1), last], parents
+        while (up >= 0).any():
+            columns.append(np.where(up >= 0, self.skip.data[up], -1))
+            up = np.where(up >= 0, self.parent.data[up], -1)
+        numbers = np.stack(columns, axis=1)
+        return np.sort(np.where(numbers < 0, _NO_SKIP, numbers), axis=1)
 
 
 class _Pairs:
@@ -251,8 +338,12 @@ class _Pairs:
             open_ = open_[(self.keys[at[open_]] != keys[open_]) & (self.keys[at[open_]] >= 0)]
         return at
 
-    def merge(self, symbols: np.ndarray, key: int, limit: int) -> np.ndarray:
-        """All merges of each row of ``symbols``; what merged into its left neighbour becomes -1."""
+    def merge(self, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All merges of each row of ``symbols`` but the candidates whose numbers are in its row of ``skips``.
+
+        What merged into its left neighbour becomes -1. The others say which candidates (place and merge)
+        came from the agenda of each row, and how many.
+        """
         n, size = symbols.shape
         # One column more, always empty, stands for what is beyond either end.
         flat = np.full((n, size + 1), -1, dtype=np.int64)
@@ -265,18 +356,20 @@ class _Pairs:
         both = np.nonzero((flat[:, :-1] >= 0) & (flat[:, 1:] >= 0))
         found = self._find(flat[both], flat[both[0], both[1] + 1])
         agenda[both], place[both] = self.order[found], found
+        # Each of at most size - 1 merges makes two candidates at most.
+        taken, number, passed = np.zeros((n, 3 * size), dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         rows = np.arange(n)
         while len(rows):
             i = agenda[rows].argmin(axis=1)
             best = agenda[rows, i]
             going = best != _NEVER
             rows, i, best = rows[going], i[going], best[going]
-            if limit:
-                skipped = _skips(key, i, best, limit)
-                agenda[rows[skipped], i[skipped]] = _NEVER
-                now, i = rows[~skipped], i[~skipped]
-            else:
-                now = rows
+            taken[rows, number[rows]] = i << 32 | best
+            skipped = number[rows] == skips[rows, passed[rows]]
+            number[rows] += 1
+            passed[rows[skipped]] += 1
+            agenda[rows[skipped], i[skipped]] = _NEVER
+            now, i = rows[~skipped], i[~skipped]
             j = after[now, i]
             k = after[now, j]
             flat[now, i] = self.result[place[now, i]]
@@ -291,14 +384,16 @@ class _Pairs:
                 r, a, b = r[ok], a[ok], b[ok]
                 found = self._find(flat[r, a], flat[r, b])
                 agenda[r, a], place[r, a] = self.order[found], found
-        return flat[:, :size]
+        return flat[:, :size], taken, number
 
 
-def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text",
+                     pass_col: str | None = None) -> DataFrame:
     """``doc_id, ids`` (little-endian integers of the model's width) of every whole text.
 
     Null and empty texts have no ids. Equal seeds give equal ids wherever and how often it runs; rows
-    with the same id and text are encoded alike. Only the two named columns are read.
+    with the same id and text are encoded alike unless ``pass_col`` tells them apart. Only the named
+    columns are read.
     """
     ship_package(docs.sparkSession)
 
@@ -309,8 +404,9 @@ def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", tex
                 ids += model.encode([texts[i] for i in group], [keys[i] for i in group])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids})
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = texts.withColumn("key", F.pmod(F.xxhash64("doc_id", F.lit(model.seed)), F.lit(model.variants)))
+    own = [F.col(id_col).cast("bigint"), F.col(text_col), *([F.col(pass_col).cast("bigint")] if pass_col else [])]
+    key = F.xxhash64(*own, F.lit(model.seed)).alias("key")
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key)
     return keyed.mapInPandas(encoded, "doc_id long, ids binary")
 
 
