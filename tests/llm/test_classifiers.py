@@ -6,7 +6,7 @@ import pytest
 
 from twinledger.llm import language, quality, toxicity
 from twinledger.llm.hashing import shingles, word_hashes
-from twinledger.llm.ngrams import Linear
+from twinledger.llm.ngrams import Linear, class_quotas
 
 
 def crc(i, m):
@@ -89,6 +89,27 @@ def test_classifier_held_out(table, spark, prose, awkward, module, label, parts,
     assert again == {i: r["score"] for i, r in got.items()}
 
 
+@pytest.mark.parametrize("module,parts,part", [(toxicity, 4, 2), (quality, 5, 0)])
+def test_a_class_rarer_than_the_sample_is_learned(table, spark, prose, module, parts, part):
+    learned = [i for i in range(400) if crc(i, parts) != part]
+    rare = {*learned[50:250:50], next(i for i in range(400) if crc(i, parts) == part)}
+    texts = [" ".join(["wretched wretchedly"] * 20) if i in rare else prose("aa", 60, i) for i in range(400)]
+    docs = table([(i, t, None, None, 0, 0, "k", "h") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i in rare), int(i in rare)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = module.train(docs, labels, max_rows=20)
+    scores = {r["doc_id"]: r["score"] for r in module.score(docs, model).collect()}
+    assert min(scores[i] for i in rare) > max(s for i, s in scores.items() if i not in rare)
+    assert sum(scores.values()) / 400 < 0.1
+
+
+def test_quotas_of_classes():
+    assert class_quotas(np.array([2000, 3]), 3000).tolist() == [2000, 3]
+    assert class_quotas(np.array([9_000_000, 3000]), 3000).tolist() == [2700, 300]
+    assert class_quotas(np.array([7, 9_000_000]), 3000).tolist() == [7, 2993]
+    assert class_quotas(np.array([87_000, 13_000]), 3000).tolist() == [2610, 390]
+    assert class_quotas(np.array([1, 5]), 2).tolist() == [1, 1]
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(12, 4, replace=False)) for _ in range(60)]

@@ -124,11 +124,29 @@ def log_count_ratios(docs: np.ndarray, found: np.ndarray, features: int, smooth:
     return feature, np.log(totals[1] / totals[0])
 
 
-def sampled_features(rows: DataFrame, extract: Extractor, feature: np.ndarray, n_rows: int, max_rows: int
-                     ) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and feature numbers of about ``max_rows`` labelled rows at most, chosen by a hash of the id."""
-    share = min(1.0, max_rows / max(n_rows, 1))
-    chosen = rows.where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+def class_quotas(n: np.ndarray, max_rows: int) -> np.ndarray:
+    """How many rows of each class are sampled: in proportion, but of the rarer class a tenth or all it has."""
+    if n.sum() <= max_rows:
+        return n.copy()
+    rare = int(n[1] < n[0])
+    quotas = np.empty(2, dtype=np.int64)
+    quotas[rare] = min(n[rare], max(round(max_rows * n[rare] / n.sum()), max_rows // 10, 1))
+    quotas[1 - rare] = min(n[1 - rare], max(max_rows - quotas[rare], 1))
+    return quotas
+
+
+def sampled_features(rows: DataFrame, extract: Extractor, feature: np.ndarray, n: np.ndarray, max_rows: int
+                     ) -> tuple[np.ndarray, list[np.ndarray], float]:
+    """Labels and feature numbers of about ``max_rows`` labelled rows at most, and a shift of the log-odds.
+
+    Of each class those with the smallest hashes of the id are chosen (``class_quotas``), so both are there
+    if ``n``, the rows of each, says so. The shift turns log-odds at the rates of the sample into those at the rates of ``n``.
+    """
+    chosen = rows
+    for label, (there, quota) in enumerate(zip(n.tolist(), class_quotas(n, max_rows).tolist())):
+        if quota < there:
+            places = rows.where(F.col("label") == label).select("place").orderBy("place").limit(quota).collect()
+            chosen = chosen.where((F.col("label") != label) | (F.col("place") <= places[-1][0]))
 
     def extracted(frames):
         for frame in frames:
@@ -137,7 +155,10 @@ def sampled_features(rows: DataFrame, extract: Extractor, feature: np.ndarray, n
 
     frame = chosen.mapInPandas(extracted, "place long, label int, found binary").toPandas()
     frame = frame.sort_values(["place", "label"], kind="stable")
-    return frame["label"].to_numpy(), [np.frombuffer(b, dtype=np.int32) for b in frame["found"]]
+    labels = frame["label"].to_numpy()
+    found = np.bincount(labels, minlength=2)
+    shift = float(np.log(n[1] * found[0] / (n[0] * found[1])))
+    return labels, [np.frombuffer(b, dtype=np.int32) for b in frame["found"]], shift
 
 
 def score_documents(docs: DataFrame, model: Linear, extract: Extractor, parts: int, part: int, threshold: float,

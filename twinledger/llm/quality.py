@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
           id_col: str = "doc_id", text_col: str = "text") -> ngrams.Linear:
     """Learn from ``labels`` (``doc_id``, 0 or 1) of rows whose crc32 of the id does not leave ``part``.
 
-    Class counts of all n-grams come from all labelled rows. About ``max_rows`` of them at most fit the
+    Class counts of all n-grams come from all labelled rows. About ``max_rows`` of them at most, sampled by class, fit the
     hinge-loss model (four fifths) and the map from its margin to a probability (the rest).
     """
     scratch = Scratch(docs.sparkSession)
@@ -113,17 +113,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     if (constant := ngrams.prior(n, BUCKETS)) is not None:
         return constant
     feature, ratios = ngrams.log_count_ratios(n, found, features)
-    marks, present = ngrams.sampled_features(rows, word_ngrams, feature, int(n.sum()), max_rows)
+    marks, present, shift = ngrams.sampled_features(rows, word_ngrams, feature, n, max_rows)
     scratch.drop(rows)
-    fit = np.arange(len(marks)) % 5 > 0
-    if len(set(marks[fit])) < 2:
-        return ngrams.prior(np.array([n.sum(), 0]) if not marks.any() else np.array([0, n.sum()]), BUCKETS)
+    # Every fifth row of each class is set aside; the first ones of either are always fitted.
+    fit = np.where(marks > 0, np.cumsum(marks > 0), np.cumsum(marks == 0)) % 5 > 0
     weights, bias = dual_coordinate_descent(marks[fit], [p for p, f in zip(present, fit) if f], ratios, cost, passes)
     weights = weights * ratios
     check = ~fit if len(set(marks[~fit])) == 2 else fit
     margins = np.array([weights[p].sum() / np.sqrt(max(len(p), 1)) + bias for p, c in zip(present, check) if c])
     slope, offset = _platt(margins, marks[check])
-    return Quality(feature, weights.astype(np.float32), slope * bias + offset, slope)
+    return Quality(feature, weights.astype(np.float32), slope * bias + offset + shift, slope)
 
 
 def score(docs: DataFrame, model: ngrams.Linear, threshold: float = 0.3, parts: int = 5, part: int = 0,

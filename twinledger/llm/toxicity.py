@@ -57,7 +57,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     """Learn from ``labels`` (``doc_id``, 0 or 1) of rows whose crc32 of the id does not leave ``part``.
 
     Class counts of all n-grams come from all labelled rows; the linear weights are fitted on about
-    ``max_rows`` of them at most.
+    ``max_rows`` of them at most, sampled by class.
     """
     scratch = Scratch(docs.sparkSession)
     rows = ngrams.labelled_rows(docs, labels, label, parts, part, scratch, id_col, text_col)
@@ -65,12 +65,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     if (constant := ngrams.prior(n, BUCKETS)) is not None:
         return constant
     feature, ratios = ngrams.log_count_ratios(n, found, features)
-    marks, present = ngrams.sampled_features(rows, character_ngrams, feature, int(n.sum()), max_rows)
+    marks, present, shift = ngrams.sampled_features(rows, character_ngrams, feature, n, max_rows)
     scratch.drop(rows)
-    if len(set(marks)) < 2:
-        return ngrams.prior(np.array([n.sum(), 0]) if not marks.any() else np.array([0, n.sum()]), BUCKETS)
     weights, bias = logistic(marks, present, ratios, penalty, steps)
-    return ngrams.Linear(feature, weights.astype(np.float32), bias)
+    return ngrams.Linear(feature, weights.astype(np.float32), bias + shift)
 
 
 def score(docs: DataFrame, model: ngrams.Linear, threshold: float = 0.3, parts: int = 4, part: int = 2,
