@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, exact, language, lines, minhash, mixing, pieces, quality, tokens, toxicity
+from . import caps, exact, language, lines, minhash, mixing, packing, pieces, quality, spelling, tokens, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +121,21 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)"""
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_of = packing.pack(_table(spark, sf_dir, "documents"), tokens.tokenizer_file())
+    return pieces_of.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the operator's result, the deviation as long (null beyond that)."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -132,6 +147,9 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_packing": op11_packing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
