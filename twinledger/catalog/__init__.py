@@ -1,8 +1,8 @@
 """Registered queries over the test tables, each next to the SQL that gives the same result."""
 
-from . import aggregates, checks, joins, misc, nested, reconciliation
+from . import aggregates, checks, files, joins, misc, nested, reconciliation
 
-MODULES = (joins, reconciliation, aggregates, checks, nested, misc)
+MODULES = (joins, reconciliation, aggregates, checks, nested, files, misc)
 
 
 def queries():

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,16 @@ class Flattened:
     discovered_paths: list[str]
     truncated_paths: list[str]
     warnings: list[str]
+    observations: dict[str, Observation] = field(default_factory=dict)
+
+    def metadata(self) -> dict:
+        """``records``, ``rows`` and ``items_left_out`` as the first run of ``table`` counted them, with columns and paths.
+
+        Nothing is read a second time for it, so it waits until some action has run the table whole.
+        """
+        seen = {k: v or 0 for o in self.observations.values() for k, v in o.get.items()}
+        return {**seen, "columns": self.table.columns, "discovered_paths": self.discovered_paths,
+                "truncated_paths": self.truncated_paths, "warnings": self.warnings}
 
     def record_count(self) -> int:
         """Number of output rows (runs the query)."""
@@ -130,6 +140,7 @@ class _Walk:
         attributes = [f for f in struct.fields if self.is_attribute(f.name)]
         own_text = [f for f in struct.fields if f.name == self.o.text_key]
         children = [f for f in struct.fields if f not in attributes and f not in own_text]
+        attributes = [f for f in attributes if not f.name.startswith(f"{self.o.attribute_prefix}xmlns")]
         if not depth:  # context of ancestors leads the row
             mark = self.o.path_separator + self.o.attribute_prefix
             context = [f for f in children if mark in f.name and not isinstance(f.dataType, (T.StructType, T.ArrayType))]
@@ -138,8 +149,6 @@ class _Walk:
             self.context = {f.name for f in context}
         if self.o.include_attributes:
             for f in attributes:
-                if f.name.startswith(f"{self.o.attribute_prefix}xmlns"):
-                    continue
                 self.leaves.append((self.path(base, f.name), cells.render(value(f.name), f.dataType)))
         if self.o.include_text:
             for f in own_text:
@@ -212,9 +221,13 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
     o = replace(options or FlattenOptions(), **changes)
     carried = [names.col(c) for c in carry]
     source = df.drop(*carry) if carry else df
+    observations = {} if df.isStreaming else {"records": Observation(), "rows": Observation()}
     full = df.select(*[names.col(c) for c in source.columns], *[c.alias(f"__carry_{i}") for i, c in enumerate(carried)])
     nested = T.StructType([full.schema[c] for c in source.columns])
 
+    if observations:
+        full = full.observe(observations["records"], F.count(F.lit(1)).alias("records"))
+
     def walk(width):
         w = _Walk(full, o, width)
         w.fields(nested, lambda n: names.col(n), "", 0)
@@ -239,6 +252,8 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
                     f"{p}: {longest[f'w{i}']['dropped']} item(s) left out, more than max_indexed_items={o.max_indexed_items} in a list"
                 )
         found = walk(width)
+    left_out = [F.greatest(size - o.max_indexed_items, F.lit(0)) for size in found.indexed.values()]
+    left_out = F.sum(reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0)) for n in left_out], F.lit(0)))
     leaves = found.leaves
     if o.column_order == "alpha":
         leaves = sorted(leaves, key=lambda leaf: leaf[0])
@@ -252,8 +267,11 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
     out = []
     for (_, c), title in zip(leaves, titles[len(carry):]):
         out.append((c if o.empty_value is None else F.coalesce(c, F.lit(o.empty_value))).alias(title))
-    table = found.df.select(*[F.col(f"__carry_{i}").alias(t) for i, t in enumerate(titles[: len(carry)])], *out)
-    return Flattened(table, [p for p, _ in found.leaves], sorted(found.truncated), warnings)
+    rows = found.df
+    if observations:
+        rows = rows.observe(observations["rows"], F.count(F.lit(1)).alias("rows"), left_out.cast("bigint").alias("items_left_out"))
+    table = rows.select(*[F.col(f"__carry_{i}").alias(t) for i, t in enumerate(titles[: len(carry)])], *out)
+    return Flattened(table, [p for p, _ in found.leaves], sorted(found.truncated), warnings, observations)
 
 
 def expected_rows(df: DataFrame, options: FlattenOptions | None = None, **changes) -> DataFrame:
@@ -289,6 +307,68 @@ def _local(name: str) -> str:
     return name.rpartition(":")[2]
 
 
+def element_paths(schema: T.StructType, attribute_prefix: str = "@", text_key: str = "#text") -> list[list[str]]:
+    """All element paths of a schema, each before those below it; attributes and own text are no elements."""
+    found: list[list[str]] = []
+
+    def visit(struct: T.StructType, path: list[str]) -> None:
+        for f in struct.fields:
+            if (attribute_prefix and f.name.startswith(attribute_prefix)) or f.name == text_key:
+                continue
+            found.append([*path, f.name])
+            if (inner := _children(f.dataType)) is not None:
+                visit(inner, found[-1])
+
+    visit(schema, [])
+    return found
+
+
+def _occurrences(c: Column, dtype: T.DataType, path: list[str]) -> Column:
+    """How many elements at a path below a value there are in it."""
+    none = F.lit(0).cast("bigint")
+    if _list_of(dtype):
+        if not path and not _list_of(dtype.elementType):
+            return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+        each = F.transform(c, lambda x: _occurrences(x, dtype.elementType, path))
+        return F.coalesce(F.aggregate(each, none, lambda a, x: a + x), none)
+    if not path:
+        return c.isNotNull().cast("bigint")
+    return _occurrences(c.getField(path[0]), dtype[path[0]].dataType, path[1:])
+
+
+def _has_list(struct: T.StructType, path: list[str]) -> bool:
+    dtype = struct[path[0]].dataType
+    if _list_of(dtype) or len(path) == 1:
+        return _list_of(dtype)
+    return _has_list(dtype, path[1:])
+
+
+def detect_record_paths(df: DataFrame, *, attribute_prefix: str = "@", text_key: str = "#text",
+                        carry: tuple[str, ...] = ()) -> list[list[str]]:
+    """Paths of the records in a table of documents: all paths of one tag, wherever it lies.
+
+    That is the least deep tag (ties by name) that comes more than once in some document, be it in one list
+    or below different parents. One aggregate counts all tags; nothing is found where nothing repeats.
+    """
+    body = T.StructType([f for f in df.schema.fields if f.name not in carry])
+    by_tag: dict[str, list[list[str]]] = {}
+    for p in element_paths(body, attribute_prefix, text_key):
+        by_tag.setdefault(p[-1], []).append(p)
+    # A tag with one path and no list on it comes once at most.
+    repeatable = {t: ps for t, ps in by_tag.items() if len(ps) > 1 or _has_list(body, ps[0])}
+    if not repeatable:
+        return []
+    counts = []
+    for i, paths in enumerate(repeatable.values()):
+        each = [_occurrences(names.col(p[0]), body[p[0]].dataType, p[1:]) for p in paths]
+        counts.append(F.max(reduce(lambda a, b: a + b, each)).alias(f"n{i}"))
+    most = df.agg(*counts).first()
+    repeated = [t for i, t in enumerate(repeatable) if (most[i] or 0) > 1]
+    if not repeated:
+        return []
+    return by_tag[min(repeated, key=lambda t: (min(map(len, by_tag[t])), t))]
+
+
 def detect_record_path(schema: T.StructType) -> list[str] | None:
     """Path of the shallowest repeated element, ties by name; None if nothing repeats."""
     level = [([], schema)]
@@ -330,13 +410,12 @@ def select_records(df: DataFrame, record_path: str | None = None, *, root: str |
 
     Each input row is a document (its columns are the root's children). Attributes and text of every
     ancestor below the root go along as ``Ancestor.@name`` and ``Ancestor``; other columns named
-    ``carry`` stay as well. Without a path the shallowest repeated element is the record, and a
-    document in which nothing repeats is its own record.
+    ``carry`` stay as well. Without a path the records are found by :func:`detect_record_paths`, and a
+    document in which nothing repeats is its own record. A table that is a stream needs a path.
     """
     body = T.StructType([f for f in df.schema.fields if f.name not in carry])
     if record_path is None:
-        detected = detect_record_path(body)
-        paths = [detected] if detected else []
+        paths = detect_record_paths(df, attribute_prefix=attribute_prefix, text_key=text_key, carry=carry)
         if not paths:
             return df
     else:
@@ -348,12 +427,72 @@ def select_records(df: DataFrame, record_path: str | None = None, *, root: str |
         paths = find_record_paths(body, segments)
         if not paths:
             raise ValueError(f"no element lies at record_path {record_path!r}")
-    tables = [_descend(df, body, p, path_separator, attribute_prefix, text_key, carry) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return records_at(df, paths, path_separator=path_separator, attribute_prefix=attribute_prefix, text_key=text_key, carry=carry)
+
+
+def records_at(df: DataFrame, paths: list[list[str]], *, path_separator: str = ".", attribute_prefix: str = "@",
+               text_key: str = "#text", carry: tuple[str, ...] = (), ancestors: bool = True) -> DataFrame:
+    """The records at given schema paths, one below the other, with the context of their ancestors."""
+    body = T.StructType([f for f in df.schema.fields if f.name not in carry])
+    tables = [_descend(df, body, p, path_separator, attribute_prefix, text_key, carry, ancestors) for p in paths]
+    return reduce(lambda a, b: union_of_records(a, b, text_key), tables)
+
+
+def union_of_records(a: DataFrame, b: DataFrame, text_key: str = "#text") -> DataFrame:
+    """Two sets of records one below the other, by name.
+
+    A field may have another shape on the other side, where an element has one item or no children: it then takes
+    the shape that holds both (a list, a struct with own text).
+    """
+    merged = {f.name: f.dataType for f in a.schema.fields}
+    for f in b.schema.fields:
+        merged[f.name] = _holding_both(merged[f.name], f.dataType, text_key) if f.name in merged else f.dataType
+
+    def shaped(df: DataFrame) -> DataFrame:
+        have = {f.name: f.dataType for f in df.schema.fields}
+        return df.select(*[
+            (_reshaped(names.col(n), have[n], t, text_key) if n in have else F.lit(None).cast(t)).alias(n) for n, t in merged.items()
+        ])
+
+    return shaped(a).unionByName(shaped(b))
+
+
+def _holding_both(a: T.DataType, b: T.DataType, text_key: str) -> T.DataType:
+    if a == b:
+        return a
+    if _list_of(a) or _list_of(b):
+        inner = [t.elementType if _list_of(t) else t for t in (a, b)]
+        return T.ArrayType(_holding_both(*inner, text_key))
+    if isinstance(a, T.StructType) or isinstance(b, T.StructType):
+        sides = [t if isinstance(t, T.StructType) else T.StructType([T.StructField(text_key, t)]) for t in (a, b)]
+        fields = {f.name: f.dataType for f in sides[0].fields}
+        for f in sides[1].fields:
+            fields[f.name] = _holding_both(fields[f.name], f.dataType, text_key) if f.name in fields else f.dataType
+        return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    return T.StringType()
+
+
+def _reshaped(c: Column, have: T.DataType, want: T.DataType, text_key: str) -> Column:
+    if have == want:
+        return c
+    if _list_of(want):
+        if _list_of(have):
+            return F.transform(c, lambda x: _reshaped(x, have.elementType, want.elementType, text_key))
+        return F.when(c.isNotNull(), F.array(_reshaped(c, have, want.elementType, text_key)))
+    if isinstance(want, T.StructType):
+        own = isinstance(have, T.StructType)
+        inside = {f.name: f.dataType for f in have.fields} if own else {text_key: have}
+        parts = [
+            (_reshaped(c.getField(f.name) if own else c, inside[f.name], f.dataType, text_key) if f.name in inside
+             else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in want.fields
+        ]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    return c.cast(want)
 
 
 def _descend(df: DataFrame, body: T.StructType, path: list[str], separator: str, attribute_prefix: str,
-             text_key: str, carry: tuple[str, ...]) -> DataFrame:
+             text_key: str, carry: tuple[str, ...], with_context: bool = True) -> DataFrame:
     context: list[str] = []
     current, struct = "", body
     for depth, name in enumerate(path):
@@ -368,7 +507,7 @@ def _descend(df: DataFrame, body: T.StructType, path: list[str], separator: str,
         last = depth == len(path) - 1
         inner = _children(dtype)
         if not last:
-            for f in inner.fields:
+            for f in inner.fields if with_context else ():
                 if f.name.startswith(attribute_prefix) and not f.name.startswith(f"{attribute_prefix}xmlns"):
                     title = f"{name}{separator}{f.name}"
                 elif f.name == text_key:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.flatten import Flattened
 from . import delimited, xml
 
 READ_FORMATS = ("csv", "txt", "xml", "xml_archive", "parquet", "json", "orc")
@@ -28,7 +31,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
     """Read a table by its extension, or as ``fmt`` says.
 
     Text that looks delimited is read as delimited; an unknown extension must look so, else it is an
-    error and ``fmt`` is needed.
+    error and ``fmt`` is needed. What flattening leaves out is told by :mod:`warnings`; :func:`read_flattened`
+    gives the same table with all that is known about it.
     """
     detected = detect_format(path)
     fmt = fmt or detected
@@ -42,13 +46,20 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
         return delimited.read_csv(spark, path, **options)
     if fmt == "txt":
         return delimited.read_text(spark, path, **options)
-    if fmt == "xml":
-        return xml.read_xml(spark, path, **options).table
-    if fmt == "xml_archive":
-        return xml.read_xml_archive(spark, path, **options).table
+    if fmt in ("xml", "xml_archive"):
+        found = read_flattened(spark, path, fmt, **options)
+        for message in found.warnings:
+            warnings.warn(f"{path}: {message}", stacklevel=2)
+        return found.table
     return spark.read.options(**options).format(fmt).load(path)
 
 
+def read_flattened(spark: SparkSession, path: str, fmt: str | None = None, **options) -> Flattened:
+    """XML files or archives with warnings, paths and, once the table has been run, the metadata of that run."""
+    read = xml.read_xml_archive if (fmt or detect_format(path)) == "xml_archive" else xml.read_xml
+    return read(spark, path, **options)
+
+
 def write_table(df: DataFrame, path: str, fmt: str | None = None, *, mode: str = "errorifexists", **options) -> str:
     """Write a table by the extension of ``path`` (added if missing); returns the path written."""
     detected = detect_format(path)

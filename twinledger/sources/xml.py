@@ -6,9 +6,8 @@ import io
 import posixpath
 import tarfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
-from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,110 +16,78 @@ from pyspark.sql import types as T
 
 from ..functions import names
 from ..operators import flatten as X
+from .outline import Outline, outline_of
 
 NAMESPACE_MODES = ("strip", "prefix", "keep")
 
 # What a malformed record does, and the reader mode for it.
 _MALFORMED = {"raise": "FAILFAST", "recover": "PERMISSIVE", "skip": "DROPMALFORMED"}
 _CORRUPT = "_corrupt_record"
-_SNIFF_ELEMENTS = 5000  # fixed value: elements looked at to find the repeating one
-
-
-@dataclass
-class Outline:
-    """What the beginning of a document shows: root, element paths in order of appearance, namespaces."""
-
-    root: str
-    paths: list[tuple[str, ...]]  # below the root, one entry per element seen
-    namespaces: dict[str, str]
-    with_content: set[tuple[str, ...]]  # elements having attributes or own text
-    columns: list[str]
-
-    def record_tag(self) -> str | None:
-        """Shallowest tag seen more than once, ties by name."""
-        count: dict[str, int] = {}
-        depth: dict[str, int] = {}
-        for p in self.paths:
-            count[p[-1]] = count.get(p[-1], 0) + 1
-            depth.setdefault(p[-1], len(p))
-        repeated = [t for t, n in count.items() if n > 1]
-        return min(repeated, key=lambda t: (depth[t], t)) if repeated else None
+_GLOB = "*.[xX][mM][lL]"
 
 
 def _local(name: str) -> str:
     return name.rpartition(":")[2]
 
 
-def outline_of(text: str) -> Outline:
-    """Outline of (the beginning of) one document."""
-    paths: list[tuple[str, ...]] = []
-    stack: list[str] = []
-    namespaces: dict[str, str] = {}
-    content: set[tuple[str, ...]] = set()
-    columns: dict[tuple[tuple[str, ...], str], None] = {}
-    root: list[str] = []
-
-    def start(tag, attributes):
-        for name, value in attributes.items():
-            if name == "xmlns" or name.startswith("xmlns:"):
-                namespaces[name.partition(":")[2]] = value
-        if not root:
-            root.append(tag)
-        else:
-            stack.append(tag)
-            if len(paths) < _SNIFF_ELEMENTS:
-                paths.append(tuple(stack))
-            own = [a for a in attributes if not a.startswith("xmlns")]
-            if own:
-                content.add(tuple(stack))
-            for a in own:
-                columns.setdefault((tuple(stack), a))
-            columns.setdefault((tuple(stack), ""))
-
-    def end(_tag):
-        if stack:
-            stack.pop()
-
-    def data(chunk):
-        if stack and chunk.strip():
-            content.add(tuple(stack))
-
-    parser = expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
-    try:
-        parser.Parse(text, False)
-    except expat.ExpatError:
-        pass  # a cut or broken document still tells what came before
-    if not root:
-        raise ValueError("no XML element found")
-    return Outline(root[0], paths, namespaces, content, columns)
-
-
-def sniff_outline(spark: SparkSession, path: str) -> Outline:
-    """Outline from the beginning of one file: at most a few thousand pieces of text ending in '>'."""
-    pieces = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    rows = pieces.limit(2 * _SNIFF_ELEMENTS).collect()
-    if not rows:
-        raise ValueError(f"no content in {path}")
-    return outline_of("".join(r["value"] + ">" for r in rows if r["file"] == rows[0]["file"]))
-
-
-def _chain(outline: Outline, record_path: str | None, separator: str) -> list[str] | None:
-    """Element names from below the root down to the record; None if the root itself is the record."""
+def record_paths(outline: Outline, record_path: str | None, separator: str = ".") -> list[tuple[str, ...]]:
+    """All element paths (from the root down) that a record path means; those of the roots if nothing repeats.
+
+    A record path is the end of an element path in local names; it may begin with the root's name.
+    """
     if record_path is None:
         tag = outline.record_tag()
-        if tag is None:
-            return None
-        return list(next(p for p in outline.paths if p[-1] == tag))
+        return [p for p in outline.counts if len(p) > 1 and p[-1] == tag] or [(r,) for r in outline.roots]
     segments = [s for s in record_path.split(separator) if s]
-    if segments and segments[0] == _local(outline.root):
-        segments = segments[1:]
-    if not segments:
-        return None
-    for p in outline.paths:
-        if [_local(n) for n in p[-len(segments):]] == segments:
-            return list(p)
-    return segments  # not in the sample; Spark will look for it
+    found = []
+    for p in outline.counts:
+        wanted = segments[1:] if segments and segments[0] == _local(p[0]) else segments
+        below = [_local(n) for n in p[1:]]
+        if (not wanted and len(p) == 1) or (wanted and len(below) >= len(wanted) and below[-len(wanted):] == wanted):
+            found.append(p)
+    if not found:
+        raise ValueError(f"no element lies at record_path {record_path!r}")
+    return found
+
+
+def split_units(outline: Outline, records: list[tuple[str, ...]], ancestors: bool = True) -> dict[str, list[tuple[str, ...]]]:
+    """At which elements files are split to read some records: tag, and the paths of records from there down.
+
+    That is the record itself or, where ancestors give context, the topmost one below the root that has attributes
+    or text. The reader finds every element of a tag that is in no other one of that tag. If that would find
+    elements that are no records, or one record twice, the units move up; at the root they always suit.
+    """
+    def content_at(p):
+        return next((i for i in range(1, len(p) - 1) if ancestors and outline.has_content(p[: i + 1])), len(p) - 1)
+
+    level = {p: content_at(p) for p in records}
+    while True:
+        # The outermost element of a tag is what the reader finds.
+        level = {p: p.index(p[i]) for p, i in level.items()}
+        found: dict[tuple[str, tuple[str, ...]], set[tuple[str, ...]]] = {}
+        for p, i in level.items():
+            for q in outline.counts:
+                if p[i] in q:
+                    j = q.index(p[i])
+                    if q[j:] == p[i:]:
+                        found.setdefault((p[i], p[i:]), set()).add(q)
+        wrong = {
+            p for p, i in level.items() for q in found[p[i], p[i:]]
+            if level.get(q) is None or q[level[q]] != p[i] or (ancestors and q.index(p[i]) > content_at(q))
+            or (i > 0 and p[i] in outline.roots)
+        }
+        # Where a reader at the root meets a record that another one has, that one comes up too.
+        wrong |= {q for p in wrong if not level[p] for q in found[p[0], p] if q in level}
+        if not wrong:
+            break
+        if all(level[p] == 0 for p in wrong):
+            raise ValueError("a root of one file is an element of another, with records in both: read these files apart")
+        level = {p: max(i - 1, 0) if p in wrong else i for p, i in level.items()}
+    units: dict[str, list[tuple[str, ...]]] = {}
+    for p, i in level.items():
+        if p[i + 1:] not in units.setdefault(p[i], []):
+            units[p[i]].append(p[i + 1:])
+    return units
 
 
 def _reader_options(options: X.FlattenOptions, namespace_mode: str, on_malformed: str, row_tag: str) -> dict:
@@ -149,23 +116,37 @@ def _with_names(options: X.FlattenOptions, namespace_mode: str, namespaces: dict
     return replace(options, rename={prefix: "{" + uri + "}" for prefix, uri in namespaces.items() if prefix})
 
 
-def _hint(outline: Outline, chain: list[str] | None, options: X.FlattenOptions, strip: bool) -> tuple[str, ...]:
-    """Column paths in the order the sample showed them."""
-    depth = len(chain) if chain else 0
+def _hint(outline: Outline, records: list[tuple[str, ...]], options: X.FlattenOptions) -> tuple[str, ...]:
+    """Column paths in the order in which documents show them."""
     seen: dict[str, None] = {}
-    for path, attribute in outline.columns:
-        if depth and list(path[:depth]) != chain:
-            continue
-        parts = list(path[depth:]) + ([options.attribute_prefix + attribute] if attribute else [])
-        parts = [
-            (options.attribute_prefix if p.startswith(options.attribute_prefix) else "")
-            + _local(p.removeprefix(options.attribute_prefix)) if strip else p
-            for p in parts
-        ]
-        if parts:
-            seen.setdefault(options.path_separator.join(parts))
-            seen.setdefault(options.path_separator.join([*parts, options.text_key]))
-    return tuple(seen)
+    for path, attribute in outline.columns():
+        for record in records:
+            if path[: len(record)] == record:
+                parts = [*path[len(record):], *([options.attribute_prefix + attribute] if attribute else [])]
+                if parts:
+                    seen.setdefault(options.path_separator.join(parts))
+                seen.setdefault(options.path_separator.join([*parts, options.text_key]))
+    context = {p[i] for p in records for i in range(1, len(p) - 1) if p[: i + 1] in outline.with_text}
+    return (*sorted(context), *(c for c in seen if c not in context))
+
+
+def _without_declarations(schema: T.StructType, tag: str, raw: Outline, prefix: str) -> T.StructType:
+    """A schema without the attributes that are namespace declarations, whose names are cut to the prefix they declare."""
+    declared: dict[str, set[str]] = {}
+    real: dict[str, set[str]] = {}
+    for path, titles in raw.attributes.items():
+        for title in titles:
+            (declared if title.startswith("xmlns") else real).setdefault(_local(path[-1]), set()).add(prefix + _local(title))
+
+    def kept(dtype, name):
+        if isinstance(dtype, T.ArrayType):
+            return T.ArrayType(kept(dtype.elementType, name))
+        if not isinstance(dtype, T.StructType):
+            return dtype
+        gone = declared.get(name, set()) - real.get(name, set())
+        return T.StructType([T.StructField(f.name, kept(f.dataType, f.name)) for f in dtype.fields if f.name not in gone])
+
+    return kept(schema, tag)
 
 
 def read_xml_records(
@@ -179,42 +160,49 @@ def read_xml_records(
     ancestors: bool = True,
     with_file_name: bool = False,
     schema: T.StructType | None = None,
-) -> tuple[DataFrame, Outline, list[str] | None]:
-    """Nested record rows of XML files (a file, a folder of ``*.xml``, or a glob).
-
-    Files are split at the topmost element below the root that carries something for the record (its
-    attributes or text are context); with ``ancestors=False`` at the record itself, which splits
-    finest. Record paths are written with local names.
+) -> tuple[DataFrame, Outline, list[tuple[str, ...]]]:
+    """Nested record rows of XML files (a file, a folder of ``*.xml``, or a glob), their outline and the record paths.
+
+    The outline is that of all files (:mod:`~twinledger.sources.outline`). Records are all elements at all
+    paths that ``record_path`` (in local names) means; without one, all of the least deep tag that comes
+    more than once in some file. Files are split at the elements that :func:`split_units` names, one reader for
+    each. With ``ancestors=False`` no context is added and files are split finest. ``schema``, where given, is
+    that of the elements at which files are split.
     """
-    outline = sniff_outline(spark, path)
-    chain = _chain(outline, record_path, options.path_separator)
-    if chain is None:
-        row_tag, below = outline.root, []
-    else:
-        top = len(chain) - 1
-        if ancestors:
-            top = next((i for i in range(len(chain) - 1) if tuple(chain[: i + 1]) in outline.with_content), top)
-        row_tag, below = chain[top], chain[top + 1:]
-    reader = spark.read.options(**_reader_options(options, namespace_mode, on_malformed, row_tag))
-    reader = reader.option("pathGlobFilter", "*.[xX][mM][lL]")
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.xml(path)
-    carry: tuple[str, ...] = ()
-    if with_file_name:
-        df = df.select(F.col("_metadata.file_path").alias("__file"), "*")
-        carry = ("__file",)
-    if on_malformed != "recover" and _CORRUPT in df.columns:
-        df = df.drop(_CORRUPT)
-    if below:
-        tag = _local(row_tag) if namespace_mode == "strip" else row_tag
-        others = [c for c in df.columns if c not in carry]
-        wrapped = df.select(*carry, F.struct(*[names.col(c).alias(c) for c in others]).alias(tag))
-        wanted = [tag, *[_local(b) if namespace_mode == "strip" else b for b in below]]
-        df = X.select_records(wrapped, options.path_separator.join(_local(w) for w in wanted),
-                              path_separator=options.path_separator, attribute_prefix=options.attribute_prefix,
-                              text_key=options.text_key, carry=carry)
-    return df, outline, chain
+    raw = outline_of(spark, path, _GLOB)
+    outline = raw.stripped() if namespace_mode == "strip" else raw
+    records = record_paths(outline, record_path, options.path_separator)
+    carry = ("__file",) if with_file_name else ()
+    tables = []
+    for row_tag, below in split_units(outline, records, ancestors).items():
+        reader = spark.read.options(**_reader_options(options, namespace_mode, on_malformed, row_tag))
+        reader = reader.option("pathGlobFilter", _GLOB)
+        df = (reader if schema is None else reader.schema(schema)).xml(path)
+        if schema is None and namespace_mode == "strip" and raw.namespaces:
+            df = reader.schema(_without_declarations(df.schema, row_tag, raw, options.attribute_prefix)).xml(path)
+        if with_file_name:
+            df = df.select(F.col("_metadata.file_path").alias("__file"), "*")
+        if on_malformed != "recover" and _CORRUPT in df.columns:
+            df = df.drop(_CORRUPT)
+        if () in below:
+            tables.append(df)
+        deeper = [[row_tag, *b] for b in below if b]
+        if deeper:
+            # The root gives no context, other elements at which files are split do.
+            fields = [c for c in df.columns if c not in carry]
+            wrapped = df.select(*carry, F.struct(*[names.col(c).alias(c) for c in fields]).alias(row_tag))
+            if row_tag in outline.roots:
+                wrapped, deeper = df, [d[1:] for d in deeper]
+            known = X.element_paths(wrapped.schema, options.attribute_prefix, options.text_key)
+            deeper = [d for d in deeper if d in known]  # not those that only skipped records have
+        if deeper:
+            tables.append(X.records_at(
+                wrapped, deeper, path_separator=options.path_separator, attribute_prefix=options.attribute_prefix,
+                text_key=options.text_key, carry=carry, ancestors=ancestors,
+            ))
+    if not tables:
+        raise ValueError(f"no record could be read at record_path {record_path!r}")
+    return reduce(lambda a, b: X.union_of_records(a, b, options.text_key), tables), outline, records
 
 
 def read_xml(
@@ -238,13 +226,13 @@ def read_xml(
     flatten_options.setdefault("column_order", "discovery")
     options = X.FlattenOptions(**flatten_options)
     per_file = max_rows is not None
-    df, outline, chain = read_xml_records(
+    df, outline, records = read_xml_records(
         spark, path, record_path, options=options, namespace_mode=namespace_mode, on_malformed=on_malformed,
         ancestors=ancestors, with_file_name=with_file_name or per_file, schema=schema,
     )
     options = _with_names(options, namespace_mode, outline.namespaces)
     carry = tuple(c for c in ("__file",) if c in df.columns)
-    hint = _hint(outline, chain, options, namespace_mode == "strip")
+    hint = _hint(outline, records, options)
     result = X.flatten(df, options, carry=carry, discovery=hint)
     if per_file:
         result.table = limit_per_group(result.table, ["__file"], max_rows)
