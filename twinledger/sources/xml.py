@@ -118,11 +118,15 @@ def _with_names(options: X.FlattenOptions, namespace_mode: str, namespaces: dict
 
 def _hint(outline: Outline, records: list[tuple[str, ...]], options: X.FlattenOptions) -> tuple[str, ...]:
     """Column paths in the order in which documents show them."""
+    def shown(name: str) -> str:
+        prefix, _, local = name.rpartition(":")
+        return options.rename[prefix] + local if prefix in options.rename else name
+
     seen: dict[str, None] = {}
     for path, attribute in outline.columns():
         for record in records:
             if path[: len(record)] == record:
-                parts = [*path[len(record):], *([options.attribute_prefix + attribute] if attribute else [])]
+                parts = [*map(shown, path[len(record):]), *([options.attribute_prefix + shown(attribute)] if attribute else [])]
                 if parts:
                     seen.setdefault(options.path_separator.join(parts))
                 seen.setdefault(options.path_separator.join([*parts, options.text_key]))
