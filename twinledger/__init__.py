@@ -13,8 +13,8 @@ from .operators.profile import column_uniqueness, profile, snapshot, snapshot_ro
 from .operators.reconcile import ColumnPair, Texts, map_columns, reconcile, reconcile_guided
 from .plans.agg_specs import AGG_TYPES, AggSpec, spec_all
 from .plans.session import build_session
-from .sources.delimited import convert_types, read_csv, read_text, sniff_delimiter, write_csv, write_text
-from .sources.dispatch import read_table, read_tables, write_table, write_tables
+from .sources.delimited import convert_types, read_cells, read_csv, read_text, sniff_delimiter, write_csv, write_text
+from .sources.dispatch import read_flattened, read_table, read_tables, write_table, write_tables
 from .sources.xml import archive_members, parse_documents, read_xml, read_xml_archive, read_xml_tables
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells, dates, names
+from .records import Dialect, line_table, quoted_records
 
 QUOTING = ("QUOTE_MINIMAL", "QUOTE_ALL", "QUOTE_NONNUMERIC", "QUOTE_NONE")
 
@@ -36,15 +37,89 @@ def _check_quoting(quoting: str) -> None:
         raise ValueError(f"quoting must be one of {QUOTING}, not {quoting!r}")
 
 
-def has_embedded_newlines(spark: SparkSession, path: str, quote_mark: str = '"', encoding: str = "utf_8") -> bool:
-    """True if some quoted field contains a line break.
+def has_embedded_newlines(spark: SparkSession, path: str, quote_mark: str = '"', encoding: str = "utf_8",
+                          delim: str = ",") -> bool:
+    """True if some quoted cell contains a line break, which one splittable scan of the lines tells.
 
-    A line break inside quotes leaves its line with an odd number of quote marks, and a file without
-    such a field has none, so one splittable text scan (which stops at the first hit) decides.
+    The first line of such a record ends inside a cell; quote marks in the middle of a cell are ordinary.
     """
     lines = spark.read.option("encoding", charset(encoding)).text(path)
-    marks = F.length("value") - F.length(F.replace("value", F.lit(quote_mark), F.lit("")))
-    return not lines.where(marks % 2 == 1).limit(1).isEmpty()
+    return not lines.where(Dialect(delim, quote_mark).ends_inside(F.col("value"))).limit(1).isEmpty()
+
+
+def _records(spark: SparkSession, path: str, dialect: Dialect, encoding: str, line_terminator: str | None,
+             skip: int, embedded: bool) -> DataFrame:
+    """``value, file, block, id`` of every record, without the first ``skip`` lines of each file."""
+    lines = line_table(spark, path, charset(encoding), line_terminator)
+    if skip:
+        lines = _placed(lines).where(F.col("place").isNull() | (F.col("place") >= skip)).drop("place")
+    return quoted_records(lines, dialect) if embedded else lines
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """``place`` of each line of the first block of a file, from 0; null elsewhere."""
+    first = lines.where("block = 0").groupBy(F.col("file").alias("of_file")).agg(F.min("id").alias("first_id"))  # a row per file
+    placed = lines.join(first, F.col("file") == F.col("of_file"), "left")
+    return placed.select(*lines.columns, F.when(F.col("block") == 0, F.col("id") - F.col("first_id")).alias("place"))
+
+
+@dataclass(frozen=True)
+class _Layout:
+    """Files with one header: its cells, the widest row, and how many files there are."""
+
+    header: str | None
+    width: int
+    files: int
+
+
+def _layouts(records: DataFrame, dialect: Dialect, header: bool) -> list[_Layout]:
+    """Distinct headers (the first record of each file that is not blank), one aggregate over all records."""
+    filled = records.where(F.length("value") > 0)
+    width = F.max(dialect.cells(F.col("value"))).alias("width")
+    if not header:
+        widest = filled.agg(width).first()["width"]
+        return [_Layout(None, widest, 0)] if widest else []
+    by_file = filled.groupBy("file").agg(F.min_by("value", F.struct("block", "id")).alias("header"), width)
+    found = by_file.groupBy("header").agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("files"), F.min("file").alias("first"))
+    return [_Layout(r["header"], r["width"], r["files"]) for r in found.orderBy("first").collect()]
+
+
+def _parsed(value: Column, width: int, options: dict) -> Column:
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    return F.from_csv(value, fields, {**options, "maxColumns": str(max(20480, width + 1)), "mode": "PERMISSIVE"})
+
+
+def _titles(spark: SparkSession, layout: _Layout, dialect: Dialect, options: dict, by_place: bool) -> list[str]:
+    """Names of all columns, also of those that only some row has."""
+    row = spark.createDataFrame([(layout.header or "",)], "value string")
+    cells_of = row.select(_parsed(F.col("value"), layout.width, options).alias("r"), dialect.cells(F.col("value")).alias("n")).first()
+    values = list(cells_of["r"])[: cells_of["n"]] if layout.header is not None and not by_place else []
+    values += [None] * (layout.width - len(values))
+    return names.unique_names([v or f"_c{i}" for i, v in enumerate(values)])
+
+
+def read_cells(spark: SparkSession, path: str, *, delim: str = ",", quote_mark: str = '"', encoding: str = "utf_8",
+               line_terminator: str | None = None, quoting: str = "QUOTE_MINIMAL", header_row_index: int = 0,
+               embedded_newlines: bool | str = "auto") -> DataFrame:
+    """``file, cells`` of every record of delimited files: all its cells as they are, however many.
+
+    Headers are rows like any other. :func:`~twinledger.operators.columns.square_rows` gives them one width.
+    """
+    _check_quoting(quoting)
+    dialect = Dialect(delim, "" if quoting == "QUOTE_NONE" else quote_mark)
+    if embedded_newlines == "auto":
+        embedded_newlines = bool(dialect.quote) and has_embedded_newlines(spark, path, quote_mark, encoding, delim)
+    records = _records(spark, path, dialect, encoding, line_terminator, header_row_index, embedded_newlines)
+    records = records.where(F.length("value") > 0)
+    widest = records.agg(F.max(dialect.cells(F.col("value")))).first()[0] or 1
+    parsed = records.select("file", _parsed(F.col("value"), widest, _options(dialect)).alias("r"), dialect.cells(F.col("value")).alias("n"))
+    cell = [F.coalesce(F.col("r").getField(f"c{i}"), F.lit("")) for i in range(widest)]
+    return parsed.select("file", F.slice(F.array(*cell), F.lit(1), F.col("n")).alias("cells"))
+
+
+def _options(dialect: Dialect) -> dict:
+    return {"sep": dialect.delim, "quote": dialect.quote, "escape": dialect.quote or "\\", "nullValue": "\u0000", "emptyValue": "",
+            "enforceSchema": "true"}
 
 
 def read_csv(
@@ -66,9 +141,13 @@ def read_csv(
 ) -> DataFrame:
     """Read delimited files as text columns.
 
-    Line breaks inside quotes force Spark to read each file in one piece, so whether there are any is
-    looked up first (``embedded_newlines='auto'``); pass True or False if known. ``header_row_index``
-    skips that many leading lines of each file. Repeated header names get ``_2``, ``_3``, ...
+    Each file has a header of its own: files are told apart by it and put one below the other by column name.
+    A row longer than its header keeps its further cells in columns ``_c<place>``; a shorter one has empty
+    text there, as have all rows of files without a column. Repeated header names get ``_2``, ``_3``, ...
+    ``header_row_index`` skips that many leading lines of each file. Line breaks inside quotes are found in
+    parallel (:mod:`~twinledger.sources.records`); whether there are any is looked up first
+    (``embedded_newlines='auto'``), pass True or False if known. With a ``schema`` the files are read as it says,
+    by place, with no look at them before.
     """
     _check_quoting(quoting)
     if delim == "auto":
@@ -76,81 +155,49 @@ def read_csv(
         if sniffed is None:
             raise ValueError(f"no delimiter recognized in {path}")
         delim = sniffed[0]
-    quote = "" if quoting == "QUOTE_NONE" else quote_mark
+    dialect = Dialect(delim, "" if quoting == "QUOTE_NONE" else quote_mark)
     if embedded_newlines == "auto":
-        embedded_newlines = bool(quote) and has_embedded_newlines(spark, path, quote, encoding)
-    options = {"sep": delim, "quote": quote, "escape": quote or "\\", "nullValue": "\u0000", "emptyValue": "",
-               "enforceSchema": "true"}
-    if header_row_index:
-        if embedded_newlines:
-            raise ValueError("header_row_index cannot be combined with line breaks inside quoted fields")
-        lines = _skip_lines(spark, path, encoding, header_row_index + int(header))
-        titles = _header_line(spark, path, encoding, header_row_index, options)
-        if not header:
-            titles = [f"_c{i}" for i in range(len(titles))]
-        titles = names.unique_names(titles)
-        row_type = T.StructType([T.StructField(t, T.StringType()) for t in titles])
-        parsed = F.from_csv("value", ", ".join(f"{names.quoted(t)} string" for t in titles), options)
-        df = lines.where(F.length("value") > 0).select(parsed.alias("r")).select(
-            *[F.col("r").getField(f.name).alias(f.name) for f in row_type.fields]
-        )
+        embedded_newlines = bool(dialect.quote) and has_embedded_newlines(spark, path, quote_mark, encoding, delim)
+    options = _options(dialect)
+    reader = spark.read.options(**options).option("encoding", charset(encoding))
+    if line_terminator:
+        reader = reader.option("lineSep", line_terminator)
+    if schema is not None:
+        df = reader.option("multiLine", embedded_newlines).schema(schema).option("header", header).csv(path)
     else:
-        reader = spark.read.options(**options).option("encoding", charset(encoding))
-        if line_terminator:
-            reader = reader.option("lineSep", line_terminator)
-        reader = reader.option("multiLine", embedded_newlines)
-        if schema is not None:
-            df = reader.schema(schema).option("header", header).csv(path)
-        elif header:
-            first = reader.option("header", False).csv(path).first()
-            titles = names.unique_names([("" if v is None else v) or f"_c{i}" for i, v in enumerate(first or [])])
-            text = T.StructType([T.StructField(t, T.StringType()) for t in titles])
-            df = reader.schema(text).option("header", True).csv(path)
+        records = _records(spark, path, dialect, encoding, line_terminator, header_row_index, embedded_newlines)
+        layouts = _layouts(records, dialect, header)
+        if not layouts:
+            if header_row_index:
+                raise ValueError(f"table has insufficient content (header row {header_row_index})")
+            return spark.createDataFrame([], T.StructType([]))
+        titles = [_titles(spark, layout, dialect, options, not header) for layout in layouts]
+        if len(layouts) == 1 and not header_row_index and not embedded_newlines:
+            text = T.StructType([T.StructField(t, T.StringType()) for t in titles[0]])
+            df = reader.option("maxColumns", max(20480, len(titles[0]) + 1)).schema(text).option("header", header).csv(path)
         else:
-            df = reader.option("header", False).csv(path)
-    if schema is None:  # a cell without content is empty text, also where a line ends early
+            df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _by_layout(records, layouts, titles, options, header))
+        # A cell without content is empty text, also where a line ends early.
         df = df.select(*[F.coalesce(names.col(c), F.lit("")).alias(c) for c in df.columns])
     if quoting == "QUOTE_NONNUMERIC" or convert_numbers or convert_dates:
         df = convert_types(df, convert_numbers or quoting == "QUOTE_NONNUMERIC", convert_dates, date_format)
     return df
 
 
-def _skip_lines(spark: SparkSession, path: str, encoding: str, skip: int) -> DataFrame:
-    """Lines of text files without the first ``skip`` lines of each file.
-
-    Only the split that starts a file holds its leading lines, and it holds them in order.
-    """
-    lines = spark.read.option("encoding", charset(encoding)).text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
-    )
-
-    def drop_leading(batches: Iterator) -> Iterator:
-        seen: Counter = Counter()
-        for batch in batches:
-            keep = []
-            for file, start in zip(batch["file"], batch["start"]):
-                if start == 0 and seen[file] < skip:
-                    seen[file] += 1
-                    keep.append(False)
-                else:
-                    keep.append(True)
-            yield batch.loc[keep, ["value"]]
-
-    return lines.mapInPandas(drop_leading, "value string")
-
-
-def _header_line(spark: SparkSession, path: str, encoding: str, index: int, options: dict) -> list[str]:
-    rows = spark.read.option("encoding", charset(encoding)).text(path).limit(index + 1).collect()
-    if len(rows) <= index:
-        raise ValueError(f"table has insufficient content (header row {index}, {len(rows)} lines)")
-    line = spark.createDataFrame([(rows[index]["value"],)], "value string")
-    width = rows[index]["value"].count(options["sep"]) + 1
-    fields = ", ".join(f"c{i} string" for i in range(width))
-    parsed = line.select(F.from_csv("value", fields, options).alias("r")).first()["r"]
-    values = list(parsed)
-    while len(values) > 1 and values[-1] is None:
-        values.pop()
-    return [v or f"_c{i}" for i, v in enumerate(values)]
+def _by_layout(records: DataFrame, layouts: list[_Layout], titles: list[list[str]], options: dict, header: bool) -> list[DataFrame]:
+    """The rows of the files with each header."""
+    rows = records.where(F.length("value") > 0)
+    if header:
+        # The header is the first record of its file. A row per file tells where that is and what it says.
+        first = rows.groupBy(F.col("file").alias("of_file")).agg(
+            F.min(F.struct("block", "id")).alias("at"), F.min_by("value", F.struct("block", "id")).alias("of_header"))
+        rows = rows.join(first, F.col("file") == F.col("of_file")).where(F.struct("block", "id") > F.col("at"))
+    tables = []
+    for layout, names_of in zip(layouts, titles):
+        own = rows.where(F.col("of_header") == layout.header) if header and len(layouts) > 1 else rows
+        parsed = own.select(_parsed(F.col("value"), layout.width, options).alias("r"))
+        tables.append(parsed.select(*[F.col("r").getField(f"c{i}").alias(t) for i, t in enumerate(names_of)]))
+    return tables
 
 
 def convert_types(df: DataFrame, convert_numbers: bool = True, convert_dates: bool = False,
