@@ -265,14 +265,23 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     lists = lists.select("part", "place", *[F.col(f"pieces.{c}").alias(c) for c in ("start", "length", "sequence_id", "offset")])
     joined = encoded.join(lists, ["part", "place"]).drop("part", "place")
 
+    width = np.dtype(kind).itemsize
+
     def sliced(frames):
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids, end = np.frombuffer(row.ids, dtype=kind).astype("<u4"), row.start + row.length
+            # A bounded number of bytes at a time, as they double here and some documents are very long.
+            sizes = np.array([len(b) for b in frame["ids"]])
+            for group in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(np.cumsum(sizes) >> 23)) + 1):
+                some = frame.iloc[group]
+                counts = np.array([len(s) for s in some["start"]])
+                start, length, sequence, offset = (np.concatenate(some[c].to_list()) for c in ("start", "length", "sequence_id", "offset"))
+                data = np.frombuffer(b"".join(some["ids"]), dtype=kind).astype("<u4").tobytes()
+                first = np.repeat(np.cumsum(sizes[group]) - sizes[group], counts) // width + start
+                doc_id = some["doc_id"].astype("Int64").mask(some["no_id"])
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if row.no_id else row.doc_id] * len(end), dtype="Int64"),
-                    "start": row.start, "length": row.length, "doc_tokens": row.n, "sequence_id": row.sequence_id,
-                    "offset": row.offset, "ids": [ids[a:b].tobytes() for a, b in zip(row.start, end)],
+                    "doc_id": doc_id.repeat(counts).array, "start": start, "length": length, "doc_tokens": np.repeat(some["n"].to_numpy(), counts),
+                    "sequence_id": sequence, "offset": offset,
+                    "ids": [data[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist())],
                 })
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -13,9 +13,11 @@ A shard is a sequence of blocks of whole documents. A block holds, in this order
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -73,7 +75,9 @@ def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if m else int(d) for d, m in zip(names, missing)], ends.astype(np.int64), ids
 
 
-_MARKS = ".,;:!?"
+# A line of letters up to U+00FF, as none of which normalizing changes but for case, and marks behind them.
+_WIDE = re.compile("[^\x00-\xff]")
+_LATIN = re.compile("^([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)$", re.MULTILINE)
 
 
 class WordEncoder:
@@ -83,7 +87,8 @@ class WordEncoder:
     \\t, \\n, \\r and each distinct word is encoded once and remembered: the last ``remember`` to twice as
     many. New words that are letters only, also as the tokenizer normalizes them, are encoded many at once,
     as one text; each is one pre-token there, whose last token has the mark of a word's end. Marks like a
-    comma after such letters are words of their own.
+    comma after such letters are words of their own. Texts without characters above U+00FF are put in lower
+    case first, where the tokenizer does that anyway, so that fewer words differ.
     """
 
     def __init__(self, tokenizer_json: str, remember: int = 400_000):
@@ -99,37 +104,46 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.marks_ends = bool(self.ends.any())
+        self.lowers = self.normalizer is not None and self.normalizer.normalize_str("AÀÞzß") == "aàþzß"
         self.remember = remember
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        self._learn({w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None})
-        known = self.known
-        out = [b"".join(map(known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found)]
-        if len(known) > self.remember:
-            self.older, self.known = known, {"": b""}
+        split = [self._folded(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = set(chain.from_iterable(split))
+        self._learn(words.difference(self.known))
+        ids = dict(zip(words, map(self.known.__getitem__, words)))  # small, so that looking up is fast
+        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        if len(self.known) > self.remember:
+            self.older, self.known = self.known, {"": b""}
         return out
 
+    def _folded(self, text: str) -> str:
+        """A text in lower case, where that cannot be another one than the tokenizer's: up to U+00FF."""
+        if self.lowers and not (text.isascii() or _WIDE.search(text)):
+            return text.lower()
+        return text.lower() if self.lowers and text.isascii() else text
+
     def _learn(self, words: set[str]) -> None:
-        known, older, marked, plain = self.known, self.older, [], []
+        known, older = self.known, self.older
         if older:
-            known.update({w: older[w] for w in words if w in older})
-            words = [w for w in words if w not in known]
-        for word in words:
-            (marked if word[-1] in _MARKS else plain).append(word)
-        cores = [word.rstrip(_MARKS) for word in marked]
-        letters = list(map(self._letters, cores))
-        plain += [word for word, whole in zip(marked, letters) if not whole]
-        split = [(word, core, word[len(core) :]) for word, core, whole in zip(marked, cores, letters) if whole]
-        new = {*plain, *(core for _, core, _ in split), *(tail for _, _, tail in split)}.difference(known)
-        regular = [w for w in new if self._letters(w)] if self.marks_ends else []
+            back = words.intersection(older)
+            known.update(zip(back, map(older.__getitem__, back)))
+            words = words.difference(back)
+        if not words:
+            return
+        lines = "\n".join(words)
+        # Letters up to U+00FF and marks behind them are sorted out in one go, the others one by one.
+        split = _LATIN.findall(lines) if self.marks_ends else []
+        rest = set(_LATIN.sub("", lines).split("\n")).difference(known) if split else words
+        other = {w for w in rest if self._letters(w)} if self.marks_ends else set()
+        cores, tails = {core for core, _ in split}, {tail for _, tail in split}
+        regular = list((cores | other).difference(known))
         for start in range(0, len(regular), 1000):
             self._encode_joined(regular[start : start + 1000])
-        self._encode_each(list(new.difference(regular)))
-        known.update({word: known[core] + known[tail] for word, core, tail in split})
+        self._encode_each(list((rest - other | tails).difference(known)))
+        known.update([(core + tail, known[core] + known[tail]) for core, tail in split if tail])
 
     def _letters(self, word: str) -> bool:
         """Whether the word is letters only, also after normalizing, which turns some letters into letter and mark."""
@@ -138,10 +152,14 @@ class WordEncoder:
         return word.isascii() or not self.normalizer or self.normalizer.normalize_str(word).isalpha()
 
     def _encode_each(self, words: list[str]) -> None:
-        for start in range(0, len(words), 10_000):
-            some = words[start : start + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype=self.kind).tobytes()
+        """Words of any kind, told apart by where the tokens begin in the text."""
+        for start in range(0, len(words), 1000):
+            some = words[start : start + 1000]
+            e = self.tokenizer.encode_batch([" ".join(some)], add_special_tokens=False)[0]
+            begins = np.cumsum([0] + [len(w) + 1 for w in some])
+            cuts = np.searchsorted([a for a, _ in e.offsets], begins) * np.dtype(self.kind).itemsize
+            data = np.array(e.ids, dtype=self.kind).tobytes()
+            self.known.update(zip(some, (data[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist()))))
 
     def _encode_joined(self, words: list[str]) -> None:
         ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
