@@ -21,7 +21,7 @@ BLANK = "▁"
 _SEGMENT = regex.compile(r" +[^ \n]*|[^ \n]+|\n")
 _SYMBOL = {" ": BLANK, BLANK: "\0mark"}
 _MASK = (1 << 64) - 1
-_NEVER = 1 << 62
+_NONE = (1 << 31) - 1
 _SPREAD = 0x9E3779B97F4A7C15
 _VARIANT = 0xC2B2AE3D27D4EB4F
 #: Segments of up to so many characters are merged together.
@@ -225,12 +225,12 @@ class _Outcomes:
 
     @property
     def n(self) -> int:
-        return self.text.n
+        return max(self.text.n, len(self.root))
 
     def find(self, segments: list[str], keys: np.ndarray, limit: int) -> np.ndarray:
         """The node of each occurrence; -1 for segments that are long or have characters without a piece."""
         self._learn(list(set(segments).difference(self.root)))
-        node = np.fromiter(map(self.root.__getitem__, segments), dtype=np.int64, count=len(segments))
+        node = np.fromiter((self.root.get(s, -1) for s in segments), dtype=np.int64, count=len(segments))
         rows = np.flatnonzero(node >= 0) if limit else ()
         while len(rows):
             now = node[rows]
@@ -245,7 +245,7 @@ class _Outcomes:
         return node
 
     def _learn(self, new: list[str]) -> None:
-        self.root.update(dict.fromkeys(new, -1))
+        # Long segments are not kept: they may be many and differ all.
         short = [s for s in new if len(s) <= _SIZES[-1] and BLANK not in s]
         first = len(self.texts)
         self.texts += short
@@ -314,7 +314,7 @@ class _Pairs:
         ]
         size = 1 << self.BITS
         self.keys = np.full(size, -1, dtype=np.int64)
-        self.order, self.result = np.full(size, _NEVER, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        self.order, self.result = np.full(size, _NONE, dtype=np.int32), np.zeros(size, dtype=np.int32)
         for left, right, rank, merged in found:
             key = left << 32 | right
             at = key * _SPREAD % (1 << 64) >> (64 - self.BITS)
@@ -330,7 +330,7 @@ class _Pairs:
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of pairs in the table; a free place where there is no such pair."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = (keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(64 - self.BITS)).astype(np.int64)
         open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
         while len(open_):
@@ -346,45 +346,60 @@ class _Pairs:
         """
         n, size = symbols.shape
         # One column more, always empty, stands for what is beyond either end.
-        flat = np.full((n, size + 1), -1, dtype=np.int64)
+        flat = np.full((n, size + 1), -1, dtype=np.int32)
         flat[:, :size] = symbols
-        after = np.tile(np.arange(1, size + 2), (n, 1))
-        before = np.tile(np.append(np.arange(-1, size - 1), 0), (n, 1))
+        after = np.tile(np.arange(1, size + 2, dtype=np.int32), (n, 1))
+        before = np.tile(np.append(np.arange(-1, size - 1), 0).astype(np.int32), (n, 1))
         before[:, 0] = size
-        place = np.full((n, size + 1), -1)
-        agenda = np.full((n, size + 1), _NEVER, dtype=np.int64)
+        place = np.full((n, size + 1), -1, dtype=np.int32)
+        agenda = np.full((n, size + 1), _NONE, dtype=np.int32)
         both = np.nonzero((flat[:, :-1] >= 0) & (flat[:, 1:] >= 0))
         found = self._find(flat[both], flat[both[0], both[1] + 1])
         agenda[both], place[both] = self.order[found], found
         # Each of at most size - 1 merges makes two candidates at most.
         taken, number, passed = np.zeros((n, 3 * size), dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        final = np.full((n, size), -1, dtype=np.int32)
+        # Arrays have the rows that still have candidates; rows[k] is the number of the k-th of them.
         rows = np.arange(n)
         while len(rows):
-            i = agenda[rows].argmin(axis=1)
-            best = agenda[rows, i]
-            going = best != _NEVER
-            rows, i, best = rows[going], i[going], best[going]
-            taken[rows, number[rows]] = i << 32 | best
-            skipped = number[rows] == skips[rows, passed[rows]]
-            number[rows] += 1
-            passed[rows[skipped]] += 1
-            agenda[rows[skipped], i[skipped]] = _NEVER
-            now, i = rows[~skipped], i[~skipped]
+            i = agenda.argmin(axis=1)
+            here = np.arange(len(rows))
+            best = agenda[here, i]
+            going = best != _NONE
+            if not going.all():
+                done = ~going
+                final[rows[done]] = flat[done, :size]
+                if going.sum() < 0.8 * len(rows) or not going.any():
+                    rows, i, best = rows[going], i[going], best[going]
+                    flat, after, before, place, agenda = (x[going] for x in (flat, after, before, place, agenda))
+                    here = np.arange(len(rows))
+                else:
+                    here, i, best = here[going], i[going], best[going]
+            real = rows[here]
+            count = number[real]
+            taken[real, count] = i << 32 | best
+            skipped = count == skips[real, passed[real]]
+            number[real] += 1
+            passed[real[skipped]] += 1
+            agenda[here[skipped], i[skipped]] = _NONE
+            now, i = here[~skipped], i[~skipped]
             j = after[now, i]
             k = after[now, j]
             flat[now, i] = self.result[place[now, i]]
-            flat[now, j], agenda[now, j], agenda[now, i] = -1, _NEVER, _NEVER
+            flat[now, j], agenda[now, j], agenda[now, i] = -1, _NONE, _NONE
             after[now, i] = k
             inside = k < size
             before[now[inside], k[inside]] = i[inside]
-            for left, right in ((i, k), (before[now, i], i)):
-                ok = np.flatnonzero((left < size) & (right < size))
-                r, a, b = now[ok], left[ok], right[ok]
-                ok = flat[r, b] >= 0
-                r, a, b = r[ok], a[ok], b[ok]
-                found = self._find(flat[r, a], flat[r, b])
-                agenda[r, a], place[r, a] = self.order[found], found
-        return flat[:, :size], taken, number
+            left, right = np.concatenate([i, before[now, i]]), np.concatenate([k, i])
+            twice = np.concatenate([now, now])
+            ok = np.flatnonzero((left < size) & (right < size))
+            r, a, b = twice[ok], left[ok], right[ok]
+            one, other = flat[r, a], flat[r, b]
+            ok = np.flatnonzero(other >= 0)
+            r, a = r[ok], a[ok]
+            found = self._find(one[ok], other[ok])
+            agenda[r, a], place[r, a] = self.order[found], found
+        return final, taken, number
 
 
 def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text",
