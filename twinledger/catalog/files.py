@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.columns import square_rows
 from ..operators.flatten import flatten, select_records
 from ..plans.durable import scratch_folder
+from ..sources.delimited import read_cells, read_csv, read_text, write_csv
 from ..sources.xml import read_xml
 from . import tables as t
 
@@ -87,7 +89,89 @@ def xml_metadata(spark, sf):
     return spark.createDataFrame([row], "records long, rows long, items_left_out long, columns string, truncated string")
 
 
+def _text(spark, lines, name):
+    """Lines as they are, in files that end in .csv."""
+    folder = f"{scratch_folder(spark)}/{name}"
+    lines.write.option("compression", "none").text(folder)
+    return folder
+
+
+def csv_ragged(spark, sf):
+    """Orders with as many cells as their priority has words, under a header of two."""
+    line = F.concat(F.col("o_orderkey"), F.lit(","), F.regexp_replace("o_orderpriority", "[- ]", ","))
+    rows = t.orders(spark, sf).select(line.alias("value"))
+    head = spark.createDataFrame([("key,first",)], "value string")
+    return read_csv(spark, _text(spark, head.unionByName(rows).coalesce(1), "ragged"))
+
+
+def csv_cells(spark, sf):
+    """The same rows as lists of all their cells, then squared."""
+    line = F.concat(F.col("o_orderkey"), F.lit(',"'), F.regexp_replace("o_orderpriority", "[- ]", '","'), F.lit('"'))
+    found = read_cells(spark, _text(spark, t.orders(spark, sf).select(line.alias("value")), "cells"))
+    squared = square_rows(found.withColumn("n", F.size("cells")), "cells", 3)
+    return squared.select("n", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(3)])
+
+
+def csv_mixed_headers(spark, sf):
+    """Files of one folder whose headers have other columns in another order."""
+    base = f"{scratch_folder(spark)}/mixed"
+    customer, supplier = t.load(spark, sf, "customer"), t.load(spark, sf, "supplier")
+    write_csv(customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")), f"{base}/kind=a", quoting="QUOTE_ALL")
+    write_csv(supplier.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key")), f"{base}/kind=b")
+    return read_csv(spark, f"{base}/*", convert_numbers=True)
+
+
+def csv_header_row(spark, sf):
+    """Files that begin with two lines above the header."""
+    folder = f"{scratch_folder(spark)}/report"
+    lines = F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment")
+    head = F.concat(F.lit("Report of customers\n\"not, a\" header\nkey,name,segment\n"), lines)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = t.load(spark, sf, "customer").repartition(3)
+    rows.select(F.when(first, head).otherwise(lines).alias("value")).write.text(folder)
+    return read_csv(spark, folder, header_row_index=2)
+
+
+def csv_nonnumeric(spark, sf):
+    """Cells without quote marks are numbers."""
+    folder = f"{scratch_folder(spark)}/nonnumeric"
+    write_csv(t.orders(spark, sf).select("o_orderkey", "o_orderpriority", "cents"), folder, quoting="QUOTE_NONNUMERIC")
+    return read_csv(spark, folder, quoting="QUOTE_NONNUMERIC")
+
+
+def csv_date_format(spark, sf):
+    """Dates written in one format and found again by it."""
+    folder = f"{scratch_folder(spark)}/dates"
+    write_csv(t.orders(spark, sf).select("o_orderkey", "o_orderdate"), folder, convert_dates=True, date_format="%d.%m.%Y")
+    typed = read_csv(spark, folder, convert_dates=True, date_format="%d.%m.%Y")
+    return typed.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit(dict(typed.dtypes)["o_orderdate"]).alias("type"))
+
+
+def csv_broken_lines(spark, sf):
+    """Documents with all their line breaks and quote marks, beside a cell with a stray mark."""
+    folder = f"{scratch_folder(spark)}/broken"
+    line = F.concat(F.col("doc_id"), F.lit(',5" nail,"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    t.load(spark, sf, "documents").select(line.alias("value")).write.text(folder)
+    found = read_csv(spark, folder, header=False)
+    return found.select(F.col("_c0").cast("bigint").alias("doc_id"), F.col("_c1").alias("size"), F.col("_c2").alias("text"))
+
+
+def text_lines(spark, sf):
+    """Documents as plain text, a row per line."""
+    folder = f"{scratch_folder(spark)}/plain.txt"
+    t.load(spark, sf, "documents").select("text").write.text(folder)
+    return read_text(spark, folder)
+
+
 QUERIES = {
+    "csv_ragged": csv_ragged,
+    "csv_cells": csv_cells,
+    "csv_mixed_headers": csv_mixed_headers,
+    "csv_header_row": csv_header_row,
+    "csv_nonnumeric": csv_nonnumeric,
+    "csv_date_format": csv_date_format,
+    "csv_broken_lines": csv_broken_lines,
+    "text_lines": text_lines,
     "xml_read_records": xml_read_records,
     "xml_cousins": xml_cousins,
     "xml_late_context": xml_late_context,
@@ -96,7 +180,19 @@ QUERIES = {
     "xml_metadata": xml_metadata,
 }
 
+_WORD = "coalesce(regexp_split_to_array(o_orderpriority, '[- ]')[{0}], '')"
+
 SQL = {
+    "csv_ragged": f"""SELECT CAST(o_orderkey AS VARCHAR) AS key, {_WORD.format(1)} AS first, {_WORD.format(2)} AS _c2, {_WORD.format(3)} AS _c3 FROM orders""",
+    "csv_cells": f"""SELECT CAST(1 + len(regexp_split_to_array(o_orderpriority, '[- ]')) AS INTEGER) AS n, CAST(o_orderkey AS VARCHAR) AS c0,
+        {_WORD.format(1)} AS c1, {_WORD.format(2)} AS c2 FROM orders""",
+    "csv_mixed_headers": """SELECT CAST(c_custkey AS BIGINT) AS key, c_name AS name, NULL::BIGINT AS nation FROM customer
+        UNION ALL SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) FROM supplier""",
+    "csv_header_row": "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment AS segment FROM customer",
+    "csv_nonnumeric": f"WITH {t.ORDERS} SELECT o_orderkey, o_orderpriority, cents FROM orders_c",
+    "csv_date_format": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 'timestamp' AS type FROM orders",
+    "csv_broken_lines": """SELECT doc_id, '5" nail' AS size, text FROM documents""",
+    "text_lines": "SELECT unnest(string_split(text, chr(10))) AS value FROM documents",
     "xml_read_records": """SELECT p_brand AS "Shelf.@brand", CAST(p_partkey AS VARCHAR) AS "@id", p_name AS "Name", CAST(p_size AS VARCHAR) AS "Size" FROM part
         UNION ALL SELECT '', CAST(p_partkey AS VARCHAR), p_type, CAST(p_size * 2 AS VARCHAR) FROM part
         UNION ALL SELECT '', CAST(p_partkey AS VARCHAR), p_name, CAST(p_size * 3 AS VARCHAR) FROM part""",
