@@ -17,14 +17,16 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hashing import batches
 from .shared import Scratch
 
 MAGIC = b"TKVB"
@@ -76,6 +78,7 @@ def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 # A line of letters up to U+00FF, as none of which normalizing changes but for case, and marks behind them.
+_TOGETHER = 1 << 21  # characters of texts encoded together
 _WIDE = re.compile("[^\x00-\xff]")
 _LATIN = re.compile("^([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)$", re.MULTILINE)
 
@@ -110,15 +113,33 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._folded(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set(chain.from_iterable(split))
-        self._learn(words.difference(self.known))
-        ids = dict(zip(words, map(self.known.__getitem__, words)))  # small, so that looking up is fast
-        out = [b"".join(map(ids.__getitem__, words)) for words in split]
-        if len(self.known) > self.remember:
-            self.older, self.known = self.known, {"": b""}
+        out: list[bytes] = []
+        for group in batches(texts, _TOGETHER):
+            out += self._encode_group([texts[i] for i in group])
+            if len(self.known) > self.remember:
+                self.older, self.known = self.known, {"": b""}
         return out
 
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
+        """Distinct words of the texts are numbered first; what happens to every word is then arrays of numbers."""
+        folded = [self._folded(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        split = pc.split_pattern(pa.array(folded, pa.large_string()), " ")
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(set(words).difference(self.known))
+        parts = list(map(self.known.__getitem__, words))
+        data = np.frombuffer(b"".join(parts), dtype=self.kind)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // data.itemsize
+        starts = (np.cumsum(sizes) - sizes).astype(np.int32)  # a group has far fewer ids than that
+        word = numbered.indices.to_numpy()
+        counts = sizes[word]
+        ends = np.cumsum(counts)
+        source = np.repeat(starts[word] - (ends - counts).astype(np.int32), counts)
+        source += np.arange(len(source), dtype=np.int32)
+        ids = data[source].tobytes()
+        cuts = (np.append(0, ends)[np.cumsum(split.value_lengths().to_numpy())] * data.itemsize).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _folded(self, text: str) -> str:
         """A text in lower case, where that cannot be another one than the tokenizer's: up to U+00FF."""
         if self.lowers and not (text.isascii() or _WIDE.search(text)):
@@ -233,10 +254,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     def encoded(frames):
         encoder = word_encoder(tokenizer_json)
         for frame in frames:
-            texts = frame["text"].tolist()
-            ids = []
-            for start in range(0, len(texts), 500):
-                ids += [b + tail for b in encoder.encode(texts[start : start + 500])]
+            ids = [b + tail for b in encoder.encode(frame["text"].tolist())]
             place = np.where(frame["no_id"], 0, np.searchsorted(bounds, frame["doc_id"], side="right"))
             yield pd.DataFrame({"range": place, "doc_id": frame["doc_id"], "no_id": frame["no_id"], "ids": ids})
 
