@@ -63,7 +63,7 @@ def test_duplicate_header_is_reported(spark):
     assert headers["Original header names, non-unique:"] == "ID"
     assert headers["New header names, unique:"] == "ID, Val"
     info = result["columns"].orderBy("position").collect()
-    assert "Original column name not unique" in info[0]["warnings"]
+    assert "original column name occurs more than once" in info[0]["warnings"]
     assert info[1]["title"] == "ID --> Val" and info[2]["new_index"] == -1
     assert result["detail"].columns == ["Key", "Key Category", "ID", "ID --> Val", "Val --> <missing col>"]
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.columns import square_rows
+from ..functions import cells
+from ..operators.columns import first_columns, square_rows
 from ..operators.flatten import flatten, select_records
 from ..plans.durable import scratch_folder
 from ..sources.delimited import read_cells, read_csv, read_text, write_csv
+from ..sources.dispatch import read_tables, write_tables
 from ..sources.xml import read_xml
 from . import tables as t
 
@@ -163,7 +166,57 @@ def text_lines(spark, sf):
     return read_text(spark, folder)
 
 
+def _tagged(spark, sf):
+    return t.load(spark, sf, "part").select(
+        F.col("p_partkey").alias("@id"), F.col("p_name").alias("Name"), F.struct(F.col("p_size").alias("@cm"), F.col("p_brand").alias("#text")).alias("Box"))
+
+
+def flatten_force_list(spark, sf):
+    """An element that comes once treated as a list."""
+    return flatten(_tagged(spark, sf), list_strategy="aggregate", force_list=("Name",)).table
+
+
+def flatten_without_attributes(spark, sf):
+    return flatten(_tagged(spark, sf), include_attributes=False).table
+
+
+def flatten_without_text(spark, sf):
+    return flatten(_tagged(spark, sf), include_text=False).table
+
+
+def flatten_max_columns(spark, sf):
+    """The first columns only, with a warning that says how many are left out."""
+    found = flatten(_tagged(spark, sf), max_columns=2)
+    return found.table.withColumn("warning", F.lit(found.warnings[0]))
+
+
+def safe_numbers(spark, sf):
+    """Numbers where there are some, the default elsewhere."""
+    words = t.load(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), F.col("p_size"), F.when(F.col("p_size") % 3 == 0, "x").otherwise("")).alias("v"))
+    return words.select("p_partkey", cells.safe_number(F.col("v"), T.StringType(), -1.0).alias("number"))
+
+
+def first_two_columns(spark, sf):
+    return first_columns(t.load(spark, sf, "customer"), 2)
+
+
+def table_set_both(spark, sf):
+    """Both tables of a set, one below the other."""
+    folder = scratch_folder(spark) + "/both"
+    write_tables({n: t.load(spark, sf, n) for n in ("customer", "supplier")}, folder)
+    found = read_tables(spark, folder)
+    return found["customer"].select("c_custkey", "c_name").unionByName(
+        found["supplier"].select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name")))
+
+
 QUERIES = {
+    "flatten_force_list": flatten_force_list,
+    "flatten_without_attributes": flatten_without_attributes,
+    "flatten_without_text": flatten_without_text,
+    "flatten_max_columns": flatten_max_columns,
+    "safe_numbers": safe_numbers,
+    "first_columns": first_two_columns,
+    "table_set_both": table_set_both,
     "csv_ragged": csv_ragged,
     "csv_cells": csv_cells,
     "csv_mixed_headers": csv_mixed_headers,
@@ -183,6 +236,13 @@ QUERIES = {
 _WORD = "coalesce(regexp_split_to_array(o_orderpriority, '[- ]')[{0}], '')"
 
 SQL = {
+    "flatten_force_list": """SELECT CAST(p_partkey AS VARCHAR) AS "@id", '["' || p_name || '"]' AS "Name", CAST(p_size AS VARCHAR) AS "Box.@cm", p_brand AS "Box.#text" FROM part""",
+    "flatten_without_attributes": """SELECT p_name AS "Name", p_brand AS "Box" FROM part""",
+    "flatten_without_text": """SELECT CAST(p_partkey AS VARCHAR) AS "@id", CAST(p_size AS VARCHAR) AS "Box.@cm" FROM part""",
+    "flatten_max_columns": """SELECT CAST(p_partkey AS VARCHAR) AS "@id", p_name AS "Name", '2 column(s) left out, more than max_columns=2' AS warning FROM part""",
+    "safe_numbers": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN -1.0::DOUBLE ELSE CAST(p_size AS DOUBLE) END AS number FROM part",
+    "first_columns": "SELECT c_custkey, c_name FROM customer",
+    "table_set_both": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier",
     "csv_ragged": f"""SELECT CAST(o_orderkey AS VARCHAR) AS key, {_WORD.format(1)} AS first, {_WORD.format(2)} AS _c2, {_WORD.format(3)} AS _c3 FROM orders""",
     "csv_cells": f"""SELECT CAST(1 + len(regexp_split_to_array(o_orderpriority, '[- ]')) AS INTEGER) AS n, CAST(o_orderkey AS VARCHAR) AS c0,
         {_WORD.format(1)} AS c1, {_WORD.format(2)} AS c2 FROM orders""",
