@@ -112,6 +112,16 @@ def test_residual_and_depth(beds):
     assert shallow["Tool.residual"] == '"rake"' and json.loads(shallow["Row.residual"]) in ({"Seed": ["1", "2"]}, {"Seed": ["3"]})
 
 
+def test_residual_as_structure(beds):
+    result = flatten(beds, list_strategy="residual", residual_format="dict")
+    assert dict(result.table.dtypes)["Tool.residual"] == "variant" and dict(result.table.dtypes)["#text"] == "string"
+    seed = F.expr("try_variant_get(`Row.residual`, '$[0].Seed[1]', 'string')")
+    found = result.table.select(seed.alias("s"), F.expr("try_variant_get(`Tool.residual`, '$[0]', 'string')").alias("t")).collect()
+    assert sorted((r["s"] or "", r["t"] or "") for r in found) == [("", ""), ("", "spade"), ("2", "rake")]
+    cut = flatten(beds, max_depth=0, residual_format="dict", list_strategy="aggregate")
+    assert cut.table.count() == 3
+
+
 def test_options(beds):
     assert flatten(beds, list_strategy_overrides={"Tool": "aggregate"}).table.count() == 8
     assert "Row/Seed" in flatten(beds, path_separator="/").table.columns

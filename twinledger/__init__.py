@@ -11,6 +11,7 @@ from .operators.keys import key_analysis, key_set, summarize_keys
 from .operators.messages import foreign_texts, parse_envelopes, reassemble, split_messages
 from .operators.profile import column_uniqueness, profile, snapshot, snapshot_rows
 from .operators.reconcile import ColumnPair, Texts, map_columns, reconcile, reconcile_guided
+from .operators.sketches import distinct_sketches, estimated_counts, merge_sketches
 from .plans.agg_specs import AGG_TYPES, AggSpec, spec_all
 from .plans.session import build_session
 from .sources.delimited import convert_types, read_cells, read_csv, read_text, sniff_delimiter, write_csv, write_text

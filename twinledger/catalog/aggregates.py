@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators.aggregate import aggregate, concatenate_parts, de_aggregate
+from ..operators.sketches import distinct_sketches, estimated_counts, merge_sketches
 from ..plans.agg_specs import AggSpec, spec_all
 from . import tables as t
 
@@ -256,3 +257,24 @@ def de_aggregate_round_trip(spark, sf):
 
 QUERIES["de_aggregate_round_trip"] = de_aggregate_round_trip
 SQL["de_aggregate_round_trip"] = "SELECT o_custkey, o_orderkey FROM orders"
+
+
+def count_unique_approx(spark, sf):
+    """Distinct customers and days per priority from sketches of two halves, beside the exact counts."""
+    orders = _orders(spark, sf)
+    halves = [distinct_sketches(orders.where(F.col("o_orderkey") % 2 == i), ["o_orderpriority"], ["o_custkey", "o_orderdate"]) for i in (0, 1)]
+    found = estimated_counts(merge_sketches(halves, ["o_orderpriority"]), ["o_orderpriority"])
+    exact = orders.groupBy(F.col("o_orderpriority").alias("p")).agg(
+        F.countDistinct("o_custkey").alias("customers"), F.countDistinct("o_orderdate").alias("days"))
+
+    def near(estimate, count):
+        return F.abs(F.col(estimate) - F.col(count)) <= F.col(count) * 0.06 + 1
+
+    joined = found.join(exact, F.col("o_orderpriority") == F.col("p"))
+    return joined.select("o_orderpriority", "customers", "days", near("o_custkey", "customers").alias("customers_near"),
+                         near("o_orderdate", "days").alias("days_near"))
+
+
+QUERIES["agg_count_unique_approx"] = count_unique_approx
+SQL["agg_count_unique_approx"] = """SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days,
+    TRUE AS customers_near, TRUE AS days_near FROM orders GROUP BY 1"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cells
+from ..functions import cells, names
 from ..operators.columns import first_columns, square_rows
 from ..operators.flatten import flatten, select_records
 from ..plans.durable import scratch_folder
@@ -176,6 +176,13 @@ def flatten_force_list(spark, sf):
     return flatten(_tagged(spark, sf), list_strategy="aggregate", force_list=("Name",)).table
 
 
+def flatten_residual_dict(spark, sf):
+    """What is left over stays a structure, out of which single values are taken afterwards."""
+    found = flatten(_tagged(spark, sf), max_depth=0, residual_format="dict").table
+    part = F.variant_get(names.col("Box.residual"), '$["#text"]', "string")
+    return found.select("`@id`", part.alias("brand"), F.expr("typeof(`Box.residual`)").alias("type"))
+
+
 def flatten_without_attributes(spark, sf):
     return flatten(_tagged(spark, sf), include_attributes=False).table
 
@@ -211,6 +218,7 @@ def table_set_both(spark, sf):
 
 QUERIES = {
     "flatten_force_list": flatten_force_list,
+    "flatten_residual_dict": flatten_residual_dict,
     "flatten_without_attributes": flatten_without_attributes,
     "flatten_without_text": flatten_without_text,
     "flatten_max_columns": flatten_max_columns,
@@ -237,6 +245,7 @@ _WORD = "coalesce(regexp_split_to_array(o_orderpriority, '[- ]')[{0}], '')"
 
 SQL = {
     "flatten_force_list": """SELECT CAST(p_partkey AS VARCHAR) AS "@id", '["' || p_name || '"]' AS "Name", CAST(p_size AS VARCHAR) AS "Box.@cm", p_brand AS "Box.#text" FROM part""",
+    "flatten_residual_dict": """SELECT CAST(p_partkey AS VARCHAR) AS "@id", p_brand AS brand, 'variant' AS type FROM part""",
     "flatten_without_attributes": """SELECT p_name AS "Name", p_brand AS "Box" FROM part""",
     "flatten_without_text": """SELECT CAST(p_partkey AS VARCHAR) AS "@id", CAST(p_size AS VARCHAR) AS "Box.@cm" FROM part""",
     "flatten_max_columns": """SELECT CAST(p_partkey AS VARCHAR) AS "@id", p_name AS "Name", '2 column(s) left out, more than max_columns=2' AS warning FROM part""",

@@ -17,7 +17,7 @@ from ..functions import cells, names
 
 STRATEGIES = ("explode", "aggregate", "indexed", "residual")
 AGGREGATE_FORMATS = ("json", "xml", "delimited")
-RESIDUAL_FORMATS = ("json", "xml")
+RESIDUAL_FORMATS = ("json", "xml", "dict")
 COLUMN_ORDERS = ("alpha", "stable", "discovery")
 MAX_COLUMNS = 2000
 
@@ -110,6 +110,8 @@ def _as_xml(c: Column, dtype: T.DataType, tag: str, o: FlattenOptions) -> Column
 
 
 def _serialized(c: Column, dtype: T.DataType, tag: str, fmt: str, o: FlattenOptions) -> Column:
+    if fmt == "dict":  # the structure itself, to be taken apart later by variant_get
+        return F.when(c.isNotNull(), F.parse_json(_as_json(c, dtype)))
     return _as_xml(c, dtype, tag, o) if fmt == "xml" else _as_json(c, dtype)
 
 
@@ -119,6 +121,7 @@ class _Walk:
     def __init__(self, df: DataFrame, options: FlattenOptions, indexed_width: dict[str, int] | int | None):
         self.df, self.o, self.indexed_width = df, options, indexed_width
         self.leaves: list[tuple[str, Column]] = []
+        self.structures: set[str] = set()  # leaves that are VARIANT values, not text
         self.truncated: list[str] = []
         self.indexed: dict[str, Column] = {}
         self.explodes = 0
@@ -181,14 +184,18 @@ class _Walk:
             for i in range(self.width(path)):
                 self.single(tag, item, F.get(c, F.lit(i)), self.path(path, str(i)), depth)
         else:
-            self.truncated.append(path)
-            self.leaves.append((self.path(path, "residual"), _serialized(c, dtype, tag, self.o.residual_format, self.o)))
+            self.residual(tag, dtype, c, path)
+
+    def residual(self, tag: str, dtype: T.DataType, c: Column, path: str) -> None:
+        self.truncated.append(path)
+        title = self.path(path, "residual")
+        if self.o.residual_format == "dict":
+            self.structures.add(title)
+        self.leaves.append((title, _serialized(c, dtype, tag, self.o.residual_format, self.o)))
 
     def single(self, tag: str, dtype: T.DataType, c: Column, path: str, depth: int) -> None:
         if self.o.max_depth is not None and depth > self.o.max_depth:
-            self.truncated.append(path)
-            value = _serialized(c, dtype, tag, self.o.residual_format, self.o)
-            self.leaves.append((self.path(path, "residual"), value))
+            self.residual(tag, dtype, c, path)
         elif isinstance(dtype, T.StructType):
             self.fields(dtype, lambda n: c.getField(n), path, depth)
         elif _list_of(dtype):
@@ -215,7 +222,8 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
     Lists are exploded (a row per item; independent lists multiply), aggregated into one cell, spread
     over indexed columns, or kept as one blob; per path through ``list_strategy_overrides``. A list
     is a list in every row, also where it has one item. ``carry`` columns are passed through as they
-    are, in front. For indexed lists ``indexed_width='data'`` first asks for the longest list (one
+    are, in front. Residuals with ``residual_format='dict'`` are VARIANT values (NULL where there is nothing);
+    all other cells are text. For indexed lists ``indexed_width='data'`` first asks for the longest list (one
     narrow aggregate); a number skips that, and streams need one.
     """
     o = replace(options or FlattenOptions(), **changes)
@@ -265,8 +273,8 @@ def flatten(df: DataFrame, options: FlattenOptions | None = None, *, carry: tupl
         leaves = leaves[: o.max_columns]
     titles = names.unique_names([*carry, *[p for p, _ in leaves]])
     out = []
-    for (_, c), title in zip(leaves, titles[len(carry):]):
-        out.append((c if o.empty_value is None else F.coalesce(c, F.lit(o.empty_value))).alias(title))
+    for (path, c), title in zip(leaves, titles[len(carry):]):
+        out.append((c if o.empty_value is None or path in found.structures else F.coalesce(c, F.lit(o.empty_value))).alias(title))
     rows = found.df
     if observations:
         rows = rows.observe(observations["rows"], F.count(F.lit(1)).alias("rows"), left_out.cast("bigint").alias("items_left_out"))
