@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -278,3 +280,15 @@ def count_unique_approx(spark, sf):
 QUERIES["agg_count_unique_approx"] = count_unique_approx
 SQL["agg_count_unique_approx"] = """SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days,
     TRUE AS customers_near, TRUE AS days_near FROM orders GROUP BY 1"""
+
+
+def skips_bad_specs(spark, sf):
+    """The key column under another name; a spec of an unknown kind is left out with a warning."""
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        found = aggregate(t.orders(spark, sf), "o_orderstatus", [AggSpec("count_all", "cents", "n"), AggSpec("median", "cents", "m")], key_name="status")
+    return found.select("status", "n").withColumn("skipped", F.lit(sum("skipped" in str(w.message) for w in said)))
+
+
+QUERIES["agg_skips_bad_specs"] = skips_bad_specs
+SQL["agg_skips_bad_specs"] = "SELECT o_orderstatus AS status, count(*) AS n, 1 AS skipped FROM orders GROUP BY 1"

@@ -103,7 +103,16 @@ def compare_constant(spark, sf):
     return compare_many(customers, specs).table.select("c_custkey", "check")
 
 
+def compare_skips_bad_checks(spark, sf):
+    """A check without a name gets one from its columns, a malformed one is left out and said so."""
+    customers = t.load(spark, sf, "customer").withColumn("again", F.when(F.col("c_nationkey") % 2 == 0, F.col("c_name")).otherwise("x"))
+    checked = compare_many(customers, [{"first_col": "c_name", "second_col": "again", "compare_type": "text"},
+                                       {"first_col": "c_name", "second_col": "again", "tolerance": 2}])
+    return checked.table.select("c_custkey", *checked.checks).withColumn("skipped", F.lit(len(checked.skipped)))
+
+
 QUERIES = {
+    "compare_skips_bad_checks": compare_skips_bad_checks,
     "compare_text": compare_text,
     "compare_text_options": compare_text_options,
     "compare_numeric": compare_numeric,
@@ -147,6 +156,7 @@ checked AS (
   FROM paired)"""
 
 SQL = {
+    "compare_skips_bad_checks": """SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS "COMPARE: c_name | again", 1 AS skipped FROM customer""",
     "compare_text": f"""{_PAIRED} SELECT k AS "Key", CASE WHEN op IS NOT DISTINCT FROM np THEN 'PASS'
         ELSE 'FAIL: ' || coalesce(op, 'None') || ' -> ' || coalesce(np, 'None') END AS "check" FROM paired""",
     "compare_text_options": """SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'FAIL: ' || lower(p_name) || ' -> None'
