@@ -14,13 +14,14 @@ from pyspark.sql import types as T
 
 from ..functions import cells, names
 
-_MISSING = "\0missing"
-
 
 def _value(c: Column, dtype: T.DataType, strip: bool) -> Column:
-    """A cell as text, equal for equal cells of one type; a missing one is a value of its own."""
+    """A cell as text, equal for equal cells of one type; a missing one is a value of its own, as is an empty one.
+
+    (A sketch does not count empty texts, so none is given to it.)
+    """
     text = cells.strip(c) if strip and cells.is_text(dtype) else c.cast("string")
-    return F.coalesce(text, F.lit(_MISSING))
+    return F.coalesce(F.concat(F.lit("="), text), F.lit("missing"))
 
 
 def distinct_sketches(df: DataFrame, keys: list[str | int], columns: list[str | int], *, strip: bool = False,
