@@ -254,9 +254,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     def encoded(frames):
         encoder = word_encoder(tokenizer_json)
         for frame in frames:
-            ids = [b + tail for b in encoder.encode(frame["text"].tolist())]
-            place = np.where(frame["no_id"], 0, np.searchsorted(bounds, frame["doc_id"], side="right"))
-            yield pd.DataFrame({"range": place, "doc_id": frame["doc_id"], "no_id": frame["no_id"], "ids": ids})
+            for start in range(0, len(frame), 500):
+                some = frame.iloc[start : start + 500]
+                ids = [b + tail for b in encoder.encode(some["text"].tolist())]
+                place = np.where(some["no_id"], 0, np.searchsorted(bounds, some["doc_id"], side="right"))
+                yield pd.DataFrame({"range": place, "doc_id": some["doc_id"].to_numpy(), "no_id": some["no_id"].to_numpy(), "ids": ids})
+            pa.default_memory_pool().release_unused()
 
     def written(frames):
         context = TaskContext.get()
