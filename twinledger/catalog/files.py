@@ -51,9 +51,9 @@ def xml_cousins(spark, sf):
 def xml_late_context(spark, sf):
     """An attribute that only the last order of the last file has is context of its lines."""
     orders = t.orders(spark, sf)
-    last = orders.agg(F.max("o_orderkey").alias("last"))
-    rows = orders.crossJoin(F.broadcast(last)).orderBy("o_orderkey").select(
-        F.when(F.col("o_orderkey") == F.col("last"), "late").alias("@region"),
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    rows = orders.orderBy("o_orderkey").select(
+        F.when(F.col("o_orderkey") == last, "late").alias("@region"),
         F.struct(F.col("o_orderkey").alias("Key"), F.col("cents").alias("Cents")).alias("Line"),
     )
     folder = f"{scratch_folder(spark)}/late"
