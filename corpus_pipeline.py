@@ -53,7 +53,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = pieces.Pieces.load(tokens.tokenizer_file("piece_bpe_32k.model"))
     equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     numbered = docs.select("doc_id", "text", F.row_number().over(equal).alias("pass"))
-    decoded = pieces.decode_documents(pieces.encode_documents(numbered, model, pass_col="pass"), model)
+    decoded = pieces.round_trip(numbered, model, pass_col="pass")
     return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"), "ids")
 
 

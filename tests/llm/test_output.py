@@ -168,6 +168,22 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
         fixed.update({s: most * sizes[s] for s in over})
 
 
+def test_round_trip_takes_one_worker_a_task(spark, table, awkward):
+    model, docs = pieces.Pieces.load(MERGES), table(awkward)
+    both = pieces.round_trip(docs, model)
+    apart = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    assert both.columns == apart.columns and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_segments_with_rare_skips_merge_together(monkeypatch):
+    pick, sizes, merge = random.Random(6), [], pieces._Pairs.merge
+    monkeypatch.setattr(pieces._Pairs, "merge", lambda self, symbols, skips: sizes.append(len(symbols)) or merge(self, symbols, skips))
+    text = " ".join(pick.choice(["whether", "another", "thousand", "remembering"]) + pick.choice("abcdefgh") for _ in range(120_000))
+    pieces.Pieces.load(MERGES, dropout=0.2).encode([text])
+    assert len(sizes) < 40  # few calls, whatever the number of segments
+
+
 def test_shares_stop_at_three_passes():
     for sizes in ({"a": 1, "b": 1000, "c": 10, None: 4}, {"a": 0, "b": 0}, {"a": 5}, {}, {"é": 7, "z": 900, "A": 3, "b": 0}):
         got = {s.source: s.target for s in mixing.shares(sizes, (5, 2, 1), 3, 1024)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,8 +27,11 @@ _SPREAD = 0x9E3779B97F4A7C15
 _VARIANT = 0xC2B2AE3D27D4EB4F
 #: Segments of up to so many characters are merged together.
 _SIZES = (8, 12, 16, 24, 48)
-#: Segments whose ids are looked up together.
-_TOGETHER = 1 << 15
+#: Segments whose ids are looked up together: many, so that those with rare sets of skips still merge in large groups.
+_TOGETHER = 1 << 18
+#: A candidate is one number: its place, and below that its merge.
+_MERGE_BITS = 26
+_MERGE_MASK = (1 << _MERGE_BITS) - 1
 _NO_SKIP = 1 << 30
 
 
@@ -61,7 +65,7 @@ class Pieces:
     kind: str = "<u2"
     seed: int = 0
     dropout: float = 0.1
-    remember: int = 200_000
+    remember: int = 600_000
     outcomes: _Outcomes | None = None
 
     @classmethod
@@ -84,6 +88,8 @@ class Pieces:
             raise ValueError("the model has no byte fallback")
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces):
             raise ValueError("a piece of the model reaches across words")
+        if len(pieces) > _MERGE_MASK:
+            raise ValueError("the model has too many pieces")
         order = {p: k for k, p in enumerate(sorted(pieces, key=lambda p: (-pieces[p][1], pieces[p][0])))}
         return cls(pieces, order, byte_ids, surface, "<u2" if size <= 1 << 16 else "<u4", **settings)
 
@@ -195,7 +201,7 @@ class Pieces:
 class _Rows:
     """An array that grows at its end."""
 
-    def __init__(self, kind=np.int64):
+    def __init__(self, kind=np.int32):
         self.data, self.n = np.zeros(1 << 10, dtype=kind), 0
 
     def append(self, values: np.ndarray) -> int:
@@ -221,7 +227,7 @@ class _Outcomes:
         self.root: dict[str, int] = {}
         self.texts: list[str] = []
         self.text, self.parent, self.skip, self.begin, self.count, self.ids_begin, self.n_ids = (_Rows() for _ in range(7))
-        self.candidates, self.child, self.ids = _Rows(), _Rows(np.int32), _Rows(np.int32)
+        self.candidates, self.child, self.ids = _Rows(np.uint32), _Rows(), _Rows()
 
     @property
     def n(self) -> int:
@@ -238,7 +244,7 @@ class _Outcomes:
             owner = np.repeat(np.arange(len(rows)), count)
             at = np.arange(len(owner)) + np.repeat(self.begin.data[now] - (np.cumsum(count) - count), count)
             taken = self.candidates.data[at]
-            hit = np.flatnonzero(_skips(keys[rows][owner], taken >> 32, taken & 0xFFFFFFFF, limit))
+            hit = np.flatnonzero(_skips(keys[rows][owner], taken >> _MERGE_BITS, taken & _MERGE_MASK, limit))
             hit = hit[np.flatnonzero(np.diff(owner[hit], prepend=-1))]
             rows = rows[owner[hit]]
             node[rows] = self._skipping(node[rows], at[hit])
@@ -315,12 +321,16 @@ class _Pairs:
         size = 1 << self.BITS
         self.keys = np.full(size, -1, dtype=np.int64)
         self.order, self.result = np.full(size, _NONE, dtype=np.int32), np.zeros(size, dtype=np.int32)
-        for left, right, rank, merged in found:
-            key = left << 32 | right
-            at = key * _SPREAD % (1 << 64) >> (64 - self.BITS)
-            while self.keys[at] >= 0:
-                at = (at + 1) % size
-            self.keys[at], self.order[at], self.result[at] = key, rank, merged
+        left, right, rank, merged = np.array(found, dtype=np.int64).reshape(-1, 4).T
+        keys = left << 32 | right
+        at = (keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):  # each pair takes the first free place; of several at one place, one does
+            free = open_[self.keys[at[open_]] < 0]
+            self.keys[at[free]] = keys[free]
+            open_ = open_[self.keys[at[open_]] != keys[open_]]
+            at[open_] = (at[open_] + 1) % size
+        self.order[at], self.result[at] = rank, merged
 
     def symbols(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of single characters; -1 after the end."""
@@ -357,7 +367,7 @@ class _Pairs:
         found = self._find(flat[both], flat[both[0], both[1] + 1])
         agenda[both], place[both] = self.order[found], found
         # Each of at most size - 1 merges makes two candidates at most.
-        taken, number, passed = np.zeros((n, 3 * size), dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        taken, number, passed = np.zeros((n, 3 * size), dtype=np.uint32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         final = np.full((n, size), -1, dtype=np.int32)
         # Arrays have the rows that still have candidates; rows[k] is the number of the k-th of them.
         rows = np.arange(n)
@@ -377,7 +387,7 @@ class _Pairs:
                     here, i, best = here[going], i[going], best[going]
             real = rows[here]
             count = number[real]
-            taken[real, count] = i << 32 | best
+            taken[real, count] = i << _MERGE_BITS | best
             skipped = count == skips[real, passed[real]]
             number[real] += 1
             passed[real[skipped]] += 1
@@ -402,6 +412,20 @@ class _Pairs:
         return final, taken, number
 
 
+def _keyed(docs: DataFrame, model: Pieces, id_col: str, text_col: str, pass_col: str | None) -> DataFrame:
+    own = [F.col(id_col).cast("bigint"), F.col(text_col), *([F.col(pass_col).cast("bigint")] if pass_col else [])]
+    key = F.xxhash64(*own, F.lit(model.seed)).alias("key")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key)
+
+
+def _encoded(frames: Iterator[pd.DataFrame], model: Pieces) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        texts, keys, rows = frame["text"].tolist(), frame["key"].tolist(), frame["doc_id"]
+        for group in batches(texts):
+            ids = model.encode([texts[i] for i in group], [keys[i] for i in group])
+            yield pd.DataFrame({"doc_id": rows.iloc[group].reset_index(drop=True), "ids": ids})
+
+
 def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text",
                      pass_col: str | None = None) -> DataFrame:
     """``doc_id, ids`` (little-endian integers of the model's width) of every whole text.
@@ -413,16 +437,21 @@ def encode_documents(docs: DataFrame, model: Pieces, id_col: str = "doc_id", tex
     ship_package(docs.sparkSession)
 
     def encoded(frames):
-        for frame in frames:
-            texts, keys, ids = frame["text"].tolist(), frame["key"].tolist(), []
-            for group in batches(texts):
-                ids += model.encode([texts[i] for i in group], [keys[i] for i in group])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids})
+        yield from _encoded(frames, model)
 
-    own = [F.col(id_col).cast("bigint"), F.col(text_col), *([F.col(pass_col).cast("bigint")] if pass_col else [])]
-    key = F.xxhash64(*own, F.lit(model.seed)).alias("key")
-    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key)
-    return keyed.mapInPandas(encoded, "doc_id long, ids binary")
+    return _keyed(docs, model, id_col, text_col, pass_col).mapInPandas(encoded, "doc_id long, ids binary")
+
+
+_DECODED = "doc_id long, n_pieces long, ids_crc32 long, text string, ids binary"
+
+
+def _decoded(frame: pd.DataFrame, model: Pieces) -> pd.DataFrame:
+    ids = [np.frombuffer(b, dtype=model.kind) for b in frame["ids"]]
+    return pd.DataFrame({
+        "doc_id": frame["doc_id"], "n_pieces": [len(i) for i in ids],
+        "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], "text": [model.decode(i) for i in ids],
+        "ids": frame["ids"],
+    })
 
 
 def decode_documents(encoded: DataFrame, model: Pieces) -> DataFrame:
@@ -431,11 +460,18 @@ def decode_documents(encoded: DataFrame, model: Pieces) -> DataFrame:
 
     def decoded(frames):
         for frame in frames:
-            ids = [np.frombuffer(b, dtype=model.kind) for b in frame["ids"]]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "n_pieces": [len(i) for i in ids],
-                "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], "text": [model.decode(i) for i in ids],
-                "ids": frame["ids"],
-            })
-
-    return encoded.select("doc_id", "ids").mapInPandas(decoded, "doc_id long, n_pieces long, ids_crc32 long, text string, ids binary")
+            yield _decoded(frame, model)
+
+    return encoded.select("doc_id", "ids").mapInPandas(decoded, _DECODED)
+
+
+def round_trip(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text",
+               pass_col: str | None = None) -> DataFrame:
+    """What ``decode_documents`` gives of ``encode_documents``, by one Python worker a task instead of two."""
+    ship_package(docs.sparkSession)
+
+    def both(frames):
+        for frame in _encoded(frames, model):
+            yield _decoded(frame, model)
+
+    return _keyed(docs, model, id_col, text_col, pass_col).mapInPandas(both, _DECODED)

@@ -60,7 +60,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded and read back: numbers of pieces, a checksum of the ids, and of the text they decode to."""
     model = pieces.Pieces.load(tokens.tokenizer_file("piece_bpe_32k.model"))
-    decoded = pieces.decode_documents(pieces.encode_documents(_table(spark, sf_dir, "documents"), model), model)
+    decoded = pieces.round_trip(_table(spark, sf_dir, "documents"), model)
     return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
