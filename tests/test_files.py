@@ -11,12 +11,14 @@ from twinledger import (
     read_table,
     read_tables,
     read_text,
+    read_xml,
     sniff_delimiter,
     write_csv,
     write_table,
     write_tables,
     write_text,
 )
+from twinledger.catalog import files
 from twinledger.sources.delimited import has_embedded_newlines, sniff_lines
 from twinledger.sources.dispatch import detect_format
 
@@ -163,3 +165,19 @@ def test_table_sets(spark, tmp_path, rows):
             write_tables(bad, folder)
     with pytest.raises(ValueError):
         write_tables({"n" * 31 + "1": a, "n" * 31 + "2": b}, folder, short_names=True)
+
+
+@pytest.mark.parametrize("name", ["xml_late_context"])
+def test_files_of_queries_grow_in_number_not_in_size(spark, monkeypatch, name):
+    seen, rows, size = [], 20, 2_000
+    monkeypatch.setattr(files, "_ROWS_A_FILE", rows)
+    monkeypatch.setattr(files, "read_xml", lambda s, path, *a, **k: seen.append(path) or read_xml(s, path, *a, **k))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(size))
+    try:
+        files.QUERIES[name](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    tag = {"xml_late_context": "</Order>", "xml_read_records": "</Bay>"}.get(name, "</Row>")
+    text = spark.read.option("wholetext", True).text(seen[0]).select(F.regexp_count("value", F.lit(tag)).alias("n"))
+    counts = [r["n"] for r in text.collect()]
+    assert len(counts) > 4 and max(counts) <= rows

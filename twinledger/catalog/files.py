@@ -15,6 +15,10 @@ from ..sources.xml import read_xml
 from . import tables as t
 
 
+# Spark's XML reader gives a whole file to one task, so there are more files, not larger ones, the more rows there are.
+_ROWS_A_FILE = 50_000
+
+
 def _saved(spark, df, row_tag, root_tag, name="", files=3):
     folder = f"{scratch_folder(spark)}/{name or root_tag}"
     df.repartition(files).write.options(
@@ -49,7 +53,7 @@ def xml_cousins(spark, sf):
 
 
 def xml_late_context(spark, sf):
-    """An attribute that only the last order of the last file has is context of its lines."""
+    """An attribute that only the last order of the last file has is context of its lines. Files are ranges of orders."""
     orders = t.orders(spark, sf)
     last = orders.agg(F.max("o_orderkey")).first()[0]
     rows = orders.orderBy("o_orderkey").select(
@@ -57,7 +61,8 @@ def xml_late_context(spark, sf):
         F.struct(F.col("o_orderkey").alias("Key"), F.col("cents").alias("Cents")).alias("Line"),
     )
     folder = f"{scratch_folder(spark)}/late"
-    rows.coalesce(1).write.options(rowTag="Order", rootTag="Orders", attributePrefix="@", nullValue="", declaration="").xml(folder)
+    options = {"rowTag": "Order", "rootTag": "Orders", "attributePrefix": "@", "nullValue": "", "declaration": ""}
+    rows.write.options(**options, maxRecordsPerFile=_ROWS_A_FILE).xml(folder)
     return read_xml(spark, folder, "Order.Line").table
 
 
