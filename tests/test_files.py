@@ -167,7 +167,7 @@ def test_table_sets(spark, tmp_path, rows):
         write_tables({"n" * 31 + "1": a, "n" * 31 + "2": b}, folder, short_names=True)
 
 
-@pytest.mark.parametrize("name", ["xml_late_context"])
+@pytest.mark.parametrize("name", ["xml_late_context", "xml_read_records", "xml_folder", "xml_metadata"])
 def test_files_of_queries_grow_in_number_not_in_size(spark, monkeypatch, name):
     seen, rows, size = [], 20, 2_000
     monkeypatch.setattr(files, "_ROWS_A_FILE", rows)

@@ -19,10 +19,13 @@ from . import tables as t
 _ROWS_A_FILE = 50_000
 
 
-def _saved(spark, df, row_tag, root_tag, name="", files=3):
+def _saved(spark, df, row_tag, root_tag, name="", files=None):
+    """XML files of bounded size, or as many as are wanted."""
     folder = f"{scratch_folder(spark)}/{name or root_tag}"
-    df.repartition(files).write.options(
-        rowTag=row_tag, rootTag=root_tag, attributePrefix="@", valueTag="#text", declaration="", nullValue=""
+    dealt = df.repartition(files) if files else df.hint("rebalance")
+    dealt.write.options(
+        rowTag=row_tag, rootTag=root_tag, attributePrefix="@", valueTag="#text", declaration="", nullValue="",
+        maxRecordsPerFile=0 if files else _ROWS_A_FILE,
     ).xml(folder)
     return folder
 
@@ -73,7 +76,9 @@ def xml_folder(spark, sf):
         ("customer", t.load(spark, sf, "customer").select(F.col("c_custkey").alias("Key"), F.col("c_name").alias("Name"))),
         ("supplier", t.load(spark, sf, "supplier").select(F.col("s_suppkey").alias("Key"), F.col("s_nationkey").alias("Nation"))),
     ):
-        df.repartition(2).write.options(rowTag="Row", rootTag=name.title(), declaration="").xml(f"{base}/kind={name}")
+        df.hint("rebalance").write.options(
+            rowTag="Row", rootTag=name.title(), declaration="", maxRecordsPerFile=_ROWS_A_FILE
+        ).xml(f"{base}/kind={name}")
     return read_xml(spark, f"{base}/*", "Row").table
 
 
