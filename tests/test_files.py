@@ -19,6 +19,7 @@ from twinledger import (
     write_text,
 )
 from twinledger.catalog import files
+from twinledger.sources import delimited
 from twinledger.sources.delimited import has_embedded_newlines, sniff_lines
 from twinledger.sources.dispatch import detect_format
 
@@ -181,3 +182,12 @@ def test_files_of_queries_grow_in_number_not_in_size(spark, monkeypatch, name):
     text = spark.read.option("wholetext", True).text(seen[0]).select(F.regexp_count("value", F.lit(tag)).alias("n"))
     counts = [r["n"] for r in text.collect()]
     assert len(counts) > 4 and max(counts) <= rows
+
+
+def test_short_whole_numbers_skip_the_long_test(spark):
+    rows = [("7", "-0", "999999999999999", "1"), ("-12", " 5 ", "9007199254740993", "x"), (None, "", "1_0", "2")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    out = convert_types(df)
+    assert [t for _, t in out.dtypes] == ["bigint", "bigint", "bigint", "string"]
+    assert [tuple(r)[:3] for r in out.collect()] == [(7, 0, 999999999999999), (-12, 5, 9007199254740993), (None, None, 10)]
+    assert delimited._SHORT_WHOLE in out._jdf.queryExecution().optimizedPlan().toString()
